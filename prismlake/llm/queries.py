@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid
+from . import bpe, common, langid
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.split_of(1, 3).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokens = bpe.encode(common.documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(tokens, ranks))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_byte_bpe": op3_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
