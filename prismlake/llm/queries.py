@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, langid
+from . import bpe, common, langid, minhash_forest, pii, sharding
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,15 +16,30 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.split_of(1, 3).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(common.documents(spark, sf_dir), 24)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     tokens = bpe.encode(common.documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(tokens, ranks))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.extract(common.documents(spark, sf_dir)))
+
+
+def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(common.documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_sharding": op2_sharding,
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_pii": op6_pii,
+    "op9_minhash_forest": op9_minhash_forest,
 }
 
 ORACLE_SQL: dict[str, str] = {}
