@@ -74,25 +74,31 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             cache["p"] = regex.compile(pattern)
         return cache["p"].findall(text)
 
-    def encode_words(batches):
-        table, last, ids = shared.value, None, b""
-        for batch in batches:
-            out = []
-            for word in batch.column(4).to_pylist():  # sorted: equal words follow each other
-                if word != last:
-                    last, ids = word, np.array(merge(word, table), dtype="<i4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], schema=blocks.ARROW)
-
-    words = blocks.cut(docs, split, blocks.WORD).repartition("payload").sortWithinPartitions("payload").mapInArrow(encode_words, blocks.SCHEMA)
+    def ids_of(rows: list[list[bytes]]) -> list[bytes]:
+        table, known, out = shared.value, {}, []
+        for packed in rows:
+            ids = []
+            for word in blocks.unpack_words(packed):
+                if (got := known.get(word)) is None:
+                    got = known[word] = merge(word, table)
+                ids.append(got)
+            lengths = np.array([len(x) for x in ids], dtype="<u4")
+            out.append(blocks.join([blocks.pack(lengths), blocks.pack(np.array([i for x in ids for i in x], dtype="<u4"))]))
+        return out
+
+    words = blocks.answer(blocks.cut(docs, split, False), ids_of)
 
     def assemble(batches):
         for known, documents in blocks.walk(batches):
-            lengths = np.array([len(k) // 4 for k in known], dtype=np.int64)
+            got = [(at, [blocks.unpack(p, "<u4") for p in blocks.parts_of(payload)]) for at, payload in known]
+            blocks.in_place([(at, len(lengths)) for at, (lengths, _) in got])
+            lengths = np.concatenate([x[0] for _, x in got]).astype(np.int64) if got else np.zeros(0, np.int64)
+            flat = np.concatenate([x[1] for _, x in got]).astype(np.int32) if got else np.zeros(0, np.int32)
             starts = np.concatenate([[0], np.cumsum(lengths)])
-            flat = np.frombuffer(b"".join(known), dtype="<i4")
             ids, pieces, n = [], [], 0
             for doc_id, seq in documents:
+                if len(seq) and int(seq.max()) >= len(lengths):
+                    raise RuntimeError(f"a block has no word {int(seq.max())}")
                 size = lengths[seq]
                 # the ids of each position, laid out one after the other
                 at = np.repeat(starts[seq] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
@@ -105,7 +111,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             if ids:
                 yield _tokens(ids, pieces)
 
-    return blocks.by_block(words, blocks.cut(docs, split, blocks.DOCUMENT)).mapInArrow(assemble, "doc_id long, ids array<int>")
+    return blocks.by_block(words, blocks.cut(docs, split, True)).mapInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def _tokens(ids: list, pieces: list[np.ndarray]) -> pa.RecordBatch:
