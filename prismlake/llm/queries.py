@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, langid, minhash_forest, pii, sharding
+from . import ann, bpe, common, langid, minhash_forest, mixing, pii, sharding, spotsigs, suffix_tree, unigram_counts
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,20 +26,38 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(tokens, ranks))
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edits(common.documents(spark, sf_dir))
+
+
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(table, F.col("vec_id") % 100 == 0)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.extract(common.documents(spark, sf_dir)))
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_tree.score(common.documents(spark, sf_dir), (2, 7))
+    return found.select("doc_id", common.split_of(2, 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.interleave(common.documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return mixed.select("doc_id", F.coalesce("source", F.lit(mixing.NO_SOURCE)).alias("source"), "mix.source_row", "mix.block", "mix.slot", "mix.place", "mix.position")
+
+
 def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(common.documents(spark, sf_dir))
 
 
-QUERIES = {
-    "op1_language_id": op1_language_id,
-    "op2_sharding": op2_sharding,
-    "op3_byte_bpe": op3_byte_bpe,
-    "op6_pii": op6_pii,
-    "op9_minhash_forest": op9_minhash_forest,
-}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = unigram_counts.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return unigram_counts.count_tokens(common.documents(spark, sf_dir), vocabulary)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_byte_bpe, op4_spotsigs, op5_learned_partitions, op6_pii, op7_suffix_tree, op8_mixing, op9_minhash_forest, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -8,6 +8,7 @@ range come to the driver: their number is a parameter, not the table's size.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
@@ -51,64 +52,60 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(hit(at, s), at + s).otherwise(at))
 
 
+def lookup(values: list, at: Column, kind: str) -> Column:
+    """The entry of a list of plain values that a column's number names."""
+    return F.get(F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>"), at)
+
+
 @dataclass
 class Cells:
-    """Ranges and their subdivisions: for each, in order, how much and how many rows are before it."""
+    """Ranges of a key and their subdivisions (cells, in order), and how much and how many rows are before each."""
 
     bounds: list[int]
     parts: list[int]
     weights: list[int] = field(default_factory=list)
     counts: list[int] = field(default_factory=list)
 
-    @property
-    def firsts(self) -> list[int]:
-        out = [0]
-        for p in self.parts:
-            out.append(out[-1] + p)
-        return out
-
-
-def _lookup(values: list, at: Column, kind: str) -> Column:
-    return F.get(F.from_json(F.lit(str(list(values))), f"array<{kind}>"), at)
-
-
-def cut(df: DataFrame, key: str, second: str, weight: str, total: int, ranges: int, seed: list[str]) -> tuple[DataFrame, Cells]:
-    """`df` with `cell`: cells are in the order of (key, second) and hold no more than about twice a range's even share.
-
-    `second` is a number of 60 bits, even where keys are equal.
+    def cell(self, key: Column, second: Column) -> Column:
+        """The cell of a row. An overfull range of one key is subdivided by the second number, any other by where keys lie in it."""
+        at = range_of(key, self.bounds)
+        if max(self.parts) == 1:
+            return at
+        b, many = self.bounds, range(len(self.parts))
+        single = [0 < k < len(b) and b[k] == b[k - 1] + 1 for k in many]
+        low = [b[k - 1] if k else 0 for k in many]
+        width = [max(1, (b[k] if k < len(b) else 1 << BITS) - low[k]) for k in many]
+        inside = (key.cast("double") - lookup(low, at, "double")) / lookup(width, at, "double")
+        share = F.when(lookup(single, at, "boolean"), second / float(1 << BITS)).otherwise(inside)
+        n = lookup(self.parts, at, "int")
+        first = lookup([sum(self.parts[:k]) for k in many], at, "int")
+        return first + F.least(F.greatest(F.floor(share * n), F.lit(0)), n - 1).cast("int")
+
+    def before(self, cell: Column) -> tuple[Column, Column]:
+        """What is before a row's cell: weight and number of rows."""
+        return lookup(self.weights, cell, "long"), lookup(self.counts, cell, "long")
+
+    def at(self, weight: float) -> int:
+        """The last cell that begins at or before `weight`."""
+        return max(0, bisect_right(self.weights, weight) - 1)
+
+
+def cut(df: DataFrame, key: str, second: str, weight: str, total: int, ranges: int, seed: list[str], measure: str | None = None) -> tuple[DataFrame, Cells]:
+    """`df` with `cell`: cells are in the order of (key, second), and overfull ranges are several.
+
+    `second` is a number of BITS bits that differs where keys are equal. Ranges are even in `weight`, of which `total` is
+    the sum; what is before a cell is told in `measure` (by default the same).
     """
     bounds = splitters(df, key, weight, total, ranges, seed)
-    ranged = df.withColumn("cell", range_of(F.col(key), bounds))
-    sums = {r["cell"]: r["w"] for r in ranged.groupBy("cell").agg(F.sum(weight).alias("w")).collect()}
-    even = max(1, total / ranges)
-    parts = []
-    for k in range(len(bounds) + 1):
-        parts.append(max(1, -(-int(sums.get(k, 0)) // int(even + 1))) if sums.get(k, 0) > 2 * even else 1)
-    cells = Cells(bounds, parts)
-    if max(parts) > 1:
-        # an overfull range of one key is subdivided by the second number, any other by where its keys lie in it
-        single = [0 < k < len(bounds) and bounds[k] == bounds[k - 1] + 1 for k in range(len(parts))]
-        low = [bounds[k - 1] if k else 0 for k in range(len(parts))]
-        width = [1 if single[k] else max(1, (bounds[k] if k < len(bounds) else 1 << BITS) - low[k]) for k in range(len(parts))]
-        share = F.when(_lookup(single, F.col("cell"), "boolean"), F.col(second) / float(1 << BITS)).otherwise((F.col(key) - _lookup(low, F.col("cell"), "long")) / _lookup(width, F.col("cell"), "double"))
-        n = _lookup(parts, F.col("cell"), "int")
-        part = F.least(F.greatest(F.floor(share * n), F.lit(0)), n - 1).cast("int")
-        ranged = ranged.withColumn("cell", _lookup(cells.firsts, F.col("cell"), "int") + part)
-    found = {r["cell"]: (r["w"], r["n"]) for r in ranged.groupBy("cell").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n")).collect()}
+    sums = {r["at"]: r["w"] for r in df.groupBy(range_of(F.col(key), bounds).alias("at")).agg(F.sum(weight).alias("w")).collect()}
+    even = max(1, total // ranges)
+    cells = Cells(bounds, [-(-sums.get(k, 0) // even) if sums.get(k, 0) > 2 * even else 1 for k in range(len(bounds) + 1)])
+    placed = df.withColumn("cell", cells.cell(F.col(key), F.col(second)))
+    found = {r["cell"]: (r["w"], r["n"]) for r in placed.groupBy("cell").agg(F.sum(measure or weight).alias("w"), F.count(F.lit(1)).alias("n")).collect()}
     before, rows = 0, 0
-    for k in range(sum(parts)):
+    for k in range(sum(cells.parts)):
         cells.weights.append(before)
         cells.counts.append(rows)
         w, n = found.get(k, (0, 0))
         before, rows = before + w, rows + n
-    return ranged, cells
-
-
-def cell_at(cells: Cells, weight: float) -> int:
-    """The last cell that begins at or before `weight`."""
-    return max(0, bisect_right(cells.weights, weight) - 1)
-
-
-def before(cells: Cells, cell: Column) -> tuple[Column, Column]:
-    """What is before a row's cell: weight and number of rows."""
-    return _lookup(cells.weights, cell, "long"), _lookup(cells.counts, cell, "long")
+    return placed, cells

@@ -36,9 +36,12 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
         ranges.hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("second"),
     )
     slim = materialize(slim, "sizes")
-    total = slim.agg(F.sum("size").alias("t")).first()["t"] or 0
-    placed, cells = ranges.cut(slim, "key", "second", "size", total, shards * RANGES_A_SHARD, ["doc_id", "key"])
-    weight, count = ranges.before(cells, F.col("cell"))
+    sums = slim.agg(F.sum("size").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    total, n = sums["t"] or 0, sums["n"]
+    # a range is also even in rows: a text that many share may be short
+    weighed = slim.withColumn("weight", F.col("size") + (total // n if n else 0))
+    placed, cells = ranges.cut(weighed, "key", "second", "weight", total + n * (total // n if n else 0), shards * RANGES_A_SHARD, ["doc_id", "key"], "size")
+    weight, count = cells.before(F.col("cell"))
     # both windows are over parts of a cell, so one exchange serves them
     in_cell = Window.partitionBy("cell").orderBy("key", "second", "doc_id")
     group = Window.partitionBy("cell", "key")
@@ -49,7 +52,7 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     middle = F.when(F.col("group_size") <= TOGETHER * part, F.col("group_end") - F.col("group_size") / 2).otherwise(F.col("end") - F.col("size") / 2)
     ranked = ranked.withColumn("shard", F.least(F.floor(middle / part), F.lit(shards - 1)).cast("int"))
     # a shard's first rank is in the cell that holds its boundary or next to it
-    near = sorted({c + d for k in range(1, shards) for c in [ranges.cell_at(cells, k * part)] for d in (-1, 0, 1)} | {0})
+    near = sorted({c + d for k in range(1, shards) for c in [cells.at(k * part)] for d in (-1, 0, 1)} | {0})
     firsts = {r["shard"]: r["rank"] for r in ranked.filter(F.col("cell").isin(near)).groupBy("shard").agg(F.min("rank").alias("rank")).collect()}
     start = F.get(F.array(*[F.lit(firsts.get(k, 0)).cast("long") for k in range(shards)]), F.col("shard"))
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
