@@ -33,7 +33,7 @@ def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
             axis, left = (x, (total + 1) // 2 - 1 - b // 2) if b % 2 == 0 else (y, total // 2 - 1 - b // 2)
             code = code * 2 + F.shiftright(axis, left).bitwiseAND(F.lit(1))
         letters.append(F.substring(F.lit(BASE32), (code + 1).cast("int"), F.lit(1)))
-    return F.concat(*letters)
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.concat(*letters))
 
 
 def mercator(lat: Column, lon: Column) -> tuple[Column, Column]:

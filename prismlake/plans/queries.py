@@ -613,11 +613,11 @@ def person_centroids(lib: Library) -> DataFrame:
 
 @query(
     f"""{_CENTROIDS}, likeness as (select f.id, u.person_id, round(sum(cast(f.embedding[u.k] as double) * u.x), 6) as likeness from media_faces f, unit u group by 1, 2)
- select id, case when likeness >= 0.6 then person_id end as person_id, round(likeness, 4) as likeness from (select *, row_number() over (partition by id order by likeness desc, person_id) as r from likeness) where r = 1""",
+ select id, case when likeness >= 0.6 then person_id end as person_id, likeness from (select *, row_number() over (partition by id order by likeness desc, person_id) as r from likeness) where r = 1""",
     "media_faces",
 )
 def face_match(lib: Library) -> DataFrame:
-    return people.match(lib.media_faces, people.centroids(lib.media_faces)).withColumn("likeness", F.round("likeness", 4))
+    return people.match(lib.media_faces, people.centroids(lib.media_faces))
 
 
 @query("select count(*) filter (media_type in ('photo', 'raw')) as total, count(*) filter (media_type in ('photo', 'raw') and face_scanned) as scanned, (select count(*) from media_faces) as faces, (select count(*) from persons) as people from media_files", "media_files", "media_faces", "persons")
