@@ -1,11 +1,69 @@
-"""From raw documents to token ids."""
+"""From raw documents to token ids, in five stages, each over everything that the one before kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prismlake.llm import bpe, common, langid, minhash_forest, mixing, pii
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model is sure enough of; it learns from those that carry a label."""
+    common.small_batches(spark)
+    return langid.keep_known(docs.select(*COLUMNS), F.lit(True))
+
+
+def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the smallest id; of rows that repeat it, one."""
+    common.small_batches(spark)
+    found = minhash_forest.near_duplicates(docs)
+    kept = found.filter("kept").select("doc_id").distinct()
+    with_id = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return with_id.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, personal data replaced by its kind."""
+    common.small_batches(spark)
+    return pii.redact(docs.select(*COLUMNS))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, in the order that gives each source its tempered share at any point."""
+    return mixing.in_order(mixing.interleave(docs.select(*COLUMNS)))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    common.small_batches(spark)
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", known_language),
+    ("MinHash near-dedup", first_of_near_copies),
+    ("PII", without_personal_data),
+    ("mixing", mixed),
+    ("byte-level BPE", tokens),
+]
+
+#: The language model, the forest and the patterns are no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.materialize(docs, f"stage{k + 1}")
     return docs

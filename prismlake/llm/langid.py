@@ -1,6 +1,6 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax.
 
-A text is lower-cased, everything but letters becomes a space, and its 1- to 4-character subwords are hashed into
+A text is lower-cased, everything but letters becomes a space, and its 2- to 4-character subwords are hashed into
 BUCKETS rows of an embedding table. The text's vector is the mean of those rows, a linear layer and softmax give the
 language. Both layers are trained by stochastic gradient descent in numpy on a bounded, stratified sample of labelled
 rows (at most about SAMPLE_PER_LANG a language); a fifth of that sample calibrates a temperature and the rejection
@@ -128,7 +128,7 @@ def fit(docs: DataFrame) -> LanguageModel:
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for at in range(0, len(fitted), BATCH):
-            batch = rng.permutation(fitted)[:BATCH] if epoch == 0 else fitted[at : at + BATCH]
+            batch = fitted[at : at + BATCH]
             mean = np.stack([xs[i][1] @ emb[xs[i][0]] for i in batch])
             g = _softmax(mean @ out + bias)
             g[np.arange(len(batch)), y[batch]] -= 1
@@ -164,3 +164,16 @@ def identify(docs: DataFrame, train_when: Column) -> DataFrame:
     """Every document with lang_pred, score and rejected, learnt from the rows where `train_when` holds."""
     predict = predictor(docs.sparkSession, fit(docs.filter(train_when)))
     return docs.select("doc_id", predict(F.col("text")).alias("p")).select("doc_id", "p.lang_pred", "p.score", "p.rejected")
+
+
+def keep_known(docs: DataFrame, train_when: Column) -> DataFrame:
+    """The rows of `docs` (with a text) whose language the model, learnt where `train_when` holds, does not reject.
+
+    Without any labelled row there is no model to reject with, and all rows with a letter stay.
+    """
+    model = fit(docs.filter(train_when))
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    predict = predictor(docs.sparkSession, model)
+    rows = docs.select(F.struct("*").alias("row"), predict(F.col("text")).alias("p"))
+    return rows.filter(~F.col("p.rejected")).select("row.*")
