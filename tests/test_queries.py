@@ -1,7 +1,7 @@
 """Every registered query of the media library against its twin in SQL."""
 
 import pytest
-from conftest import plain
+from compare import plain
 
 from prismlake.plans import queries
 
