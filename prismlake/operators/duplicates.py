@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+
+KEY = ["file_hash", "file_size"]
 
 
 def members(media: DataFrame, min_size: int | None = None, media_type: str | None = None) -> DataFrame:
@@ -19,13 +21,20 @@ def members(media: DataFrame, min_size: int | None = None, media_type: str | Non
 
 
 def groups(media: DataFrame, min_size: int | None = None, media_type: str | None = None) -> DataFrame:
-    """file_hash, file_size, count, total_size_bytes, first_id and item_ids of each group of two or more.
+    """file_hash, file_size, count, total_size_bytes and first_id (the smallest) of each group of two or more.
 
-    Rows of one hash that differ in size are different groups. The first and the order of ids is by id.
+    Rows of one hash that differ in size are different groups. What is in a group is told by `items`: a group has any
+    number of rows, so it is no array.
     """
-    found = members(media, min_size, media_type).groupBy("file_hash", "file_size")
-    ids = F.array_sort(F.collect_list("id"))
-    return found.agg(F.count(F.lit(1)).alias("count"), F.sum("file_size").alias("total_size_bytes"), F.min("id").alias("first_id"), ids.alias("item_ids")).filter("count > 1")
+    # without filters the count of a group says it all
+    found = media if min_size is None and media_type is None else members(media, min_size, media_type)
+    sums = found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("count"), F.sum("file_size").alias("total_size_bytes"), F.min("id").alias("first_id"))
+    return sums.filter("count > 1")
+
+
+def items(groups_: DataFrame, media: DataFrame) -> DataFrame:
+    """The rows of groups."""
+    return media.join(groups_.select(*KEY), KEY, "left_semi")
 
 
 def keeper_score(name: Column, path: Column) -> Column:
@@ -39,27 +48,21 @@ def keeper_score(name: Column, path: Column) -> Column:
     return score + plus(F.col("is_favorite"), 50) + F.greatest(F.coalesce(F.col("rating"), F.lit(0)), F.lit(0)) * 10
 
 
-def ranked(media: DataFrame) -> DataFrame:
-    """Every row of a group with its score and rank (1: the copy to keep; ties to the smaller id)."""
-    scored = media.withColumn("score", keeper_score(F.col("file_name"), F.col("file_path")).cast("long"))
-    key = ["file_hash", "file_size"]
-    order = Window.partitionBy(*key).orderBy(F.desc("score"), "id")
-    sized = members(scored).withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy(*key))).filter("copies > 1")
-    return sized.withColumn("rank", F.row_number().over(order))
-
-
 def keepers(media: DataFrame) -> DataFrame:
-    return ranked(media).filter("rank = 1").select("file_hash", F.col("id").alias("keeper_id"), "score", F.col("copies").alias("count"))
+    """file_hash, file_size, keeper_id, score and count of each group: the row of the highest score (ties to the smaller id) is kept."""
+    scored = media.select("id", *KEY, keeper_score(F.col("file_name"), F.col("file_path")).cast("long").alias("score"))
+    best = scored.groupBy(*KEY).agg(F.max(F.struct("score", (-F.col("id")).alias("order"))).alias("best"), F.count(F.lit(1)).alias("count"))
+    return best.filter("count > 1").select(*KEY, (-F.col("best.order")).alias("keeper_id"), F.col("best.score").alias("score"), "count")
 
 
 def redundant(media: DataFrame) -> DataFrame:
     """The copies that are not kept."""
-    return ranked(media).filter("rank > 1").select("id", "file_hash")
+    return media.join(keepers(media).select(*KEY, "keeper_id"), KEY).filter("id <> keeper_id").select("id", "file_hash", "keeper_id")
 
 
 def wasted(media: DataFrame) -> DataFrame:
     """One row: groups, copies beyond the kept ones, and the bytes that these take."""
-    per = ranked(media).filter("rank = 1").select((F.col("copies") - 1).alias("extra"), (F.col("file_size") * (F.col("copies") - 1)).alias("bytes"))
+    per = groups(media).select((F.col("count") - 1).alias("extra"), (F.col("file_size") * (F.col("count") - 1)).alias("bytes"))
     return per.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("extra"), F.lit(0)).alias("extra_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("wasted_bytes"))
 
 
@@ -74,4 +77,4 @@ def naming(groups_: DataFrame, media: DataFrame, q: str) -> DataFrame:
     if not q:
         return groups_
     named = media.filter(F.lower("file_name").contains(q) | F.lower("file_path").contains(q)).select("file_hash", "file_size")
-    return groups_.join(named, ["file_hash", "file_size"], "left_semi")
+    return groups_.join(named, KEY, "left_semi")

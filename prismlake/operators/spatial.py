@@ -85,9 +85,7 @@ def nearest_place(media: DataFrame) -> DataFrame:
     The places are a fixed table of under a hundred rows, which every task gets; each point is compared with all in one
     expression, so that no row is repeated.
     """
-    spark = media.sparkSession
-    near = F.struct(haversine_km(F.col("latitude"), F.col("longitude"), F.col("p.lat"), F.col("p.lon")).alias("km"), F.col("p.k").alias("k"), F.col("p.city").alias("city"), F.col("p.country").alias("country"))
-    places = gazetteer(spark).withColumn("k", F.monotonically_increasing_id()).agg(F.collect_list(F.struct("k", "city", "country", "lat", "lon")).alias("places"))
+    places = gazetteer(media.sparkSession).withColumn("k", F.monotonically_increasing_id()).agg(F.collect_list(F.struct("k", "city", "country", "lat", "lon")).alias("places"))
     points = media.filter("latitude is not null and longitude is not null").select("id", "latitude", "longitude").join(F.broadcast(places))
     at = lambda p: F.struct(haversine_km(F.col("latitude"), F.col("longitude"), p["lat"], p["lon"]).alias("km"), p["k"].alias("k"), p["city"].alias("city"), p["country"].alias("country"))
     best = points.select("id", F.array_min(F.transform("places", at)).alias("best"))

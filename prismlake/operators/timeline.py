@@ -30,20 +30,22 @@ def days(media: DataFrame, zone: str = "UTC") -> DataFrame:
     return out.select("day", "count", F.col("lead.id").alias("first_id"), F.col("lead.ts").alias("first_ts"))
 
 
+def on_this_day_items(media: DataFrame, month_: int, day_: int, as_of_year: int) -> DataFrame:
+    """What was captured on this day of earlier years, with its year."""
+    taken = media.filter(in_utc(F.col("captured_at"), "MM-dd") == f"{month_:02d}-{day_:02d}")
+    year = F.year(F.to_utc_timestamp(F.timestamp_millis("captured_at"), F.current_timezone())).cast("long")
+    return taken.withColumn("year", year).filter(F.col("year") < as_of_year)
+
+
 def on_this_day(media: DataFrame, month_: int, day_: int, as_of_year: int) -> DataFrame:
-    """For each earlier year what was captured on this day: year, years_ago, count, cover_id and the ids, newest first.
+    """year, years_ago, count and cover_id of each earlier year with something of this day.
 
-    The cover is the first favourite, else the first. A group is a library's files of one day of one year.
+    The cover is the first favourite, else the first, of the newest first (equal times by the smaller id).
     """
-    taken = media.filter(in_utc(F.col("captured_at"), "MM-dd") == f"{month_:02d}-{day_:02d}")
-    year = F.year(F.to_utc_timestamp(F.timestamp_millis("captured_at"), F.current_timezone())).cast("long")
-    taken = taken.select("id", "captured_at", "is_favorite", year.alias("year")).filter(F.col("year") < as_of_year)
-    place = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("captured_at"), "id"))
-    ordered = taken.withColumn("place", place)
-    cover = F.min_by("id", F.struct(F.when(F.col("is_favorite"), 0).otherwise(1), "place"))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"])
-    out = ordered.groupBy("year").agg(F.count(F.lit(1)).alias("count"), cover.alias("cover_id"), ids.alias("ids"))
-    return out.select("year", (F.lit(as_of_year) - F.col("year")).alias("years_ago"), "count", "cover_id", "ids")
+    taken = on_this_day_items(media, month_, day_, as_of_year)
+    lead = F.struct(F.when(F.col("is_favorite"), 0).otherwise(1).alias("plain"), (-F.col("captured_at")).alias("age"), "id")
+    out = taken.groupBy("year").agg(F.count(F.lit(1)).alias("count"), F.min(lead).alias("lead"))
+    return out.select("year", (F.lit(as_of_year) - F.col("year")).alias("years_ago"), "count", F.col("lead.id").alias("cover_id"))
 
 
 def positions(media: DataFrame) -> DataFrame:

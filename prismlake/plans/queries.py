@@ -59,15 +59,21 @@ def day_groups(lib: Library) -> DataFrame:
     return timeline.days(lib.media_files)
 
 
+_DAY = "select *, year(make_timestamp(captured_at * 1000)) as year from media_files where strftime(make_timestamp(captured_at * 1000), '%m-%d') = '07-04'"
+
+
 @query(
-    """select year, 2002 - year as years_ago, count(*) as count, arg_min(id, case when is_favorite then 0 else 1000000000 end + k) as cover_id, string_agg(cast(id as varchar), ',' order by k) as ids
- from (select *, row_number() over (partition by year order by captured_at desc, id) as k from (select *, year(make_timestamp(captured_at * 1000)) as year from media_files
- where strftime(make_timestamp(captured_at * 1000), '%m-%d') = '07-04')) where year < 2002 group by year""",
+    f"""select year, 2002 - year as years_ago, count(*) as count, min(case when k = 1 then id end) as cover_id from
+ (select *, row_number() over (partition by year order by is_favorite desc, captured_at desc, id) as k from ({_DAY})) where year < 2002 group by year""",
     "media_files",
 )
 def on_this_day(lib: Library) -> DataFrame:
-    found = timeline.on_this_day(lib.media_files, 7, 4, AS_OF_YEAR)
-    return found.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+    return timeline.on_this_day(lib.media_files, 7, 4, AS_OF_YEAR)
+
+
+@query(f"select id, year from ({_DAY}) where year < 2002", "media_files")
+def on_this_day_items(lib: Library) -> DataFrame:
+    return timeline.on_this_day_items(lib.media_files, 7, 4, AS_OF_YEAR).select("id", "year")
 
 
 @query(f"select id, strftime(make_timestamp({TS} * 1000), '%Y-%m') as period, row_number() over (partition by strftime(make_timestamp({TS} * 1000), '%Y-%m') order by {TS} desc, id desc) - 1 as position from media_files", "media_files")
@@ -228,32 +234,33 @@ def duplicate_extra_files(lib: Library) -> DataFrame:
     return duplicates.extra_files(lib.media_files)
 
 
-_GROUP = "select file_hash, file_size, count(*) as count, cast(sum(file_size) as bigint) as total_size_bytes, min(id) as first_id, string_agg(cast(id as varchar), ',' order by id) as item_ids"
-
-
-def _flat(groups: DataFrame) -> DataFrame:
-    return groups.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
+_GROUP = "select file_hash, file_size, count(*) as count, cast(sum(file_size) as bigint) as total_size_bytes, min(id) as first_id"
 
 
 @query(f"{_GROUP} from media_files where file_hash in (select file_hash from media_files group by 1 having count(*) > 1) group by 1, 2 having count(*) > 1", "media_files")
 def duplicate_groups(lib: Library) -> DataFrame:
-    return _flat(duplicates.groups(lib.media_files))
+    return duplicates.groups(lib.media_files)
 
 
 @query(f"{_GROUP} from media_files where file_hash in (select file_hash from media_files where file_size >= 20000 and media_type = 'photo' group by 1 having count(*) > 1) group by 1, 2 having count(*) > 1", "media_files")
 def duplicate_groups_filtered(lib: Library) -> DataFrame:
-    return _flat(duplicates.groups(lib.media_files, 20000, "photo"))
+    return duplicates.groups(lib.media_files, 20000, "photo")
 
 
 @query(f"{_GROUP} from media_files group by 1, 2 having count(*) > 1 and bool_or(contains(lower(file_name), 'copy'))", "media_files")
 def duplicate_groups_named(lib: Library) -> DataFrame:
-    return _flat(duplicates.naming(duplicates.groups(lib.media_files), lib.media_files, "Copy"))
+    return duplicates.naming(duplicates.groups(lib.media_files), lib.media_files, "Copy")
+
+
+@query("select id, file_hash from (select *, count(*) over (partition by file_hash, file_size) as n from media_files) where n > 1", "media_files")
+def duplicate_items(lib: Library) -> DataFrame:
+    return duplicates.items(duplicates.groups(lib.media_files), lib.media_files).select("id", "file_hash")
 
 
 _RANKED = f"with ranked as (select *, row_number() over (partition by file_hash, file_size order by score desc, id) as rank, count(*) over (partition by file_hash, file_size) as copies from (select *, cast({SCORE} as bigint) as score from media_files))"
 
 
-@query(f"{_RANKED} select file_hash, id as keeper_id, score, copies as count from ranked where rank = 1 and copies > 1", "media_files")
+@query(f"{_RANKED} select file_hash, file_size, id as keeper_id, score, copies as count from ranked where rank = 1 and copies > 1", "media_files")
 def duplicate_keepers(lib: Library) -> DataFrame:
     return duplicates.keepers(lib.media_files)
 
@@ -265,7 +272,7 @@ def duplicate_wasted(lib: Library) -> DataFrame:
 
 @query(f"{_RANKED} select id, file_hash from ranked where rank > 1", "media_files")
 def redundant_ids(lib: Library) -> DataFrame:
-    return duplicates.redundant(lib.media_files)
+    return duplicates.redundant(lib.media_files).select("id", "file_hash")
 
 
 # the map

@@ -134,8 +134,9 @@ def test_timeline(media):
 
 def test_memories(media):
     rows = media(row(1, captured_at=ms(2023, 11, 11, 8)), row(2, captured_at=ms(2023, 11, 11, 9)), row(3, captured_at=ms(2022, 11, 11, 9), is_favorite=True), row(4, captured_at=ms(2022, 11, 11, 10)), row(5, captured_at=ms(2024, 11, 11)), row(6, captured_at=ms(2023, 11, 12)))
-    got = {r["year"]: (r["years_ago"], r["count"], r["cover_id"], r["ids"]) for r in timeline.on_this_day(rows, 11, 11, 2024).collect()}
-    assert got == {2023: (1, 2, 2, [2, 1]), 2022: (2, 2, 3, [4, 3])}
+    got = {r["year"]: (r["years_ago"], r["count"], r["cover_id"]) for r in timeline.on_this_day(rows, 11, 11, 2024).collect()}
+    assert got == {2023: (1, 2, 2), 2022: (2, 2, 3)}
+    assert {r["id"] for r in timeline.on_this_day_items(rows, 11, 11, 2024).collect()} == {1, 2, 3, 4}
 
 
 def test_presets():
@@ -160,7 +161,8 @@ def test_sorting_and_stats(spark, media):
 
 def test_duplicates(media):
     rows = media(row(1, "x copy.jpg", file_hash="h"), row(2, "x.jpg", file_hash="h"), row(3, "x(1).jpg", file_hash="h", is_favorite=True), row(4, file_hash="u"), row(5, "t.jpg", file_hash="h", file_size=9))
-    assert [(r["count"], r["item_ids"]) for r in duplicates.groups(rows).collect()] == [(3, [1, 2, 3])]
+    assert [tuple(r) for r in duplicates.groups(rows).collect()] == [("h", 1024, 3, 3072, 1)]
+    assert {r["id"] for r in duplicates.items(duplicates.groups(rows), rows).collect()} == {1, 2, 3}
     assert duplicates.keepers(rows).first()["keeper_id"] == 3
     assert {r["id"] for r in duplicates.redundant(rows).collect()} == {1, 2}
     assert duplicates.wasted(rows).first().asDict() == {"groups": 1, "extra_files": 2, "wasted_bytes": 2048}
