@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,3 +68,21 @@ def face_crop(x: Column, y: Column, w: Column, h: Column, margin: float = 0.2) -
     left, top = F.greatest(x - w * margin, F.lit(0.0)), F.greatest(y - h * margin, F.lit(0.0))
     right, bottom = F.least(x + w * (1 + margin), F.lit(1.0)), F.least(y + h * (1 + margin), F.lit(1.0))
     return F.struct(left.alias("x"), top.alias("y"), (right - left).alias("w"), (bottom - top).alias("h"))
+
+
+def from_bytes(content: Column, width: int = 128) -> Column:
+    """Vectors stored as little-endian floats: shorter ones are filled with zeros, longer ones cut; null stays null."""
+
+    @F.pandas_udf("array<float>")
+    def run(values):
+        def one(b):
+            if b is None:
+                return None
+            v = np.zeros(width, dtype="<f4")
+            got = np.frombuffer(bytes(b)[: 4 * min(width, len(b) // 4)], dtype="<f4")
+            v[: len(got)] = got
+            return v
+
+        return values.map(one)
+
+    return run(content)
