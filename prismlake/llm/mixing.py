@@ -14,8 +14,8 @@ there, which for every source is a closed form, so that no global sort is needed
 Numbering rows in a source takes no task more than a cell of it: cells are equal parts of the range of hashes, as many
 as the source's rows ask for.
 
-Defined cases: a null source is one of its own, named by NO_SOURCE; a null text is kept; rows of equal id follow each other by their
-text; a source without a weight raises, a weight without rows is left out; an empty table gives no rows; extra columns
+Defined cases: a null source is one of its own, named by NO_SOURCE; a null text is kept; rows of equal id follow each other by a
+hash of their text; a source without a weight raises, a weight without rows is left out; an empty table gives no rows; extra columns
 stay as they are.
 """
 
@@ -30,7 +30,7 @@ from .ranges import BITS, hash60
 
 PERIOD, BLOCK_ROWS = 1000, 64
 #: Rows of a source that one task numbers, on average.
-CELL_ROWS = 50_000
+CELL_ROWS = 5_000
 #: Weights are counts to this power: sources of few documents get more than their share of rows.
 EVENNESS = 0.5
 NO_SOURCE = "(none)"
@@ -76,8 +76,8 @@ def _plan(counts: DataFrame, weights: DataFrame, period: int, block_rows: int) -
     return by_source.agg(each.alias("x")).select(F.col("x.source").alias("names"), F.col("x.share").alias("shares"), F.col("x.blocks").alias("blocks")).withColumn("runs", schedule(F.col("shares"), period))
 
 
-def interleave(docs: DataFrame, weights: DataFrame | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every row of `docs` (doc_id, source and any others) with `mix`: a struct of
+def interleave(docs: DataFrame, weights: DataFrame | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (by default all) of every row of `docs` (doc_id, source and any others), with `mix`: a struct of
 
     - source_row, block: the row's number in its source and that of its block, from 0;
     - slot: the slot that the schedule gives the block;
@@ -96,15 +96,16 @@ def interleave(docs: DataFrame, weights: DataFrame | None = None, period: int =
     # what the schedule has in store for each source: the slots of its blocks in a period, and its blocks before each slot
     slots = [[t for t, r in enumerate(runs) if r == i] for i in range(len(names))]
     number = F.array_position(_text_array(names), name).cast("int") - 1
-    rows = docs.select(F.struct("*").alias("row"), number.alias("number"), hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"))
+    keep = [c for c in keep or docs.columns if c != "mix"]
+    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id").alias("id"), tie.alias("tie"), number.alias("number"), hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"))
     cells = F.transform(_array(blocks), lambda b: F.greatest(F.lit(1), F.ceil(b * block_rows / CELL_ROWS)))
     share = F.col("order").cast("double") / float(1 << BITS)
     rows = rows.withColumn("cell", F.least(F.floor(share * F.get(cells, F.col("number"))), F.get(cells, F.col("number")) - 1))
     sums = rows.groupBy("number", "cell").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("number").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("number", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    tie = [F.col("row.text")] if "text" in docs.columns else []
-    in_cell = Window.partitionBy("number", "cell").orderBy("order", F.col("row.doc_id"), *tie)
+    in_cell = Window.partitionBy("number", "cell").orderBy("order", "id", "tie")
     ranked = rows.withColumn("k", F.row_number().over(in_cell) - 1).join(sums, ["number", "cell"])
 
     source_row = F.col("before") + F.col("k")
@@ -119,8 +120,7 @@ def interleave(docs: DataFrame, weights: DataFrame | None = None, period: int =
     before = F.zip_with("passed", _array([sizes[s] for s in names]), lambda b, n: F.least(b * block_rows, n))
     add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
     mix = F.struct("source_row", "block", "slot", add("passed").alias("place"), (add(before) + F.col("source_row") % block_rows).alias("position"))
-    kept = [F.col(f"row.`{c}`") for c in docs.columns if c != "mix"]
-    return ranked.select(*kept, mix.alias("mix"))
+    return ranked.select(*[F.col(f"row.`{c}`") for c in keep], mix.alias("mix"))
 
 
 def _array(values: list, kind: str = "array<long>") -> Column:
