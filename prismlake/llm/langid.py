@@ -23,7 +23,9 @@ BUCKETS = 1 << 16
 DIM = 16
 #: The bound of the fitting sample: expected labelled rows taken for each language.
 SAMPLE_PER_LANG = 1200
-EPOCHS, BATCH, RATE, SEED = 6, 32, 0.5, 11
+BATCH, RATE, SEED = 32, 0.5, 11
+#: Steps of gradient descent, whatever the sample's size.
+STEPS = 1500
 #: Share of clean validation rows that rejection may cost, and the highest threshold it may set.
 REJECT_SHARE, REJECT_MOST = 0.001, 0.5
 CHUNK = 1 << 20
@@ -118,15 +120,18 @@ def fit(docs: DataFrame) -> LanguageModel:
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     y = rows["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()
-    xs = [(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(n, "<f4") / np.frombuffer(n, "<f4").sum()) for b, n in zip(rows["b"], rows["n"], strict=True)]
+    counts = [np.frombuffer(n, "<f4") for n in rows["n"]]
+    xs = [(np.frombuffer(b, "<u2"), n / n.sum()) for b, n in zip(rows["b"], counts, strict=True)]
+    del rows, counts
     rng = np.random.default_rng(SEED)
     order = rng.permutation(len(xs))
     held = order[: len(xs) // 5] if len(xs) >= 50 else order
     fitted = order[len(xs) // 5 :] if len(xs) >= 50 else order
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
     out, bias = rng.normal(0, 0.3, (DIM, len(langs))), np.zeros(len(langs))
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = -(-STEPS // -(-len(fitted) // BATCH))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for at in range(0, len(fitted), BATCH):
             batch = fitted[at : at + BATCH]
             mean = np.stack([xs[i][1] @ emb[xs[i][0]] for i in batch])
