@@ -315,9 +315,10 @@ def geohash_tiles(lib: Library) -> DataFrame:
     return spatial.tiles(lib.media_files, 2)
 
 
-def _cell_sql(zoom: int) -> str:
-    y = "case when latitude >= 90 then 0 when latitude <= -90 then 1 else least(greatest(0.5 - 0.25 * ln((1 + sin(radians(latitude))) / (1 - sin(radians(latitude)))) / pi(), 0), 1) end"
-    return f"cast(floor((longitude / 360 + 0.5) * {512 * 2**zoom / 60!r}) as bigint) as cell_x, cast(floor(({y}) * {512 * 2**zoom / 60!r}) as bigint) as cell_y"
+def _cell_sql(zoom: int, x: str = "cell_x", y: str = "cell_y") -> str:
+    north = "case when latitude >= 90 then 0 when latitude <= -90 then 1 else least(greatest(0.5 - 0.25 * ln((1 + sin(radians(latitude))) / (1 - sin(radians(latitude)))) / pi(), 0), 1) end"
+    n = repr(512 * 2.0**zoom / 60)
+    return f"cast(floor((longitude / 360 + 0.5) * {n}) as bigint) as {x}, cast(floor(({north}) * {n}) as bigint) as {y}"
 
 
 @query(f"select cell_x, cell_y, count(*) as count, round(avg(latitude), 6) as latitude, round(avg(longitude), 6) as longitude, min(id) as first_id from (select *, {_cell_sql(3)} from media_files where latitude is not null) group by 1, 2", "media_files")
@@ -325,7 +326,14 @@ def grid_clusters(lib: Library) -> DataFrame:
     return spatial.clusters(lib.media_files, 3)
 
 
-@query()
+_DEEPER = range(4, 17)
+
+
+@query(
+    f"""select cell_x, cell_y, count(*) as count, cast(coalesce({", ".join(f"case when count(distinct (x{z}, y{z})) > 1 then {z} end" for z in _DEEPER)}, 17) as bigint) as expansion_zoom
+ from (select {_cell_sql(3)}, {", ".join(_cell_sql(z, f"x{z}", f"y{z}") for z in _DEEPER)} from media_files where latitude is not null) group by 1, 2 having count(*) > 1""",
+    "media_files",
+)
 def cluster_expansion(lib: Library) -> DataFrame:
     return spatial.expansion_zoom(lib.media_files, 3)
 

@@ -5,7 +5,7 @@ from compare import plain
 
 from prismlake.plans import queries
 
-WITHOUT_SQL = {"cluster_expansion", "content_hash", "iou_nms", "online_clusters", "log_rate_limit"}
+WITHOUT_SQL = {"content_hash", "iou_nms", "online_clusters", "log_rate_limit"}
 
 
 def test_all_others_have_sql():
