@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize
-from .ranges import BITS, hash60
+from .ranges import BITS, hash52
 
 PERIOD, BLOCK_ROWS = 1000, 64
 #: Rows of a source that one task numbers, on average.
@@ -98,7 +98,7 @@ def interleave(docs: DataFrame, weights: DataFrame | None = None, period: int =
     number = F.array_position(_text_array(names), name).cast("int") - 1
     keep = [c for c in keep or docs.columns if c != "mix"]
     tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id").alias("id"), tie.alias("tie"), number.alias("number"), hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id").alias("id"), tie.alias("tie"), number.alias("number"), hash52(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"))
     cells = F.transform(_array(blocks), lambda b: F.greatest(F.lit(1), F.ceil(b * block_rows / CELL_ROWS)))
     share = F.col("order").cast("double") / float(1 << BITS)
     rows = rows.withColumn("cell", F.least(F.floor(share * F.get(cells, F.col("number"))), F.get(cells, F.col("number")) - 1))

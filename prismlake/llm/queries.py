@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, langid, minhash_forest, mixing, pii, sharding, spotsigs, suffix_tree, unigram_counts
+from . import ann, bpe, common, langid, minhash_forest, mixing, oracles, pii, sharding, spotsigs, suffix_tree, unigram_counts
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.interleave(common.documents(spark, sf_dir).select("doc_id", "source", "text"))
+    mixed = mixing.interleave(common.documents(spark, sf_dir), keep=["doc_id", "source"])
     return mixed.select("doc_id", F.coalesce("source", F.lit(mixing.NO_SOURCE)).alias("source"), "mix.source_row", "mix.block", "mix.slot", "mix.place", "mix.position")
 
 
@@ -60,4 +60,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_byte_bpe, op4_spotsigs, op5_learned_partitions, op6_pii, op7_suffix_tree, op8_mixing, op9_minhash_forest, op10_token_counts)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_sharding": oracles.sharding(24), "op8_mixing": oracles.mixing(), "op9_minhash_forest": oracles.near_duplicates()}

@@ -9,7 +9,7 @@ range come to the driver: their number is a parameter, not the table's size.
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 #: Keys drawn for each range, on average.
 DRAWS = 24
-BITS = 60
+#: Of keys: percentiles are found in double precision, which holds as many exactly.
+BITS = 52
 
 
-def hash60(c: Column) -> Column:
-    """A number of 60 bits from a text, as md5 has it."""
-    return F.conv(F.substring(F.md5(c.cast("binary")), 1, 15), 16, 10).cast("long")
+def hash52(c: Column) -> Column:
+    """A number of BITS bits from a text, as md5 has it."""
+    return F.conv(F.substring(F.md5(c.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
 def _unit(*columns: str) -> Column:
@@ -65,6 +66,16 @@ class Cells:
     parts: list[int]
     weights: list[int] = field(default_factory=list)
     counts: list[int] = field(default_factory=list)
+    #: The cells with rows, and what is before the end of each.
+    full: list[int] = field(default_factory=list)
+    full_ends: list[int] = field(default_factory=list)
+    #: For cells of a key that has several, what the key has in all and what is before its end; else null.
+    whole: list[int | None] = field(default_factory=list)
+    end: list[int | None] = field(default_factory=list)
+
+    def single(self, k: int) -> bool:
+        """Whether a range is one key's own."""
+        return 0 < k < len(self.bounds) and self.bounds[k] == self.bounds[k - 1] + 1
 
     def cell(self, key: Column, second: Column) -> Column:
         """The cell of a row. An overfull range of one key is subdivided by the second number, any other by where keys lie in it."""
@@ -72,7 +83,7 @@ class Cells:
         if max(self.parts) == 1:
             return at
         b, many = self.bounds, range(len(self.parts))
-        single = [0 < k < len(b) and b[k] == b[k - 1] + 1 for k in many]
+        single = [self.single(k) for k in many]
         low = [b[k - 1] if k else 0 for k in many]
         width = [max(1, (b[k] if k < len(b) else 1 << BITS) - low[k]) for k in many]
         inside = (key.cast("double") - lookup(low, at, "double")) / lookup(width, at, "double")
@@ -85,9 +96,14 @@ class Cells:
         """What is before a row's cell: weight and number of rows."""
         return lookup(self.weights, cell, "long"), lookup(self.counts, cell, "long")
 
-    def at(self, weight: float) -> int:
-        """The last cell that begins at or before `weight`."""
-        return max(0, bisect_right(self.weights, weight) - 1)
+    def group(self, cell: Column) -> tuple[Column, Column]:
+        """Of a key that has several cells: what it has in all, and what is before its end; nulls for other rows."""
+        return lookup(self.whole, cell, "long"), lookup(self.end, cell, "long")
+
+    def around(self, weight: float) -> list[int]:
+        """The first cell with rows that ends at `weight` or behind it, and the next one with rows."""
+        k = bisect_left(self.full_ends, weight)
+        return self.full[k : k + 2]
 
 
 def cut(df: DataFrame, key: str, second: str, weight: str, total: int, ranges: int, seed: list[str], measure: str | None = None) -> tuple[DataFrame, Cells]:
@@ -108,4 +124,14 @@ def cut(df: DataFrame, key: str, second: str, weight: str, total: int, ranges: i
         cells.counts.append(rows)
         w, n = found.get(k, (0, 0))
         before, rows = before + w, rows + n
+        if n:
+            cells.full.append(k)
+            cells.full_ends.append(before)
+    stops = [*cells.weights[1:], before]
+    at = 0
+    for k, n in enumerate(cells.parts):
+        split = n > 1 and cells.single(k)
+        cells.whole += [stops[at + n - 1] - cells.weights[at] if split else None] * n
+        cells.end += [stops[at + n - 1] if split else None] * n
+        at += n
     return placed, cells

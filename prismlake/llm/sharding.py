@@ -32,8 +32,8 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + RECORD_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        ranges.hash60(text).alias("key"),
-        ranges.hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("second"),
+        ranges.hash52(text).alias("key"),
+        ranges.hash52(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("second"),
     )
     slim = materialize(slim, "sizes")
     sums = slim.agg(F.sum("size").alias("t"), F.count(F.lit(1)).alias("n")).first()
@@ -47,12 +47,13 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     group = Window.partitionBy("cell", "key")
     so_far = F.sum("size").over(in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = placed.withColumns({"end": weight + so_far, "rank": count + F.row_number().over(in_cell) - 1})
-    ranked = ranked.withColumns({"group_size": F.sum("size").over(group), "group_end": F.max("end").over(group)})
+    whole, stop = cells.group(F.col("cell"))
+    ranked = ranked.withColumns({"group_size": F.coalesce(whole, F.sum("size").over(group)), "group_end": F.coalesce(stop, F.max("end").over(group))})
     part = total / shards if total else 1.0
     middle = F.when(F.col("group_size") <= TOGETHER * part, F.col("group_end") - F.col("group_size") / 2).otherwise(F.col("end") - F.col("size") / 2)
     ranked = ranked.withColumn("shard", F.least(F.floor(middle / part), F.lit(shards - 1)).cast("int"))
-    # a shard's first rank is in the cell that holds its boundary or next to it
-    near = sorted({c + d for k in range(1, shards) for c in [cells.at(k * part)] for d in (-1, 0, 1)} | {0})
+    # a row's middle is in its cell, so a shard's first row is in the cell that holds the boundary or in the next
+    near = sorted({c for k in range(shards) for c in cells.around(k * part)})
     firsts = {r["shard"]: r["rank"] for r in ranked.filter(F.col("cell").isin(near)).groupBy("shard").agg(F.min("rank").alias("rank")).collect()}
     start = F.get(F.array(*[F.lit(firsts.get(k, 0)).cast("long") for k in range(shards)]), F.col("shard"))
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

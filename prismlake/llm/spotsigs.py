@@ -71,7 +71,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         text.alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"),
-        ranges.hash60(text).alias("second"),
+        ranges.hash52(text).alias("second"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
     )
     slim = materialize(keyed.select("key", "second", "size"), "ids")
