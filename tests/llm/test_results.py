@@ -38,6 +38,15 @@ def words(text):
     return re.findall(r"[^ \t-\r]+", (text or "").translate(LOWER))
 
 
+def test_written_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "_written", [])
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    df = common.materialize(spark.range(5), "five")
+    assert df.count() == 5 and [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["five"]
+    common.clear(spark)
+    assert list(tmp_path.iterdir()) == []
+
+
 # language
 
 
