@@ -164,6 +164,8 @@ def _extract(docs: DataFrame, keep: list[str]) -> DataFrame:
     new = by_context.unionByName(by_instance).distinct()
     # a group is what one text has
     new = new.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(False).alias("seed"))).alias("new"))
+    # written, so that its size is known: texts are not shuffled to meet a few spans
+    new = materialize(new, "discovered")
     base = F.transform(F.filter("found", lambda x: x["seed"]), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["seed"].alias("seed")))
     none = F.expr("cast(array() as array<struct<kind:string,start:long,end:long,seed:boolean>>)")
     return found.join(new, "row", "left").select("kept", in_order(F.concat(base, F.coalesce("new", none))).alias("spans"))
