@@ -48,7 +48,19 @@ def on_this_day(media: DataFrame, month_: int, day_: int, as_of_year: int) -> Da
     return out.select("year", (F.lit(as_of_year) - F.col("year")).alias("years_ago"), "count", F.col("lead.id").alias("cover_id"))
 
 
+HOUR_MS = 3_600_000
+
+
 def positions(media: DataFrame) -> DataFrame:
-    """Each file's number in its month, newest first, from 0."""
-    order = Window.partitionBy("period").orderBy(effective_ts().desc(), F.desc("id"))
-    return media.withColumn("period", month(effective_ts())).withColumn("position", F.row_number().over(order) - 1)
+    """Each file's number in its month, newest first (the larger id of equal times), from 0.
+
+    Files are ordered an hour at a time; what the later hours of the month hold is added from their counts.
+    """
+    ts = effective_ts()
+    rows = media.withColumns({"period": month(ts), "_hour": F.floor(ts / HOUR_MS)})
+    later = Window.partitionBy("period").orderBy(F.desc("_hour")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("period", "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("period", "_hour", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("period", "_hour").orderBy(ts.desc(), F.desc("id"))
+    placed = rows.withColumn("_k", F.row_number().over(inside) - 1).join(counts, ["period", "_hour"])
+    return placed.select(*media.columns, "period", (F.col("_before") + F.col("_k")).alias("position"))

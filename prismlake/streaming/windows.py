@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -18,12 +18,26 @@ def timed(events: DataFrame, column: str = "ts") -> DataFrame:
     return events.withColumn("ms", F.unix_millis(F.col(column).cast("timestamp")))
 
 
-def sessions(events: DataFrame, key: str, gap_ms: int) -> DataFrame:
-    """key, first_ms, last_ms, events: runs of a key's events (ms) of which each comes less than a gap after the one before."""
-    by = Window.partitionBy(key).orderBy("ms", "event_id")
-    fresh = F.when(F.col("ms") - F.lag("ms").over(by) < gap_ms, 0).otherwise(1)
-    numbered = events.withColumn("_fresh", fresh).withColumn("_session", F.sum("_fresh").over(by))
-    return numbered.groupBy(key, "_session").agg(F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count(F.lit(1)).alias("events")).drop("_session")
+def sessions(events: DataFrame, key: str, gap_ms: int, slice_ms: int = 86_400_000) -> DataFrame:
+    """key, first_ms, last_ms, events: runs of a key's events (ms) of which each comes less than a gap after the one before.
+
+    A key's events are put in order a slice of time at a time, so that a busy key is no single task's work; of each slice
+    only the first and the last run can go on in another one, and only those meet.
+    """
+
+    def runs(df: DataFrame, by: list[str], first: str, last: str, n: Column) -> DataFrame:
+        ordered = Window.partitionBy(*by).orderBy(first, last)
+        fresh = F.when(F.col(first) - F.lag(last).over(ordered) < gap_ms, 0).otherwise(1)
+        numbered = df.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(ordered))
+        return numbered.groupBy(*by, "_run").agg(F.min(first).alias("first_ms"), F.max(last).alias("last_ms"), n.alias("events"))
+
+    sliced = events.select(key, "ms", F.floor(F.col("ms") / max(slice_ms, gap_ms)).alias("_slice"))
+    inside = runs(sliced, [key, "_slice"], "ms", "ms", F.count(F.lit(1)))
+    whole = Window.partitionBy(key, "_slice")
+    inside = inside.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(whole)))
+    across = runs(inside.filter("_edge"), [key], "first_ms", "last_ms", F.sum("events"))
+    names = [key, "first_ms", "last_ms", "events"]
+    return inside.filter("not _edge").select(*names).unionByName(across.select(*names))
 
 
 def live_sessions(events: DataFrame, key: str, gap: str, late: str, ts: str = "ts") -> DataFrame:

@@ -264,6 +264,19 @@ def test_rate_limit(spark):
     assert {r[0] for r in got} == {*range(30), 100, 101}
 
 
+@pytest.mark.parametrize("slice_ms", [1, 100, 10**9])
+def test_sessions_over_slices(spark, slice_ms):
+    rng = np.random.default_rng(1)
+    times = {k: np.sort(rng.integers(0, 20_000, n)) for k, n in (("a", 400), ("b", 3), (None, 50))}
+    rows = [(i, k, int(t)) for k, ts in times.items() for i, t in enumerate(ts)]
+    want = []
+    for k, ts in times.items():
+        for part in np.split(ts, np.flatnonzero(np.diff(ts) >= 60) + 1):
+            want.append((k, int(part[0]), int(part[-1]), len(part)))
+    got = windows.sessions(spark.createDataFrame(rows, "event_id long, k string, ms long"), "k", 60, slice_ms).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_file_event_stream(spark, media, tmp_path):
     catalogue = file_events.Catalogue(spark, str(tmp_path / "catalogue"))
     catalogue.write(media(row(1, "a.jpg"), row(2, "b.jpg", directory="/lib/sub"), row(3, "c.jpg")), 0)
@@ -288,3 +301,29 @@ def test_live_sessions(spark, tmp_path):
     query = windows.live_sessions(stream, "k", "10 seconds", "1 minute").writeStream.format("memory").queryName("settled").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert [r["events"] for r in spark.table("settled").collect()] == [2]
+
+
+def test_results_do_not_depend_on_the_sessions_zone(spark, media):
+    rows = media(row(1, "IMG_20230514_233000.jpg", captured_at=ms(2023, 5, 31, 23, 30)), row(2, "x.jpg", captured_at=ms(2022, 3, 27, 1, 30)))
+
+    def results():
+        return (
+            sorted(tuple(r) for r in timeline.months(rows).select("period", "count").collect()),
+            sorted(tuple(r) for r in timeline.days(rows).collect()),
+            sorted(tuple(r) for r in timeline.days(rows, "Asia/Tokyo").collect()),
+            [tuple(r) for r in timeline.on_this_day(rows, 5, 31, 2024).collect()],
+            one(spark, "IMG_20230514_233000.jpg", lambda c: dates.from_name(c, 2026)),
+            one(spark, "FB_IMG_1426625621638.jpg", lambda c: dates.from_name(c, 2026)),
+            [one(spark, s, dates.from_camera) for s in ("2023:05:14 15:23:45", "2023:05:14", "2023:05:14 15:23:45+02:00", "2023:03:26 02:30:00")],
+            one(spark, '{"photoTakenTime": {"timestamp": "1684077825"}}', lambda c: dates.from_sidecar(c, 2026)),
+        )
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    utc = results()
+    assert utc[0] == [("2022-03", 1), ("2023-05", 1)] and utc[2][1][0] == "2023-06-01"
+    try:
+        for zone in ("America/Los_Angeles", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert results() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
