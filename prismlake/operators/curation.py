@@ -10,7 +10,9 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..functions.text import extension, stem
+from .ordering import number
 
 TAG_COLOR = "#3b82f6"
 MOST_STARS = 5
@@ -145,11 +147,14 @@ def delete_media(tables: Tables, gone: DataFrame) -> Tables:
     return replace(tables, media_files=without(tables.media_files, "id"), albums=covers, album_media=without(tables.album_media, "media_id"), media_tags=without(tables.media_tags, "media_id"), media_faces=without(tables.media_faces, "media_id"))
 
 
+#: Ids that are put in order together.
+ID_SLICE = 100_000
+
+
 def export_names(media: DataFrame) -> DataFrame:
     """id and the name that each file gets in one folder: a name that is taken gets _1, _2 and so on after its stem, in the order of ids."""
-    from ..functions.text import extension, stem
-
-    k = F.row_number().over(Window.partitionBy("file_name").orderBy("id")) - 1
-    dot = F.when(extension(F.col("file_name")) != "", F.concat(F.lit("."), F.regexp_extract("file_name", r"\.([^.]*)$", 1))).otherwise("")
-    numbered = F.concat(stem(F.col("file_name")), F.lit("_"), k.cast("string"), dot)
-    return media.select("id", F.when(k == 0, F.col("file_name")).otherwise(numbered).alias("export_name"))
+    name = F.col("file_name")
+    numbered = number(media.select("id", "file_name"), [name], F.floor(F.col("id") / ID_SLICE), [F.col("id")], "_n")
+    dot = F.when(extension(name) != "", F.concat(F.lit("."), F.regexp_extract(name, r"\.([^.]*)$", 1))).otherwise("")
+    again = F.concat(stem(name), F.lit("_"), F.col("_n").cast("string"), dot)
+    return numbered.select("id", F.when(F.col("_n") == 0, name).otherwise(again).alias("export_name"))

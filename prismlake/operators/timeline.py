@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.times import day, effective_ts, in_utc, month
+from .ordering import number
 
 
 def months(media: DataFrame) -> DataFrame:
@@ -52,15 +52,7 @@ HOUR_MS = 3_600_000
 
 
 def positions(media: DataFrame) -> DataFrame:
-    """Each file's number in its month, newest first (the larger id of equal times), from 0.
-
-    Files are ordered an hour at a time; what the later hours of the month hold is added from their counts.
-    """
+    """Each file's period and its number in it (`position`), newest first (the larger id of equal times), from 0; hour by hour."""
     ts = effective_ts()
-    rows = media.withColumns({"period": month(ts), "_hour": F.floor(ts / HOUR_MS)})
-    later = Window.partitionBy("period").orderBy(F.desc("_hour")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("period", "_hour").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select("period", "_hour", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("period", "_hour").orderBy(ts.desc(), F.desc("id"))
-    placed = rows.withColumn("_k", F.row_number().over(inside) - 1).join(counts, ["period", "_hour"])
-    return placed.select(*media.columns, "period", (F.col("_before") + F.col("_k")).alias("position"))
+    dated = media.withColumn("period", month(ts))
+    return number(dated, [F.col("period")], F.floor(ts / HOUR_MS), [ts.desc_nulls_last(), F.desc("id")], "position", descending=True)
