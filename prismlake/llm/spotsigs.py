@@ -117,8 +117,10 @@ def near_duplicates(docs: DataFrame, at_least: float = 0.75) -> DataFrame:
     """doc_id and component_id (smallest id reachable) of `docs`: documents are linked if their likeness is `at_least`.
 
     Equal sets are one class. Classes meet by their rarest signatures, of which two sets of this likeness share one among
-    the first n - ceil(at_least * n) + 1, in the partitions of their own length and of the next shorter one: partition k
-    holds lengths from (1 / at_least)^k. Documents without signatures link with nothing.
+    the first n - ceil(at_least * n) + 1, and by partition: partition k holds lengths from (1 / at_least)^k, and meets
+    itself and the one before. Where they meet each class is first compared with the smallest id, which joins most of a
+    group of copies; only classes that are not joined by then are compared with each other. Documents without signatures
+    link with nothing.
     """
     step = math.log(1 / at_least)
     signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text")).alias("signed")).filter("doc_id is not null"), "spots")
@@ -130,11 +132,24 @@ def near_duplicates(docs: DataFrame, at_least: float = 0.75) -> DataFrame:
     alone = each.join(common, "s").withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("rep"))).withColumn("k", F.row_number().over(rare) + F.col("n") - F.col("left"))
     prefix = alone.filter(F.col("k") <= F.col("n") - F.ceil(F.lit(at_least) * F.col("n")) + 1)
     prefix = materialize(prefix.select("s", "rep", "n", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int").alias("part")), "prefixes")
-    a = prefix.select("s", "part", F.col("rep").alias("u"), F.col("n").alias("nu"))
-    b = prefix.select("s", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), F.col("rep").alias("v"), F.col("n").alias("nv"))
-    near = (F.least("nu", "nv") >= F.lit(at_least) * F.greatest("nu", "nv")) & (F.col("u") != F.col("v"))
-    pairs = a.join(b, ["s", "part"]).filter(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    joined = pairs.join(classes.select(F.col("rep").alias("u"), F.col("signed").alias("su")), "u").join(classes.select(F.col("rep").alias("v"), F.col("signed").alias("sv")), "v")
-    found = components(joined.filter(likeness(F.col("su"), F.col("sv"), at_least) >= at_least).select("u", "v")).withColumnRenamed("node", "rep")
+    meeting = prefix.select("s", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "rep", "n")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of candidate pairs (a, na, b, nb) the links u < v."""
+        near = F.least("na", "nb") >= F.lit(at_least) * F.greatest("na", "nb")
+        some = pairs.filter(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        sets = lambda c: classes.select(F.col("rep").alias(c), F.col("signed").alias(f"s{c}"))
+        both = some.join(sets("u"), "u").join(sets("v"), "v")
+        return materialize(both.filter(likeness(F.col("su"), F.col("sv"), at_least) >= at_least).select("u", "v"), "links")
+
+    lead = meeting.groupBy("s", "part").agg(F.min(F.struct("rep", "n")).alias("lead"))
+    first = linked(meeting.join(lead, ["s", "part"]).select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("lead.rep").alias("b"), F.col("lead.n").alias("nb")))
+    labelled = meeting.join(components(first).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = materialize(labelled, "labelled")
+    open_ = labelled.groupBy("s", "part").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("s", "part")
+    rest = labelled.join(open_, ["s", "part"], "left_semi")
+    side = lambda c: rest.select("s", "part", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"of_{c}"))
+    apart = side("a").join(side("b"), ["s", "part"]).filter("of_a < of_b")
+    found = components(first.unionByName(linked(apart))).withColumnRenamed("node", "rep")
     of_class = classes.join(found, "rep", "left").select("signed", F.coalesce("component", "rep").alias("class_id"))
     return signed.join(of_class, "signed", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("component_id"))
