@@ -1,6 +1,7 @@
 """Operators on small tables of our own."""
 
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import dates, geo, text, times, vectors
 from prismlake.operators import curation, duplicates, ingest, ops, people, search, spatial, timeline
-from prismlake.streaming import file_events, windows
+from prismlake.streaming import file_events, progress, windows
 
 MEDIA = "id long, library_id long, file_path string, directory string, file_name string, file_size long, file_modified_at long, file_hash string, media_type string, orientation int, captured_at long, latitude double, longitude double, camera_make string, thumbnail_status string, is_favorite boolean, rating int, face_scanned boolean"
 
@@ -294,6 +295,25 @@ def test_file_event_stream(spark, media, tmp_path):
     assert catalogue.versions() == [0, 1]
 
 
+def test_progress(spark, tmp_path):
+    spark.range(7).write.parquet(str(tmp_path / "in"))
+    told = []
+    listener = progress.Progress("scan", 7, told.append)
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        query = stream.writeStream.format("noop").queryName("scan").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for _ in range(100):
+            if told and told[-1]["is_complete"]:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert told[-1] == {"done": 7, "total": 7, "percent": 100, "is_complete": True}
+
+
 def test_live_sessions(spark, tmp_path):
     rows = [(1, "a", dt.datetime(2024, 1, 1, 0, 0, 0)), (2, "a", dt.datetime(2024, 1, 1, 0, 0, 5)), (3, "a", dt.datetime(2024, 1, 1, 1))]
     spark.createDataFrame(rows, "event_id long, k string, ts timestamp").write.parquet(str(tmp_path / "in"))
