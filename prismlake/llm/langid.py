@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 DIM = 16
 #: The bound of the fitting sample: expected labelled rows taken for each language.
-SAMPLE_PER_LANG = 1200
+SAMPLE_PER_LANG = 800
 BATCH, RATE, SEED = 32, 0.5, 11
 #: Steps of gradient descent, whatever the sample's size.
 STEPS = 1500
