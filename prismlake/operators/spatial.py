@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.geo import geohash, haversine_km, mercator
 from ..sources.places import gazetteer
@@ -79,16 +80,27 @@ def badge(count: Column) -> Column:
     return F.when(count >= 1000, F.concat(F.round(count / 1000, 1).cast("string"), F.lit("k"))).otherwise(count.cast("string"))
 
 
+def _unit(lat: Column, lon: Column) -> list[Column]:
+    """A point of the globe as a vector of length one."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
+
+
 def nearest_place(media: DataFrame) -> DataFrame:
     """id, distance_km and place of every point: the nearest place's name, `Near` it beyond AT_KM, null beyond NEAR_KM.
 
-    The places are a fixed table of under a hundred rows, which every task gets; each point is compared with all in one
-    expression, so that no row is repeated.
+    The places are a fixed table of under a hundred rows, which every task gets as one array, so that no row is repeated.
+    The nearest place is the one whose unit vector has the largest product with the point's; only its distance is worked out.
     """
-    places = gazetteer(media.sparkSession).withColumn("k", F.monotonically_increasing_id()).agg(F.collect_list(F.struct("k", "city", "country", "lat", "lon")).alias("places"))
-    points = media.filter("latitude is not null and longitude is not null").select("id", "latitude", "longitude").join(F.broadcast(places))
-    at = lambda p: F.struct(haversine_km(F.col("latitude"), F.col("longitude"), p["lat"], p["lon"]).alias("km"), p["k"].alias("k"), p["city"].alias("city"), p["country"].alias("country"))
-    best = points.select("id", F.array_min(F.transform("places", at)).alias("best"))
+    place = F.struct("k", "city", "country", "lat", "lon", *[c.alias(n) for n, c in zip("xyz", _unit(F.col("lat"), F.col("lon")), strict=True)])
+    order = Window.orderBy("city", "country", "lat")
+    places = gazetteer(media.sparkSession).withColumn("k", F.row_number().over(order) - 1).agg(F.array_sort(F.collect_list(place)).alias("places"))
+    points = media.filter("latitude is not null and longitude is not null").select("id", "latitude", "longitude")
+    points = points.withColumns({f"p{n}": c for n, c in zip("xyz", _unit(F.col("latitude"), F.col("longitude")), strict=True)}).join(F.broadcast(places))
+    like = lambda p: F.struct((F.col("px") * p["x"] + F.col("py") * p["y"] + F.col("pz") * p["z"]).alias("product"), (-p["k"]).alias("k"))
+    best = points.withColumn("best", F.get("places", -F.array_max(F.transform("places", like))["k"]))
+    km = haversine_km(F.col("latitude"), F.col("longitude"), F.col("best.lat"), F.col("best.lon"))
     name = F.concat_ws(", ", F.col("best.city"), F.col("best.country"))
-    place = F.when(F.col("best.km") <= AT_KM, name).when(F.col("best.km") <= NEAR_KM, F.concat(F.lit("Near "), name))
-    return best.select("id", F.round("best.km", 3).alias("distance_km"), place.alias("place"))
+    found = best.select("id", km.alias("km"), name.alias("name"))
+    what = F.when(F.col("km") <= AT_KM, F.col("name")).when(F.col("km") <= NEAR_KM, F.concat(F.lit("Near "), F.col("name")))
+    return found.select("id", F.round("km", 3).alias("distance_km"), what.alias("place"))
