@@ -7,14 +7,16 @@ longest common prefix reaches DEPTH stand side by side and form a region.
 1. Documents of equal sets are one class, and its smallest id stands for it. Classes go through the forest.
 2. In a region each class takes as candidates the region's first class and its neighbour in the order. Of all trees'
    candidates, those that most trees agree on are confirmed on the full sets, which joins most near copies.
-3. In regions whose classes are not all joined by then, the full sets of all classes meet and every pair of classes from
-   different components is confirmed. A region with more such pairs than PAIRS_A_ROW for each of its rows is taken one
-   component of the order deeper, as often as that is needed (adaptive depth, up to DEEPER more); what is still
-   crowded at the end is compared in full, in blocks.
+3. In regions whose classes are not all joined by then, every pair of classes from different components is confirmed on
+the full sets. A region of up to PAIRS_A_ROW such pairs for each of its rows, and of REGION_BYTES, is one task's work. The
+classes of all larger regions are joined by prefixes instead: under one order of all shingles, rare ones first, two sets
+of similarity 0.75 share a shingle among the first quarter of the larger and the first seventh of the smaller, and where
+their first common one stands bounds how many they can share. Pairs that meet so are confirmed on the full sets. What
+thousands share (a template) is late in the order, so few pairs meet by it.
 
 So a link is missed only if no tree has the two documents in one region: with J = 0.75 once in (1 - 0.75**4)**-32, about
-190,000 times, and a component only if that happens to all links that hold it. The orders are dealt out by range, so that
-a region of any size is spread over tasks.
+190,000 times, and a component only if that happens to all links that hold it; or if their sketches fall short (SPARE).
+The orders are dealt out by range, and prefixes by shingle, so that a region of any size is spread over tasks.
 
 Defined cases: a null text or one without words has no shingles, links with nothing and is its own component; texts of
 fewer than five words have one shingle, all of their words; a null id takes no part and comes back with null component;
@@ -42,7 +44,9 @@ PAIRS_A_ROW = 64
 FIRST_TRIES = 3
 #: Agreeing components that a pair at the threshold falls short of less than once in ten million times.
 SPARE = 5.5
-BLOCK_BYTES = 64 << 20
+REGION_BYTES = 64 << 20
+#: Shingles are ordered by how often their bucket occurs; any number of buckets gives the same links.
+BUCKETS = 1 << 18
 
 _seeds = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -140,60 +144,102 @@ def _confirm(percent: int):
 
 
 def _complete(percent: int):
-    """Links between classes of different components, from the rows of regions in order: key, deeper, rep, component, set."""
-
-    def links(rows: list, depth: int):
-        """Of the rows of one region that agree on `depth` components after the first DEPTH."""
-        sizes = np.unique(np.array([r[3] for r in rows]), return_counts=True)[1]
-        pairs = (len(rows) ** 2 - int((sizes.astype(np.int64) ** 2).sum())) // 2
-        if not pairs:
-            return
-        if pairs > PAIRS_A_ROW * len(rows) and depth < DEEPER:
-            shift, at = 8 * (DEEPER - 1 - depth), 0
-            part = [(r[1] & (1 << 64) - 1) >> shift for r in rows]
-            for k in range(1, len(rows) + 1):
-                if k == len(rows) or part[k] != part[at]:
-                    yield from links(rows[at:k], depth + 1)
-                    at = k
-            return
-        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-        sketch = np.stack([np.frombuffer(r[5], np.uint8) for r in rows])
-        comp, n = np.array([r[3] for r in rows]), np.array([len(s) for s in sets])
+    """Links between classes of different components, from whole regions in order: key, rep, component, shingles, sketch."""
+
+    def links(rows: list):
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        sketch = np.stack([np.frombuffer(r[4], np.uint8) for r in rows])
+        comp, n = np.array([r[2] for r in rows]), np.array([len(s) for s in sets])
         j = percent / 100
         least = SIGNATURE * j - SPARE * np.sqrt(SIGNATURE * j * (1 - j))
         for k in range(1, len(rows)):
-            open_ = (comp[:k] != comp[k]) & (100 * np.minimum(n[:k], n[k]) >= percent * np.maximum(n[:k], n[k]))
-            open_ &= (sketch[:k] == sketch[k]).sum(axis=1) >= least
-            for i in np.flatnonzero(open_):
+            open_ = np.flatnonzero((comp[:k] != comp[k]) & (100 * np.minimum(n[:k], n[k]) >= percent * np.maximum(n[:k], n[k])))
+            for i in open_[(sketch[open_] == sketch[k]).sum(axis=1) >= least]:
                 if comp[i] != comp[k] and linked(sets[i], sets[k], percent):
-                    yield int(rows[i][2]), int(rows[k][2])
+                    yield int(rows[i][1]), int(rows[k][1])
                     comp[comp == comp[k]] = comp[i]
 
     def run(batches):
         rows: list = []
-        size = 0
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and (row[0] != rows[0][0] or size >= BLOCK_BYTES):
-                    out += links(rows, 0)
-                    rows, size = [], 0
+                if rows and row[0] != rows[0][0]:
+                    out += links(rows)
+                    rows = []
                 rows.append(row)
-                size += len(row[4]) + 512
             if out:
                 yield _links(out)
         if rows:
-            yield _links([*links(rows, 0)])
+            yield _links([*links(rows)])
 
     return run
 
 
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _occurrences(batches):
+    """How often each bucket of shingles occurs in a task's sets."""
+    n = np.zeros(BUCKETS, dtype=np.int64)
+    for batch in batches:
+        for s in batch.column(0).to_pylist():
+            np.add.at(n, _bucket(np.frombuffer(s, np.uint64)), 1)
+    seen = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], names=["bucket", "n"])
+
+
+def _prefixes(percent: int, shared):
+    """Of each set (rep, component, shingles) its first shingles, one of which any partner has, each with its place and whether partners that are not smaller have one up to there."""
+
+    def run(batches):
+        often = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                out = []
+                for rep, component, packed in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True):
+                    s = np.frombuffer(packed, np.uint64)
+                    n = len(s)
+                    take, short = n + percent * n // -100 + 1, n + 2 * percent * n // -(100 + percent) + 1
+                    first = s[np.lexsort((s, often[_bucket(s)]))[:take]]
+                    place = np.arange(take)
+                    out.append((first.view(np.int64), np.full(take, rep), np.full(take, component), np.full(take, n), place, place < short))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["shingle", "rep", "component", "n", "place", "short"])
+
+    return run
+
+
+def _by_prefixes(crowd: DataFrame, percent: int) -> DataFrame:
+    """a, b: all pairs of `crowd` (rep, component, shingles) from different components that can reach the threshold."""
+    counted = crowd.select("shingles").mapInArrow(_occurrences, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(BUCKETS, dtype=np.int64)
+    often[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    run = _prefixes(percent, crowd.sparkSession.sparkContext.broadcast(often))
+    prefixes = materialize(crowd.select("rep", "component", "shingles").mapInArrow(run, "shingle long, rep long, component long, n long, place long, short boolean"), "prefixes")
+    shared = prefixes.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("shingle")
+    prefixes = materialize(prefixes.join(shared, "shingle", "left_semi"), "shared")
+    x, y = prefixes.filter("short").alias("x"), prefixes.alias("y")
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
+    met &= (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    met &= (100 * F.col("x.n") >= percent * F.col("y.n")) & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
+    return x.join(y, met).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def _links(pairs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: those of the pairs a, b whose full sets reach the threshold."""
+    joined = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    joined = joined.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, pairs_a_row: int = PAIRS_A_ROW) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text). `pairs_a_row` sets how regions are compared, not what is found."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = materialize(docs.mapInArrow(lambda b: _describe(b, words), "doc_id long, n_shingles long, low long, high long, sig binary"), "signatures")
@@ -208,21 +254,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
     # the sets of the classes that have company, from their texts
     met = regions.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = materialize(texts.mapInArrow(lambda b: _sets(b, words), "rep long, shingles binary, sketch binary"), "sets")
+    sets = materialize(texts.mapInArrow(lambda b: _sets(b, words), "rep long, n long, shingles binary, sketch binary"), "sets")
 
     tries = regions.select("rep", F.explode(F.array("first", "before")).alias("other")).filter("rep != other")
     tries = tries.groupBy(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     best = tries.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).filter(F.col("k") <= FIRST_TRIES)
-    joined = best.select("a", "b").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    joined = joined.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
-    first = materialize(joined.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "u long, v long"), "links")
+    first = materialize(_confirmed(best.select("a", "b"), sets, percent), "links")
 
-    labelled = regions.select(*order).join(components(first).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = regions.select("key", "rep").join(components(first).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = materialize(labelled, "labelled")
     unsettled = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    rows = labelled.join(unsettled, "key", "left_semi").join(sets, "rep").select(*order, "component", "shingles", "sketch")
-    rows = materialize(rows, "unsettled")
-    more = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_complete(percent), "u long, v long")
+    rows = materialize(labelled.join(unsettled, "key", "left_semi").join(sets.select("rep", "n"), "rep"), "unsettled")
+    parts_of = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n") * 8 + 512).alias("bytes"))
+    sizes = parts_of.groupBy("key").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("same"), F.sum("bytes").alias("bytes"))
+    many = (F.col("rows") * F.col("rows") - F.col("same") > 2 * pairs_a_row * F.col("rows")) | (F.col("bytes") > REGION_BYTES)
+    crowded = materialize(sizes.filter(many).select("key"), "crowded")
+    small = rows.join(crowded, "key", "left_anti").select("key", "rep", "component").join(sets, "rep").select("key", "rep", "component", "shingles", "sketch")
+    more = materialize(small.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_complete(percent), "u long, v long"), "links")
+    if not crowded.isEmpty():
+        crowd = rows.join(crowded, "key", "left_semi").select("rep", "component").distinct()
+        crowd = materialize(crowd.join(sets, "rep").select("rep", "component", "shingles"), "crowd")
+        more = more.unionByName(_confirmed(_by_prefixes(crowd, percent), sets, percent))
     of_rep = components(first.unionByName(more)).withColumnRenamed("node", "rep")
 
     of_class = classes.select("low", "high", "rep").join(of_rep, "rep", "left").select("low", "high", F.coalesce("component", "rep").alias("class_component"))
@@ -237,4 +289,4 @@ def _sets(batches, words: int):
         for at in range(0, batch.num_rows, 512):
             found = [shingle_set(t, words) for t in batch.column(1)[at : at + 512].to_pylist()]
             sketch = [(signature(s) & np.uint32(0xFF)).astype(np.uint8).tobytes() for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512], pa.array([s.tobytes() for s in found], pa.binary()), pa.array(sketch, pa.binary())], names=["rep", "shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512], pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(sketch, pa.binary())], names=["rep", "n", "shingles", "sketch"])

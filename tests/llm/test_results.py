@@ -409,6 +409,34 @@ def test_large_group_of_near_copies(written):
     assert got == brute_components(texts)
 
 
+def template_texts(n, linked):
+    """Texts that share a template (J about 0.6), of which the first `linked` pairs share more (J about 0.76)."""
+    template = [f"t{k}" for k in range(94)]
+    texts = {}
+    for i in range(n):
+        own = [f"o{i}x{k}" for k in range(30)]
+        if i < 2 * linked:
+            m = 13 + i // 2 % 2
+            own[:m] = [f"p{i // 2}x{k}" for k in range(m)]
+        texts[i] = " ".join(template + own)
+    return texts
+
+
+def test_links_in_a_crowd_of_one_template(written):
+    texts = template_texts(2000, 300)
+    sets = {i: set(shingles.shingle_set(t).tolist()) for i, t in texts.items()}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    want = {i: i - 1 if i % 2 and alike(i, i - 1) else i for i in texts}
+    assert sum(want[i] != i for i in texts) == 300 and not alike(0, 2) and not alike(1, 1999)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(written(list(texts.items()))).collect()}
+    assert got == want
+
+
+def test_how_regions_are_compared_does_not_matter(spark, sf_dir, docs, texts):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_forest.near_duplicates(docs, pairs_a_row=0).collect()}
+    assert got == brute_components(texts)
+
+
 def test_shingles_are_sets_of_words():
     a = shingles.shingle_set("The  quick\tbrown fox\njumps over")
     assert len(a) == 2 and np.array_equal(a, shingles.shingle_set("the quick brown fox jumps over"))
