@@ -218,6 +218,30 @@ def test_recall(spark, clustered):
     assert hit / 600 >= 0.9
 
 
+def test_repeated_ids_are_one_candidate(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(1500, 8)).astype(np.float32)
+    ids = np.arange(1500)
+    far = rng.normal(size=(500, 8)).astype(np.float32)
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True) for _ in range(2)] + [(7, v.tolist()) for v in far]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in ann.search(table, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    every, named = np.concatenate([x, far]).astype(np.float64), np.concatenate([ids, np.full(500, 7)])
+    hit = 0
+    for q in range(0, 1500, 100):
+        d = np.full(1500, np.inf)
+        np.minimum.at(d, named, np.sqrt(((every - every[q]) ** 2).sum(axis=1)))
+        d[q] = np.inf
+        hit += len(set(np.lexsort((ids, d))[:10].tolist()) & {v for v, _ in got[q]})
+        assert len({v for v, _ in got[q]}) == len(got[q]) == 10
+        assert all(s >= d[v] - 1e-12 and (v == 7 or s == pytest.approx(d[v], abs=1e-12)) for v, s in got[q])
+    assert hit / 150 >= 0.9
+    near = ann.nearest(np.array([[0.0], [1.0], [0.5], [9.0]]), np.array([1, 1, 2, 3]), np.array([1.0]), 3, 2)
+    assert [x.tolist() for x in near] == [[0.0, 0.5], [1, 2]]
+
+
 # personal data
 
 
