@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -39,12 +41,27 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_order(mixing.interleave(docs.select(*COLUMNS)))
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """position, doc_id and text of every row of `docs`, a scan of files: the row's number, from 0, in the order in which the files were written."""
+    name = F.col("_metadata.file_name")
+    files = docs.groupBy(name.alias("name")).agg(F.max("_metadata.row_index").alias("last")).collect()
+    before, n = {}, 0
+    for f in sorted(files, key=lambda f: ([int(x) for x in re.findall(r"part-(\d+)|-c(\d+)", f["name"]) for x in x if x], f["name"])):
+        before[f["name"]] = n
+        n += f["last"] + 1
+    start = F.element_at(F.from_json(F.lit(json.dumps(before)), "map<string,long>"), name)
+    return docs.select((start + F.col("_metadata.row_index")).alias("position"), "doc_id", "text")
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document, whether they decode to its text, and its position in the mix, which is the order of the files."""
     common.small_batches(spark)
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
-    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = placed(docs)
+    # ids may be null or repeat, positions don't
+    encoded = bpe.encode(rows.select(F.col("position").alias("doc_id"), "text"), ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, ranks).select(F.col("doc_id").alias("position"), "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decoded.join(rows.select("position", "doc_id"), "position").select("doc_id", "ids", "n_tokens", "decoded_sha256", "position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -536,3 +536,14 @@ def test_mixed_files_are_in_order(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = [r["doc_id"] for r in mixing.interleave(docs).orderBy("mix.position").select("doc_id").collect()]
     assert [r["doc_id"] for r in corpus_pipeline.mixed(spark, docs, sf_dir).collect()] == want
+
+
+def test_the_mix_is_the_order_of_the_result(spark, sf_dir):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        got = {r["position"]: r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.col("doc_id").isin(list(got.values())))
+    want = [r["doc_id"] for r in mixing.interleave(docs).orderBy("mix.position").select("doc_id").collect()]
+    assert [got[k] for k in range(len(got))] == want
