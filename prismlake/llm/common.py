@@ -16,11 +16,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all tasks run on this machine, a local one."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="spark-shared-")
     return _own_dir
@@ -42,6 +44,11 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """The UTF-8 bytes of all texts, by which jobs choose how many parts they have."""
+    return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+
+
 def small_batches(spark: SparkSession) -> None:
     """Let Python workers get few rows at a time: texts and sets of shingles are long, and an executor's memory has to hold a batch several times over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

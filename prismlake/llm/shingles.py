@@ -37,20 +37,26 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[:n], _inverses[:n]
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A hash for each word of a UTF-8 text, in order."""
+def split_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A UTF-8 text's bytes, A-Z lower-cased and white space as blanks, and where each word starts and ends."""
     codes = np.frombuffer(data, dtype=np.uint8)
-    if not len(codes):
-        return np.zeros(0, dtype=np.uint64)
-    lower = np.where((codes >= 65) & (codes <= 90), codes + np.uint8(32), codes)
-    word = ~((codes == 32) | ((codes >= 9) & (codes <= 13)))
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
+    codes = np.where((codes >= 65) & (codes <= 90), codes + np.uint8(32), codes)
+    codes[(codes >= 9) & (codes <= 13)] = 32
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], codes != 32, [False]]).view(np.int8)))
+    return codes, edge[::2], edge[1::2]
+
+
+def hash_words(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     powers, inverses = _powers_to(len(codes) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
     return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash for each word of a UTF-8 text, in order."""
+    return hash_words(*split_words(data)) if data else np.zeros(0, dtype=np.uint64)
+
+
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct shingle hashes of a whole text."""
     h = word_hashes((text or "").encode("utf-8", "surrogatepass"))
