@@ -9,7 +9,6 @@ range come to the driver: their number is a parameter, not the table's size.
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -66,9 +65,6 @@ class Cells:
     parts: list[int]
     weights: list[int] = field(default_factory=list)
     counts: list[int] = field(default_factory=list)
-    #: The cells with rows, and what is before the end of each.
-    full: list[int] = field(default_factory=list)
-    full_ends: list[int] = field(default_factory=list)
     #: For cells of a key that has several, what the key has in all and what is before its end; else null.
     whole: list[int | None] = field(default_factory=list)
     end: list[int | None] = field(default_factory=list)
@@ -100,11 +96,6 @@ class Cells:
         """Of a key that has several cells: what it has in all, and what is before its end; nulls for other rows."""
         return lookup(self.whole, cell, "long"), lookup(self.end, cell, "long")
 
-    def around(self, weight: float) -> list[int]:
-        """The first cell with rows that ends at `weight` or behind it, and the next one with rows."""
-        k = bisect_left(self.full_ends, weight)
-        return self.full[k : k + 2]
-
 
 def cut(df: DataFrame, key: str, second: str, weight: str, total: int, ranges: int, seed: list[str], measure: str | None = None) -> tuple[DataFrame, Cells]:
     """`df` with `cell`: cells are in the order of (key, second), and overfull ranges are several.
@@ -124,9 +115,6 @@ def cut(df: DataFrame, key: str, second: str, weight: str, total: int, ranges: i
         cells.counts.append(rows)
         w, n = found.get(k, (0, 0))
         before, rows = before + w, rows + n
-        if n:
-            cells.full.append(k)
-            cells.full_ends.append(before)
     stops = [*cells.weights[1:], before]
     at = 0
     for k, n in enumerate(cells.parts):

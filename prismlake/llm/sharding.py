@@ -52,8 +52,7 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     part = total / shards if total else 1.0
     middle = F.when(F.col("group_size") <= TOGETHER * part, F.col("group_end") - F.col("group_size") / 2).otherwise(F.col("end") - F.col("size") / 2)
     ranked = ranked.withColumn("shard", F.least(F.floor(middle / part), F.lit(shards - 1)).cast("int"))
-    # a row's middle is in its cell, so a shard's first row is in the cell that holds the boundary or in the next
-    near = sorted({c for k in range(shards) for c in cells.around(k * part)})
-    firsts = {r["shard"]: r["rank"] for r in ranked.filter(F.col("cell").isin(near)).groupBy("shard").agg(F.min("rank").alias("rank")).collect()}
+    # a group that moves as one may begin cells before the boundary, so a shard's first row is looked for among all
+    firsts = {r["shard"]: r["rank"] for r in ranked.groupBy("shard").agg(F.min("rank").alias("rank")).collect()}
     start = F.get(F.array(*[F.lit(firsts.get(k, 0)).cast("long") for k in range(shards)]), F.col("shard"))
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
