@@ -1,20 +1,27 @@
 r"""Personal data by bootstrapped contextual extraction.
 
-Expressions find the seed entities (email, ip, card, phone). Looser shapes find further strings that look like
-identifiers of a kind: cards of other lengths or without a valid check digit, phone numbers without a country prefix,
-addresses written with "at" and "dot" or without a top-level domain, dotted numbers of the wrong range; and any other
-string with digits counts as evidence against a context. The words around a string (the one before it, the two before
-it, the one after it) are lexical patterns. Spark keeps the graph of patterns and instances (kind and normalised
-string) as a table and scores both in turn for ROUNDS rounds:
+Expressions find the seed entities (email, ip, card, phone). Any other string that could be an identifier, a run of
+numbers, a name with an at sign in any spelling or a word with digits, is a candidate of no kind. Around a string stand
+its lexical patterns: the word before it, the two words before it, the word after it; and its own shape is one (digits
+written as 9, where it has no letters). Spark keeps the graph of patterns and instances (normalised strings) as a table
+and scores both in turn for ROUNDS rounds:
 
-- a pattern's confidence in a kind is the score of its instances of that kind over all its instances plus SMOOTHING;
-- an instance of a looser shape scores 1 - product(1 - confidence) over the patterns that are sure enough; seeds score 1.
+- a pattern's confidence in a kind is what speaks for it over all that is there plus SMOOTHING. A seed of the kind speaks
+  for it, one of another kind against it. A candidate speaks for it with the score that the round before has given it, 0
+  at first; the rest of it speaks against, wholly if it has not the look of the kind or its shape is the pattern, else by
+  OPEN. A pattern counts from CONFIDENT on, if SUPPORT instances or more are behind it;
+- a candidate's score for a kind is 1 - product(1 - confidence * plausibility) over its patterns that count.
 
-A string of a looser shape is reported where a pattern with at least SUPPORT distinct instances and a confidence of
-CONFIDENT stands beside it, or where its instance scores CONFIDENT. Seeds are always reported.
+So patterns that seeds have induced propose whatever stands in their slot, whatever its form, and what they find supports
+further patterns. Plausibility is 1 for what has the kind's number of digits and no letters (of an email, an at sign), else
+UNLIKELY: an odd string needs more than one pattern.
+
+A candidate is reported, as the kind of its highest score, where the patterns around it or all those of its instance give
+it CONFIDENT. Seeds are always reported.
 
 Defined cases: a null or empty text has no spans; spans count code points and end before `end`; equal matches of two
-kinds are both kept; repeated rows and null ids are kept as they are; extra columns are ignored.
+kinds are both kept; of kinds of equal score the first of KINDS counts; repeated rows and null ids are kept as they are;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +29,17 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SMOOTHING, SUPPORT, CONFIDENT = 3, 1.0, 8, 0.85
+ROUNDS, SMOOTHING, SUPPORT, CONFIDENT, OPEN = 3, 1.0, 8, 0.8, 0.25
+#: Seeds of a kind that a pattern is looked at for, and what a string counts for that has not the look of a kind.
+SEEDS, UNLIKELY = 3, 0.5
+#: Numbers of digits that kinds have.
+DIGITS = {"ip": (4, 12), "card": (12, 19), "phone": (7, 15)}
 #: A word of context is cut here: longer ones are no words.
 CONTEXT_CHARS = 40
 
@@ -38,13 +49,13 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOOSE = {
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]|\(@\)) ?[A-Za-z0-9-]{1,63}+(?:(?: ?(?:\(dot\)|\[dot\]) ?|\.)[A-Za-z0-9-]{1,63}+)*+"),
-    "phone": re.compile(r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"),
-    "ip": re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}){3}(?![0-9A-Za-z])"),
-    "card": re.compile(r"(?<![0-9A-Za-z.])[0-9](?:[ .-]?[0-9]){11,18}(?![0-9A-Za-z])"),
-}
-_DIGITS = re.compile(r"[0-9][^\s]*")
+#: What may be an identifier: numbers that follow each other, names with an at sign, words with digits.
+_CANDIDATES = (
+    re.compile(r"[+(]{0,2}[0-9](?:[ ./()-]{0,2}[0-9]++)*+"),
+    re.compile(r"[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]|\(@\)) ?[A-Za-z0-9-]{1,63}+(?:(?: ?(?:\(dot\)|\[dot\]) ?|\.)[A-Za-z0-9-]{1,63}+)*+"),
+    re.compile(r"[0-9]\S*"),
+)
+_AT = re.compile(r"\(at\)|\[at\]|\(@\)")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -82,7 +93,7 @@ def seeds(text: str) -> list[tuple[int, int, int]]:
 
 
 def identifiers(text: str) -> list[tuple[str, str, bool, int, int, list[str]]]:
-    """Seeds, looser shapes and other strings with digits: kind, normalised string, whether a seed, start, end, patterns."""
+    """Seeds and candidates: kind (`other` of candidates), normalised string, whether a seed, start, end, patterns."""
     if not any(c in text for c in "0123456789@") and "at)" not in text and "at]" not in text:
         return []
     found = seeds(text)
@@ -90,22 +101,38 @@ def identifiers(text: str) -> list[tuple[str, str, bool, int, int, list[str]]]:
     taken = bytearray(len(text))
     for s, _, e in found:
         taken[s:e] = b"\1" * (e - s)
-    for kind in ("email", "phone", "ip", "card", "other"):
-        for m in (_DIGITS if kind == "other" else _LOOSE[kind]).finditer(text):
+    for n, expression in enumerate(_CANDIDATES):
+        at, stop = 0, len(text)
+        while m := expression.search(text, at, stop):
             s, e = m.span()
-            while kind == "other" and s and m.start() - s < CONTEXT_CHARS and not text[s - 1].isspace():
+            if (hit := taken.find(1, s, e)) == s:  # goes on behind what is taken
+                at = e if (at := taken.find(0, s)) < 0 else at
+                continue
+            if hit > 0:  # ends before it
+                stop = hit
+                continue
+            at, stop = e, len(text)
+            while n == 2 and s and m.start() - s < CONTEXT_CHARS and not text[s - 1].isspace() and not taken[s - 1]:
                 s -= 1
-            if taken.find(1, s, e) < 0:
-                out.append((kind, s, e, False))
-                taken[s:e] = b"\1" * (e - s)
-    return [(kind, re.sub(r"[^0-9a-z@]", "", text[s:e].lower())[:100], seed, s, e, patterns(text, s, e)) for kind, s, e, seed in out]
+            # part of a word is no run of numbers
+            if n == 0 and (s and text[s - 1].isalnum() or e < len(text) and text[e].isalnum()):
+                continue
+            out.append(("other", s, e, False))
+            taken[s:e] = b"\1" * (e - s)
+    return [(kind, value(text[s:e]), seed, s, e, patterns(text, s, e)) for kind, s, e, seed in out]
+
+
+def value(string: str) -> str:
+    """A string as an instance: letters, digits and at signs."""
+    return re.sub(r"[^0-9a-z@]", "", _AT.sub("@", string[:200].lower()))[:100]
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a string: the word before, the two words before, the word after."""
+    """The lexical patterns around a string: the word before, the two words before, the word after, and its shape."""
     before = [w.lower() for w in _WORD.findall(text[max(0, start - 2 * CONTEXT_CHARS - 4) : start])[-2:]]
     after = [w.lower() for w in _WORD.findall(text[end : end + CONTEXT_CHARS + 4])[:1]]
-    return [f"L:{w}" for w in before[-1:]] + [f"LL:{' '.join(before)}"] * (len(before) == 2) + [f"R:{w}" for w in after]
+    shape = [] if end - start > CONTEXT_CHARS or _WORD.search(text, start, end) else ["S:" + re.sub("[0-9]", "9", text[start:end])]
+    return [f"L:{w}" for w in before[-1:]] + [f"LL:{' '.join(before)}"] * (len(before) == 2) + [f"R:{w}" for w in after] + shape
 
 
 _ENTITY = pa.struct([("kind", pa.string()), ("value", pa.string()), ("seed", pa.bool_()), ("start", pa.int64()), ("end", pa.int64()), ("patterns", pa.list_(pa.string()))])
@@ -127,24 +154,47 @@ def _find(batches):
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found, pa.list_(_ENTITY))], names=[*batch.schema.names[1:], "found"])
 
 
+def plausible(kind: Column, value_: Column) -> Column:
+    """How much a string looks like a kind: 1 or UNLIKELY."""
+    digits = F.length(F.regexp_replace(value_, "[^0-9]", ""))
+    number = ~value_.rlike("[a-z@]")
+    looks = F.when(kind == "email", value_.contains("@"))
+    for k, (least, most) in DIGITS.items():
+        looks = looks.when(kind == k, number & digits.between(least, most))
+    return F.when(looks, 1.0).otherwise(UNLIKELY)
+
+
+def _together(confidence: Column) -> Column:
+    """1 - product(1 - confidence)."""
+    return 1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - confidence))))
+
+
 def score(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Iterative scoring of the pattern-instance graph `edges` (pattern, kind, value, seed), distinct rows.
 
-    Returns the confident patterns (pattern, kind, confidence) and instances (kind, value, score).
+    Returns the patterns that count (pattern, kind, confidence) and the candidates' scores (kind, value, score).
     """
-    # a pattern can only become confident in a kind if all its instances of that kind could suffice
-    support = edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
-    whole = support.groupBy("pattern").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
-    able = whole.filter((F.col("most") >= SUPPORT) & (F.col("most") / (F.col("all") + SMOOTHING) >= CONFIDENT)).select("pattern", "all")
-    graph = materialize(edges.join(able, "pattern").filter("kind != 'other'"), "patterns")
-    scores = None
+    seeded = F.when(F.col("seed"), F.col("kind"))
+    able = edges.groupBy("pattern").agg(F.count(seeded).alias("seeded"), *[F.count_if(seeded == k).alias(k) for k in KINDS])
+    # without seeds of its own no pattern gets confident at first, and few keep the graph from growing
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("seeds")) for k in KINDS]))
+    able = able.select("pattern", "seeded", each.alias("x")).select("pattern", "seeded", "x.*").filter(F.col("seeds") >= SEEDS)
+    able = materialize(able, "patterns")
+    graph = edges.filter("not seed").select("pattern", "value").join(able.select("pattern", "kind"), "pattern")
+    look = plausible(F.col("kind"), F.col("value"))
+    weight = F.when((look < 1) | F.col("pattern").startswith("S:"), 1.0).otherwise(OPEN)
+    graph = materialize(graph.select("pattern", "kind", "value", look.alias("look"), weight.alias("weight")), "candidates")
+    scores = graph.select("kind", "value").limit(0).withColumn("score", F.lit(0.0))
     for _ in range(ROUNDS):
-        scored = graph.withColumn("score", F.col("seed").cast("double")) if scores is None else graph.join(scores, ["kind", "value"], "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        sure = scored.groupBy("pattern", "kind").agg((F.sum("score") / (F.first("all") + SMOOTHING)).alias("confidence"), F.count(F.lit(1)).alias("n"))
-        sure = materialize(sure.filter((F.col("confidence") >= CONFIDENT) & (F.col("n") >= SUPPORT)).select("pattern", "kind", "confidence"), "confident")
-        doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
-        scores = graph.filter("not seed").join(sure, ["pattern", "kind"]).groupBy("kind", "value").agg((1 - doubt).alias("score"))
-        scores = materialize(scores, "instances")
+        s = F.coalesce("score", F.lit(0.0))
+        backed = graph.join(scores, ["kind", "value"], "left").groupBy("pattern", "kind")
+        backed = backed.agg(F.sum(s).alias("more"), F.sum(F.col("weight") * (1 - s)).alias("against"), F.count_if(s >= 0.5).alias("n"))
+        more, against, n = (F.coalesce(c, F.lit(0)) for c in ("more", "against", "n"))
+        confidence = (F.col("seeds") + more) / (F.col("seeded") + more + against + SMOOTHING)
+        sure = able.join(backed, ["pattern", "kind"], "left").filter((confidence >= CONFIDENT) & (F.col("seeds") + n >= SUPPORT))
+        sure = materialize(sure.select("pattern", "kind", confidence.alias("confidence")), "confident")
+        found = graph.join(sure, ["pattern", "kind"]).groupBy("kind", "value").agg(_together(F.col("confidence") * F.col("look")).alias("score"))
+        scores = materialize(found, "instances")
     return sure, scores
 
 
@@ -157,13 +207,15 @@ def _extract(docs: DataFrame, keep: list[str]) -> DataFrame:
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "entities")
     each = found.select("row", F.explode("found").alias("x")).select("row", "x.*")
     by_pattern = each.select("row", "kind", "value", "seed", "start", "end", F.explode("patterns").alias("pattern"))
-    sure, scores = score(by_pattern.groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed")))
-    loose = by_pattern.filter("not seed and kind != 'other'")
-    by_context = loose.join(sure, ["pattern", "kind"], "left_semi").select("row", "kind", "start", "end")
-    by_instance = loose.join(scores.filter(F.col("score") >= CONFIDENT), ["kind", "value"], "left_semi").select("row", "kind", "start", "end")
-    new = by_context.unionByName(by_instance).distinct()
+    sure, scores = score(by_pattern.select("pattern", "kind", "value", "seed").distinct())
+    open_ = by_pattern.filter("not seed").select("row", "start", "end", "value", "pattern")
+    place = ["row", "start", "end", "kind"]
+    by_context = open_.join(sure, "pattern").groupBy(*place).agg(_together(F.col("confidence") * plausible(F.col("kind"), F.col("value"))).alias("score"))
+    by_instance = each.filter("not seed").select("row", "start", "end", "value").join(scores, "value").select(*place, "score")
+    rank = F.create_map(*[F.lit(x) for k, n in enumerate(KINDS) for x in (n, -k)])
+    best = by_context.unionByName(by_instance).filter(F.col("score") >= CONFIDENT).groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("score", rank[F.col("kind")])).alias("kind"))
     # a group is what one text has
-    new = new.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(False).alias("seed"))).alias("new"))
+    new = best.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(False).alias("seed"))).alias("new"))
     # written, so that its size is known: texts are not shuffled to meet a few spans
     new = materialize(new, "discovered")
     base = F.transform(F.filter("found", lambda x: x["seed"]), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["seed"].alias("seed")))
@@ -191,7 +243,7 @@ def digests(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda x: x["seed"])
     of_kind = lambda k: F.filter(base, lambda x: x["kind"] == k)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda x: ~x["seed"])).cast("long").alias("n_discovered"))
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda x: ~x["seed"])).cast("long").alias("n_discovered"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
