@@ -39,7 +39,7 @@ def words(text):
 
 
 def test_written_tables_can_be_cleared(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "_written", [])
+    monkeypatch.setattr(common, "_written", {})
     monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
     df = common.materialize(spark.range(5), "five")
     assert df.count() == 5 and [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["five"]
@@ -254,8 +254,43 @@ def test_repeated_ids_are_one_candidate(spark):
         assert len({v for v, _ in got[q]}) == len(got[q]) == 10
         assert all(s >= d[v] - 1e-12 and (v == 7 or s == pytest.approx(d[v], abs=1e-12)) for v, s in got[q])
     assert hit / 150 >= 0.9
-    near = ann.nearest(np.array([[0.0], [1.0], [0.5], [9.0]]), np.array([1, 1, 2, 3]), np.array([1.0]), 3, 2)
-    assert [x.tolist() for x in near] == [[0.0, 0.5], [1, 2]]
+    one = lambda parts: ann.nearest(np.array([[0.0], [1.0], [0.5], [9.0]]), np.array([1, 1, 2, 3]), np.array([0, 5, 5, 0]), np.array([[1.0]]), np.array([3]), [parts], 2)
+    assert [x.tolist() for x in one(None)] == [[0, 0], [1, 2], [0.0, 0.5]]
+    assert [x.tolist() for x in one([5])] == [[0, 0], [1, 2], [0.0, 0.5]] and [x.tolist() for x in one([0])] == [[0], [1], [1.0]]
+
+
+def share_compared(table, n):
+    """Of all rows, those that a query is compared with."""
+    router = ann.fit(table.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")), n)
+    x = np.array([r["embedding"] for r in table.select("embedding").collect()], dtype=np.float64)
+    size = np.bincount(router.best(x, 1)[:, 0], minlength=router.parts)
+    return size[router.best(x[:100], router.probes)].sum(axis=1).mean() / n, router.parts
+
+
+def test_recall_on_the_given_vectors(spark, sf_dir):
+    """Directions without any structure, of which no partition can tell neighbours apart well."""
+    table = spark.read.parquet(f"{sf_dir}/../sf0.1/embeddings.parquet").cache()
+    x = {r["vec_id"]: np.array(r["embedding"], dtype=np.float64) for r in table.collect()}
+    ids, every = np.array(sorted(x)), np.stack([x[i] for i in sorted(x)])
+    hit = n = 0
+    got = collections.defaultdict(set)
+    for r in ann.search(table, F.col("vec_id") % 50 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    for i in ids[ids % 50 == 0]:
+        d = np.sqrt(((every - x[i]) ** 2).sum(axis=1))
+        d[ids == i] = np.inf
+        hit, n = hit + len(set(ids[np.lexsort((ids, d))[:10]].tolist()) & got[i]), n + 10
+    assert hit >= 0.9 * n
+    share, parts = share_compared(table, len(x))
+    assert share <= 0.6 and parts > 200
+
+
+def test_few_rows_are_compared_where_vectors_have_structure(spark):
+    rng = np.random.default_rng(15)
+    for x in (rng.normal(size=(6000, 24)) + 3 * rng.normal(size=(60, 24))[rng.integers(0, 60, 6000)], rng.normal(size=(6000, 6)) @ rng.normal(size=(6, 24))):
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        share, parts = share_compared(table, 6000)
+        assert share <= 0.05 and parts > 500
 
 
 # personal data
@@ -294,11 +329,50 @@ def test_base_entities(spark, sf_dir, texts, written):
 def test_contexts_discover(written):
     rng = random.Random(8)
     rows = [(i, f"{prose(rng, 5)} helpdesk dial +1 (555) {rng.randint(200, 999)}-{rng.randint(1000, 9999)} {prose(rng, 4)}") for i in range(60)]
-    rows += [(100, "omega helpdesk dial 555-867-5309 omega"), (101, "part number 555-867-5310 omega")]
+    rows += [(100, "omega helpdesk dial 555-867-5309 omega"), (101, "part number 555-867-5310 omega"), (102, "helpdesk dial 5558675309"), (103, "helpdesk dial 01 23 45 67 89 now")]
+    rows += [(104, "+1 (826) 555-4081 190.137.223.204"), (105, "page 5558675309 and 7 of 12")]
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if not s["seed"]] for r in pii.extract(written(rows)).collect()}
-    assert got.pop(100) == [("phone", 20, 32)] and not any(got.values())
+    assert {i: got.pop(i) for i in (100, 102, 103)} == {100: [("phone", 20, 32)], 102: [("phone", 14, 24)], 103: [("phone", 14, 28)]}
+    # its shape; and the same number elsewhere
+    assert got.pop(104) == [("phone", 0, 17)] and got.pop(105) == [("phone", 5, 15)] and not any(got.values())
     redacted = {r["doc_id"]: r["text"] for r in pii.redact(written(rows)).collect()}
-    assert redacted[100] == "omega helpdesk dial [PHONE] omega" and redacted[101] == rows[-1][1] and "[PHONE]" in redacted[0] and "555" not in redacted[0]
+    assert redacted[100] == "omega helpdesk dial [PHONE] omega" and redacted[101] == rows[61][1] and "[PHONE]" in redacted[0] and "555" not in redacted[0]
+
+
+def planted_identifiers(rng, n):
+    """Texts with an identifier each in contexts of their kinds, a third of them in forms that the expressions don't know, and with numbers that are none; and where the unknown ones are."""
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    card = lambda: next(d for d in iter(lambda: digits(16), "") if pii.luhn(d))
+    word = lambda: rng.choice(prose(rng, 1).split())
+    kinds = {
+        "phone": (["helpdesk dial", "ring me at", "fax line"], lambda: f"+1 (555) {rng.randint(200, 999)}-{digits(4)}", [lambda: digits(10), lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: " ".join(digits(2) for _ in range(5))]),
+        "card": (["charged to card", "visa ending account", "card no"], card, [lambda: f"{digits(4)}.{digits(4)}.{digits(4)}.{digits(4)}", lambda: next(d for d in iter(lambda: digits(16), "") if not pii.luhn(d))]),
+        "ip": (["from host", "login address"], lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), [lambda: "-".join(str(rng.randint(0, 255)) for _ in range(4))]),
+        "email": (["write to", "contact mailbox"], lambda: f"{word()}.{digits(2)}@mail{digits(1)}.example.com", [lambda: f"{word()}{digits(2)} (at) mail{digits(1)} (dot) org", lambda: f"{word()}@intranet"]),
+    }
+    texts, want = {}, set()
+    for i in range(n):
+        kind = rng.choice(sorted(kinds))
+        contexts, known, unknown = kinds[kind]
+        new = rng.random() < 1 / 3
+        string = rng.choice(unknown)() if new else known()
+        text = f"{prose(rng, rng.randint(3, 20))} {rng.choice(contexts)} "
+        if new:
+            want.add((i, kind, len(text), len(text) + len(string)))
+        text += f"{string} {prose(rng, rng.randint(3, 20))} page {digits(3)} of {digits(10)} {prose(rng, 3)} order {digits(16)} since {rng.randint(1900, 2020)} {prose(rng, 2)} {rng.randint(1, 9)}th"
+        texts[i] = text
+    return texts, want
+
+
+def test_unseen_identifiers_are_found(written):
+    texts, want = planted_identifiers(random.Random(22), 600)
+    rows = pii.digests(pii.extract(written(list(texts.items())))).collect()
+    got = {(r["doc_id"], k, int(a), int(e)) for r in rows for k, a, e in (s.split(":") for s in filter(None, r["spans"].split(",")))}
+    base = {(i, k, int(a), int(e)) for i, t in texts.items() for k, a, e in (s.split(":") for s in plain_spans(t))}
+    assert base <= got and len(want) > 150
+    added = got - base
+    assert sum(r["n_discovered"] for r in rows) == len(added)
+    assert len(added & want) >= 0.9 * len(want - base) and len(added & want) >= 0.95 * len(added)
 
 
 # language model
@@ -388,7 +462,7 @@ def test_suffix_tree_learns_order(written):
 
 @pytest.mark.parametrize("depth", [1, 2, 3])
 def test_suffix_tree_in_many_buckets(monkeypatch, depth):
-    monkeypatch.setattr(suffix_tree, "TOKENS_A_BUCKET", 30)  # frequent words are in several parts
+    monkeypatch.setattr(suffix_tree, "TOKENS_A_PART", 30)  # frequent words are in several parts
     rng = random.Random(21)
     base = prose(rng, 40)
     texts = {i: " ".join(rng.choice(["the", "the", "of", "a", rng.choice("bcdef"), f"x{rng.randrange(30)}"]) for _ in range(rng.randint(0, 25))) + (" " + base if i % 5 == 0 else "") for i in range(120)}
