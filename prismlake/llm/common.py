@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 BATCH_ROWS = 512
 #: What materialize has written and clear has not deleted.
-_written: list[str] = []
+_written: dict[str, DataFrame] = {}
 #: Set once a session names no shared folder (tests, a laptop).
 _own_dir: str | None = None
 
@@ -33,15 +33,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[path] = out
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _written[path]
+
+
+def written() -> list[DataFrame]:
+    """The tables of materialize that are there."""
+    return list(_written.values())
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete what materialize has written for these frames; nothing may be left that would read them again."""
+    for df in frames:
+        for path in [p for p, f in _written.items() if f is df]:
+            _delete(df.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete what operators have written to the shared folder, once their results have been written or are no longer needed."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all that operators have written to the shared folder, once their results have been written or are no longer needed."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 def text_bytes(docs: DataFrame) -> int:
