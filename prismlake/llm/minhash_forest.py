@@ -16,7 +16,8 @@ thousands share (a template) is late in the order, so few pairs meet by it.
 
 So a link is missed only if no tree has the two documents in one region: with J = 0.75 once in (1 - 0.75**4)**-32, about
 190,000 times, and a component only if that happens to all links that hold it; or if their sketches fall short (SPARE).
-The orders are dealt out by range, and prefixes by shingle, so that a region of any size is spread over tasks.
+The orders are dealt out by range, and prefixes by shingle, so that a region of any size is spread over tasks; a region
+that a range cuts is put together again by its key before it is compared. No tree is read shallower than DEPTH.
 
 Defined cases: a null text or one without words has no shingles, links with nothing and is its own component; texts of
 fewer than five words have one shingle, all of their words; a null id takes no part and comes back with null component;
@@ -104,13 +105,16 @@ def _plant(batches):
 
 
 def _neighbours(batches):
-    """From rows in the trees' order, those of regions of two classes or more, each with its region's first class and the class before it."""
+    """From rows in the trees' order, those of regions of two classes or more, each with its region's first class and the class before it. A task's first and last region may go on in another task, so they are told whatever their size."""
     last_key = last_rep = first = None
-    held = None  # a region's first row, until a second one shows
+    held, begun = None, False  # a region's first row, until a second one shows; whether the task's first region is over
     for batch in batches:
         out = []
         for key, deeper, rep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != last_key:
+                if held and not begun:
+                    out.append(held)
+                begun = last_key is not None
                 last_key, first, held = key, rep, (key, deeper, rep, rep, rep)
             else:
                 if held:
@@ -118,7 +122,13 @@ def _neighbours(batches):
                     held = None
                 out.append((key, deeper, rep, first, last_rep))
             last_rep = rep
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 5)], names=["key", "deeper", "rep", "first", "before"])
+        yield _neighbour_rows(out)
+    if held:
+        yield _neighbour_rows([held])
+
+
+def _neighbour_rows(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["key", "deeper", "rep", "first", "before"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-Weights are shares of a period: source i gets p_i of its PERIOD slots. Its j-th block is released at
-floor((j - 1) * PERIOD / p_i) and due at ceil(j * PERIOD / p_i). In every slot the released block of the earliest deadline
+Weights are shares of a period, PERIOD slots for every SOURCES_A_PERIOD sources or part of as many: source i gets p_i of
+them. Its j-th block is released at
+floor((j - 1) * period / p_i) and due at ceil(j * period / p_i). In every slot the released block of the earliest deadline
 runs (ties: the source that comes first by name), which keeps every source less than one block away from its weight at
 every slot. The schedule repeats after a period, so it is found once for one period and n sources, as one expression,
 and any block's slot follows from its number.
@@ -16,7 +17,7 @@ as the source's rows ask for.
 
 Defined cases: a null source is one of its own, named by NO_SOURCE; a null text is kept; rows of equal id follow each other by a
 hash of their text; a source without a weight raises, a weight without rows is left out; an empty table gives no rows; extra columns
-stay as they are.
+stay as they are, but for one called `mix`, whose place the mix takes.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import materialize
 from .ranges import BITS, hash52
 
-PERIOD, BLOCK_ROWS = 1000, 64
+PERIOD, SOURCES_A_PERIOD, BLOCK_ROWS = 1000, 500, 64
 #: Rows of a source that one task numbers, on average.
 CELL_ROWS = 5_000
 #: Weights are counts to this power: sources of few documents get more than their share of rows.
@@ -61,9 +62,12 @@ def schedule(shares_: Column, period: int) -> Column:
             due = F.ceil((done + 1) * F.lit(period) / p(i))
             return F.when(released & (done < p(i)), F.struct(due.alias("due"), i.alias("i")))
 
-        run = F.array_min(F.transform(state["done"], block))["i"]
-        done = F.transform(state["done"], lambda d, i: d + F.when(i == run, 1).otherwise(0))
-        return F.struct(done.alias("done"), F.concat(state["runs"], F.array(run)).alias("runs"))
+        def after(run):
+            done = F.transform(state["done"], lambda d, i: d + F.when(i == run, 1).otherwise(0))
+            return F.struct(done.alias("done"), F.concat(state["runs"], F.array(run)).alias("runs"))
+
+        # an array of one, so that the choice is made once and not for each source
+        return F.get(F.transform(F.array(F.array_min(F.transform(state["done"], block))["i"]), after), 0)
 
     start = F.struct(F.transform(shares_, lambda _: F.lit(0)).alias("done"), F.expr("cast(array() as array<int>)").alias("runs"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, slot, lambda state: state["runs"])
@@ -76,7 +80,7 @@ def _plan(counts: DataFrame, weights: DataFrame, period: int, block_rows: int) -
     return by_source.agg(each.alias("x")).select(F.col("x.source").alias("names"), F.col("x.share").alias("shares"), F.col("x.blocks").alias("blocks")).withColumn("runs", schedule(F.col("shares"), period))
 
 
-def interleave(docs: DataFrame, weights: DataFrame | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS, keep: list[str] | None = None) -> DataFrame:
+def interleave(docs: DataFrame, weights: DataFrame | None = None, period: int | None = None, block_rows: int = BLOCK_ROWS, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (by default all) of every row of `docs` (doc_id, source and any others), with `mix`: a struct of
 
     - source_row, block: the row's number in its source and that of its block, from 0;
@@ -84,10 +88,15 @@ def interleave(docs: DataFrame, weights: DataFrame | None = None, period: int =
     - place: the block's number among all blocks that are there, from 0;
     - position: the row's number in the mix.
 
-    `weights` (source, weight) are the targets, the tempered counts by default. Sources are at most `period` many.
+    `weights` (source, weight) are the targets, the tempered counts by default. `period` has to be as many as the sources
+    at least; by default it follows from their number.
     """
     name = F.coalesce(F.col("source"), F.lit(NO_SOURCE))
     counts = materialize(docs.groupBy(name.alias("source")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    many = counts.count()
+    period = period or PERIOD * max(1, -(-many // SOURCES_A_PERIOD))
+    if many > period:
+        raise ValueError(f"{many} sources don't fit in a period of {period}")
     plan = _plan(counts, tempered(counts) if weights is None else weights, period, block_rows).first()
     names, parts, blocks, runs = (list(plan[k] or []) for k in ("names", "shares", "blocks", "runs"))
     if any(p is None for p in parts):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import BLOCK_ROWS, EVENNESS, NO_SOURCE, PERIOD
+from .mixing import BLOCK_ROWS, EVENNESS, NO_SOURCE, PERIOD, SOURCES_A_PERIOD
 from .sharding import RECORD_BYTES, TOGETHER
 
 _HASH = "cast('0x' || substr(md5({}), 1, 13) as bigint)"
@@ -28,18 +28,19 @@ def sharding(shards: int) -> str:
 
 def mixing() -> str:
     """Earliest deadline first, slot by slot, and every block's place among the blocks that are there."""
-    release = f"floor(d * {PERIOD} / p) <= t and d < p"
+    release = "floor(d * period / p) <= t and d < p"
     return f"""with recursive named as (select doc_id, text, coalesce(source, '{NO_SOURCE}') as source, {_HASH.format("coalesce(cast(doc_id as varchar), '')")} as h from documents),
  counts as (select source, count(*) as n from named group by 1),
- exact as (select source, n, pow(n, {EVENNESS}) / sum(pow(n, {EVENNESS})) over () * ({PERIOD} - count(*) over ()) as e, count(*) over () as m from counts),
- share as (select source, n, cast(1 + floor(e) + case when row_number() over (order by e - floor(e) desc, source) <= {PERIOD} - m - sum(floor(e)) over () then 1 else 0 end as bigint) as p from exact),
+ span as (select {PERIOD} * greatest(1, cast(ceil(count(*) / {SOURCES_A_PERIOD}) as bigint)) as period from counts),
+ exact as (select source, n, pow(n, {EVENNESS}) / sum(pow(n, {EVENNESS})) over () * (period - count(*) over ()) as e, count(*) over () as m, period from counts, span),
+ share as (select source, n, cast(1 + floor(e) + case when row_number() over (order by e - floor(e) desc, source) <= period - m - sum(floor(e)) over () then 1 else 0 end as bigint) as p from exact),
  plan as (select list(p order by source) as ps from share),
  run(t, done, r) as (select 0, list_transform(ps, lambda x: 0::bigint), 0::bigint from plan
   union all select t + 1, list_transform(done, lambda d, i: case when i = k then d + 1 else d end), k from
-  (select t, done, (select i from (select unnest(range(1, len(ps) + 1)) as i, unnest(done) as d, unnest(ps) as p) where {release} order by ceil((d + 1) * {PERIOD} / p), i limit 1) as k from run, plan where t < {PERIOD})),
+  (select t, done, (select i from (select unnest(range(1, len(ps) + 1)) as i, unnest(done) as d, unnest(ps) as p) where {release} order by ceil((d + 1) * period / p), i limit 1) as k from run, plan, span where t < period)),
  slots as (select t - 1 as slot, source, p, n, row_number() over (partition by source order by t) - 1 as j from run join (select *, row_number() over (order by source) as i from share) on i = r where t > 0),
  numbered as (select doc_id, source, row_number() over (partition by source order by h, doc_id) - 1 as source_row from named),
- blocks as (select s.source, b as block, b // s.p * {PERIOD} + slot as slot, least({BLOCK_ROWS}, s.n - b * {BLOCK_ROWS}) as n from (select source, n, p, unnest(range((n + {BLOCK_ROWS - 1}) // {BLOCK_ROWS})) as b from share) s join slots on slots.source = s.source and slots.j = b % s.p),
+ blocks as (select s.source, b as block, b // s.p * (select period from span) + slot as slot, least({BLOCK_ROWS}, s.n - b * {BLOCK_ROWS}) as n from (select source, n, p, unnest(range((n + {BLOCK_ROWS - 1}) // {BLOCK_ROWS})) as b from share) s join slots on slots.source = s.source and slots.j = b % s.p),
  placed as (select *, row_number() over (order by slot) - 1 as place, cast(sum(n) over (order by slot rows unbounded preceding) - n as bigint) as first_row from blocks)
  select doc_id, d.source, source_row, block, slot, place, first_row + source_row % {BLOCK_ROWS} as position from numbered d join placed b on b.source = d.source and b.block = source_row // {BLOCK_ROWS}"""
 

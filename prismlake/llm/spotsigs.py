@@ -26,7 +26,7 @@ from .components import components
 
 CHAIN, SKIP = 2, 8
 #: Bytes of text that one task puts in order, on average, and the most ranges of ids that there are.
-RANGE_BYTES, MOST_RANGES = 16 << 20, 4096
+RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 16
 
 # fixed values: common words of English, French, German and Spanish
 ANCHORS = (
