@@ -1,10 +1,24 @@
-"""From raw documents to token ids, in five stages, each over everything that the one before kept."""
+"""From raw documents to token ids, in five stages, each over everything that the one before kept.
+
+Every stage takes a scan of files with the columns of documents, in any order and with any others (which go), and an empty
+table gives an empty one. A stage's result is written before the next one begins, which deletes what the one before has left
+in the shared folder.
+
+| Stage | Null or empty text | Null id | Repeated rows | Very long texts |
+| --- | --- | --- | --- | --- |
+| language ID | rejected, as any text without a letter | judged as any | judged each | read whole |
+| MinHash near-dedup | kept: it is near nothing | kept: a row without an id takes no part | one stays | compared whole |
+| PII | kept as it is | kept | kept | read whole |
+| mixing | kept | after all others of its source | follow each other | moved whole |
+| byte-level BPE | no ids | kept, told by its position | encoded each | split and encoded whole |
+"""
 
 from __future__ import annotations
 
 import json
 import re
 from collections.abc import Callable
+from functools import reduce, wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +36,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id; of rows that repeat it, one."""
+    """Of each group of near copies the document of the smallest id. If several rows have it, the least of them stays, by text, then language, source and n_chars."""
     common.small_batches(spark)
     found = minhash_forest.near_duplicates(docs)
-    kept = found.filter("kept").select("doc_id").distinct()
-    with_id = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    return with_id.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    kept = common.materialize(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
+    rows = lambda which: docs.select(*COLUMNS).join(kept.filter(which).select("doc_id"), "doc_id", "left_semi")
+    order = ["text", "lang", "source", "n_chars"]
+    least = rows("rows > 1").groupBy("doc_id").agg(F.min(F.struct(*order)).alias("row"))
+    out = [rows("rows = 1").select(*COLUMNS), docs.filter("doc_id is null").select(*COLUMNS)]
+    if not kept.filter("rows > 1").isEmpty():
+        out.append(least.select("doc_id", "row.*").select(*COLUMNS))
+    return reduce(DataFrame.unionByName, out)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,12 +83,31 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decoded.join(rows.select("position", "doc_id"), "position").select("doc_id", "ids", "n_tokens", "decoded_sha256", "position")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language ID", known_language),
-    ("MinHash near-dedup", first_of_near_copies),
-    ("PII", without_personal_data),
-    ("mixing", mixed),
-    ("byte-level BPE", tokens),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: What stages have written besides their results.
+_left: list[DataFrame] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    """Delete what the stage before has left: its result has been written."""
+
+    @wraps(stage)
+    def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.drop(*[f for f in _left if f is not docs])
+        before = common.written()
+        out = stage(spark, docs, sf_dir)
+        _left[:] = [f for f in common.written() if not any(f is b for b in before)]
+        return out
+
+    return run_
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", _tidy(known_language)),
+    ("MinHash near-dedup", _tidy(first_of_near_copies)),
+    ("PII", _tidy(without_personal_data)),
+    ("mixing", _tidy(mixed)),
+    ("byte-level BPE", _tidy(tokens)),
 ]
 
 #: The language model, the forest and the patterns are no SQL; the tests hold the stages against brute force.
@@ -77,10 +115,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
+    """All stages over the documents, each written and read again; only the last one's table stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.materialize(docs, f"stage{k + 1}")
+        given, docs = docs, common.materialize(stage(spark, docs, sf_dir), f"stage{k + 1}")
+        common.drop(given)
+    common.drop(*_left)
+    _left.clear()
     return docs
