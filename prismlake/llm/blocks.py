@@ -7,7 +7,8 @@ that answers need no positions. A word that is everywhere stands once in each bl
 
 Blocks are cut where the task's dictionary or its sequences reach a bound, so a block fits in memory whatever the table
 holds. They depend on the order of a task's input: `docs` has to be a scan of files (a table, or what
-common.materialize returns), which a retried task reads in the same order. Reassembly raises when a word is missing.
+common.materialize returns), which a retried task reads in the same order. A block's number is a hash of its dictionary, so
+if two scans differ their blocks don't meet, and reassembly raises.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_bytes
+
 MOST_WORDS, MOST_TOKENS = 400_000, 6_000_000
-#: Buckets for each shuffle partition.
-SPREAD = 4
+#: Bytes of text for each bucket of words, of which a task holds one at a time; and the least number of buckets.
+BYTES_A_BUCKET, LEAST_BUCKETS = 2 << 20, 8
 SCHEMA = "block long, bucket int, at int, doc_id long, payload binary"
 ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("at", pa.int32()), ("doc_id", pa.int64()), ("payload", pa.binary())])
 #: The bucket of document rows: after all words.
@@ -67,8 +71,9 @@ def unpack_words(packed: list[bytes]) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def buckets(spark: SparkSession) -> int:
-    return SPREAD * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(docs: DataFrame) -> int:
+    """As many as the texts of `docs` ask for."""
+    return max(LEAST_BUCKETS, text_bytes(docs) // BYTES_A_BUCKET)
 
 
 def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -76,13 +81,12 @@ def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256], strict=True), ARROW.types, strict=True)], schema=ARROW)
 
 
-def cut(docs: DataFrame, split: Callable[[str], list[str]], documents: bool, mark: Callable[[int | None], bool] | None = None) -> DataFrame:
+def cut(docs: DataFrame, split: Callable[[str], list[str]], n_buckets: int, documents: bool) -> DataFrame:
     """Rows of the blocks of `docs` (doc_id, text); null texts are empty.
 
-    Without `documents`, the words: a block's words of a bucket, the position of the first in the dictionary, and with
-    `mark` their counts in the documents whose id `mark` accepts. With it, the documents' sequences of positions.
+    Without `documents`, the words: a block's words of a bucket, and the position of the first in the dictionary. With it,
+    the documents' sequences of positions.
     """
-    n_buckets = buckets(docs.sparkSession)
 
     def run(batches):
         task = seq = tokens = 0
@@ -90,8 +94,12 @@ def cut(docs: DataFrame, split: Callable[[str], list[str]], documents: bool, mar
         held: list[tuple] = []  # id, positions
 
         def flush():
-            block = (task << 24) + seq
             spelt = [w.encode("utf-8", "surrogatepass") for w in words]
+            digest = xxhash.xxh3_64(seed=(task << 16) + seq)
+            for w in spelt:
+                digest.update(w)
+                digest.update(b"\0")
+            block = digest.intdigest() >> 1
             bucket = np.array([zlib.crc32(w) for w in spelt], dtype=np.int64) % n_buckets
             by_word = np.array(sorted(range(len(spelt)), key=spelt.__getitem__), dtype=np.int64)
             order = by_word[np.argsort(bucket[by_word], kind="stable")]
@@ -100,16 +108,11 @@ def cut(docs: DataFrame, split: Callable[[str], list[str]], documents: bool, mar
                 place[order] = np.arange(len(order))
                 yield from _batches([(block, DOCUMENTS, None, d, pack(place[s])) for d, s in held])
                 return
-            if mark:
-                marked = [s for d, s in held if mark(d)]
-                counts = np.bincount(np.concatenate(marked), minlength=len(spelt)).astype("<i8") if marked else np.zeros(len(spelt), "<i8")
             sorted_buckets = bucket[order]
             starts = np.flatnonzero(np.diff(np.concatenate([[-1], sorted_buckets])))
             out = []
             for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
                 payload = pack_words([spelt[k] for k in order[a:b]])
-                if mark:
-                    payload += join([pack(counts[order[a:b]])])
                 out.append((block, int(sorted_buckets[a]), int(a), None, payload))
             yield from _batches(out)
 
@@ -118,7 +121,7 @@ def cut(docs: DataFrame, split: Callable[[str], list[str]], documents: bool, mar
                 task = batch.column(2)[0].as_py()
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 have = np.array([words.setdefault(w, len(words)) for w in split(text or "")], dtype="<u4")
-                if documents or mark:
+                if documents:
                     held.append((doc_id, have))
                 tokens += len(have)
                 if len(words) >= MOST_WORDS or tokens >= MOST_TOKENS:
@@ -134,7 +137,7 @@ def cut(docs: DataFrame, split: Callable[[str], list[str]], documents: bool, mar
 def answer(words: DataFrame, known: Callable[[list[list[bytes]]], list[bytes]]) -> DataFrame:
     """Word rows brought together by bucket, each row's payload replaced by what `known` says about the rows of one bucket.
 
-    `known` gets the parts of the payload of each row of a bucket. Buckets are many enough for one to fit in memory.
+    `known` gets the parts of the payload of each row of a bucket. A bucket has the words of about BYTES_A_BUCKET of text.
     """
 
     def run(batches):

@@ -86,7 +86,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             out.append(blocks.join([blocks.pack(lengths), blocks.pack(np.array([i for x in ids for i in x], dtype="<u4"))]))
         return out
 
-    words = blocks.answer(blocks.cut(docs, split, False), ids_of)
+    n_buckets = blocks.buckets(docs)
+    words = blocks.answer(blocks.cut(docs, split, n_buckets, False), ids_of)
 
     def assemble(batches):
         for known, documents in blocks.walk(batches):
@@ -111,7 +112,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             if ids:
                 yield _tokens(ids, pieces)
 
-    return blocks.by_block(words, blocks.cut(docs, split, True)).mapInArrow(assemble, "doc_id long, ids array<int>")
+    return blocks.by_block(words, blocks.cut(docs, split, n_buckets, True)).mapInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def _tokens(ids: list, pieces: list[np.ndarray]) -> pa.RecordBatch:
