@@ -18,6 +18,7 @@ SHAPES = (
     r"(?:^|[^0-9])(199[0-9]|20[0-9]{2})(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])(?:[^0-9]|$)",
 )
 WITH_TIME = (0, 1, 2)
+# fixed values: names with milliseconds since 1970, and notes with day, month and year
 EPOCH_SHAPE = r"(?:^|[^0-9])(1[2-7][0-9]{11})(?:[^0-9]|$)"
 NOTE_SHAPE = r"Note_([0-9]{2})([0-9]{2})([0-9]{2})_([0-9]{2})([0-9]{2})([0-9]{2})"
 
@@ -69,6 +70,15 @@ def from_camera(text: Column) -> Column:
     return F.coalesce(*found)
 
 
+def local_text(text: Column) -> Column:
+    """The date and time that a camera's string shows, without its zone, as yyyy-MM-dd HH:mm:ss; null where from_camera is."""
+    offset = F.regexp_extract(F.btrim(text, F.lit(" \t\r\n\x00")), r"([+-])([0-9]{2}):([0-9]{2})$", 0)
+    minutes = F.substring(offset, 2, 2).try_cast("long") * 60 + F.substring(offset, 5, 2).try_cast("long")
+    shift = F.when(offset == "", 0).when(F.substring(offset, 1, 1) == "-", -minutes).otherwise(minutes)
+    at = F.timestamp_seconds(F.floor(from_camera(text) / 1000) + shift * 60)
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+
+
 def from_sidecar(json: Column, as_of_year: int) -> Column:
     """Milliseconds of a sidecar's photoTakenTime, else of its creationTime; null if the year is not from 1990 to now."""
     seconds = F.coalesce(*[F.get_json_object(json, f"$.{k}.timestamp").try_cast("long") for k in ("photoTakenTime", "creationTime")])

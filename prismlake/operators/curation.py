@@ -147,14 +147,43 @@ def delete_media(tables: Tables, gone: DataFrame) -> Tables:
     return replace(tables, media_files=without(tables.media_files, "id"), albums=covers, album_media=without(tables.album_media, "media_id"), media_tags=without(tables.media_tags, "media_id"), media_faces=without(tables.media_faces, "media_id"))
 
 
+def deleted_paths(media: DataFrame, gone: DataFrame) -> DataFrame:
+    """id and file_path of the files `gone` (id) that are there: what is to be removed from the disk."""
+    return media.join(gone.select("id").distinct(), "id", "left_semi").select("id", "file_path")
+
+
+def newest_first(albums_: DataFrame) -> DataFrame:
+    """Albums in the order of lists: the last created first (of equal times the larger id)."""
+    return albums_.orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def by_name(rows: DataFrame) -> DataFrame:
+    """Tags, and the albums of a file, in the order of lists."""
+    return rows.orderBy("name", "id")
+
+
 #: Ids that are put in order together.
 ID_SLICE = 100_000
+#: A name that ends in a number of this form may be one that another file would get.
+_NUMBERED = r"^(.*)_([1-9][0-9]{0,17})$"
 
 
 def export_names(media: DataFrame) -> DataFrame:
-    """id and the name that each file gets in one folder: a name that is taken gets _1, _2 and so on after its stem, in the order of ids."""
+    """id and the name that each file gets in one folder, no two the same.
+
+    The first file of a name, by id, keeps it. The others get _1, _2 and so on after its stem in the order of ids; numbers
+    that would make a name that some file has of its own are left out. Names that are made so differ in their stem, their
+    number or their extension, so they can't meet each other.
+    """
     name = F.col("file_name")
-    numbered = number(media.select("id", "file_name"), [name], F.floor(F.col("id") / ID_SLICE), [F.col("id")], "_n")
     dot = F.when(extension(name) != "", F.concat(F.lit("."), F.regexp_extract(name, r"\.([^.]*)$", 1))).otherwise("")
-    again = F.concat(stem(name), F.lit("_"), F.col("_n").cast("string"), dot)
+    names = media.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
+    repeated = names.filter("n > 1").select(F.col("file_name").alias("of_name"))
+    made = names.filter(stem(name).rlike(_NUMBERED)).select(F.concat(F.regexp_extract(stem(name), _NUMBERED, 1), dot).alias("of_name"), F.regexp_extract(stem(name), _NUMBERED, 2).cast("long").alias("number"))
+    # the i-th number that is taken moves all from number - i + 1 on
+    taken = made.join(repeated, "of_name", "left_semi").groupBy("of_name").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
+    taken = taken.select(F.col("of_name").alias("file_name"), F.transform("numbers", lambda x, i: x - i).alias("moved_at"))
+    numbered = number(media.select("id", "file_name"), [name], F.floor(F.col("id") / ID_SLICE), [F.col("id")], "_n").join(taken, "file_name", "left")
+    moved = F.coalesce(F.size(F.filter("moved_at", lambda x: x <= F.col("_n"))), F.lit(0))
+    again = F.concat(stem(name), F.lit("_"), (F.col("_n") + moved).cast("string"), dot)
     return numbered.select("id", F.when(F.col("_n") == 0, name).otherwise(again).alias("export_name"))

@@ -32,6 +32,11 @@ def groups(media: DataFrame, min_size: int | None = None, media_type: str | None
     return sums.filter("count > 1")
 
 
+def largest_first(groups_: DataFrame) -> DataFrame:
+    """Groups in the order of lists: by all their bytes; of equal ones by the smallest id."""
+    return groups_.orderBy(F.desc("total_size_bytes"), "first_id")
+
+
 def items(groups_: DataFrame, media: DataFrame) -> DataFrame:
     """The rows of groups."""
     return media.join(groups_.select(*KEY), KEY, "left_semi")

@@ -104,6 +104,40 @@ def reconcile(stored: DataFrame, discovered: DataFrame, library_id: Column) -> D
     return both.select("file_path", "id", action.alias("action"))
 
 
+def reconcile_cased(stored: DataFrame, discovered: DataFrame, library_id: Column) -> DataFrame:
+    """`reconcile` where paths that differ in case only are one file, told with what a fix has to set.
+
+    Of stored rows of one file the one whose path is the found one stays, else the smallest id; the others are removed. Of
+    found paths that differ in case the least counts. id, file_path (stored, else found), action, new_path, new_directory,
+    new_library, moved (the path's case differs) and retry (the preview had failed).
+    """
+    key = F.lower("file_path").alias("key")
+    found = discovered.select(key, F.col("file_path").alias("new_path"), F.col("directory").alias("new_directory"), F.col("file_size").alias("new_size"), F.col("file_modified_at").alias("new_time"), library_id.alias("new_library"))
+    found = found.groupBy("key").agg(F.min(F.struct("new_path", "new_directory", "new_size", "new_time", "new_library")).alias("f")).select("key", "f.*")
+    both = stored.select(key, "id", "file_path", "library_id", "file_size", "file_modified_at", "thumbnail_status").join(found, "key", "full_outer")
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.when(F.col("file_path") == F.col("new_path"), 0).otherwise(1), "id"))
+    both = both.withColumn("turn", turn).withColumns({"moved": F.coalesce(F.col("file_path") != F.col("new_path"), F.lit(False)), "retry": F.coalesce(F.col("thumbnail_status") == "failed", F.lit(False))})
+    action = (
+        F.when(F.col("new_path").isNull() | (F.col("turn") > 1), "remove")
+        .when(F.col("id").isNull(), "add")
+        .when((F.col("file_modified_at") != F.col("new_time")) | (F.col("file_size") != F.col("new_size")), "extract")
+        .when(F.col("moved") | F.col("retry") | (F.col("library_id") != F.col("new_library")), "fix")
+        .otherwise("keep")
+    )
+    return both.select("id", F.coalesce("file_path", "new_path").alias("file_path"), action.alias("action"), "new_path", "new_directory", "new_library", "moved", "retry")
+
+
+def apply_fixes(stored: DataFrame, plan: DataFrame, as_of: int) -> DataFrame:
+    """`stored` after a plan of reconcile_cased: without what is removed, with paths, folders and libraries set right, and previews that failed to be made again. Rows to extract anew only get their path."""
+    fixed = plan.filter("id is not null and (action in ('remove', 'fix') or (action = 'extract' and moved))").select("id", "action", "new_path", "new_directory", "new_library", "retry")
+    rows = stored.join(fixed, "id", "left").filter("action is null or action <> 'remove'")
+    met = F.col("action").isNotNull()
+    new = {"file_path": F.col("new_path"), "directory": F.col("new_directory"), "library_id": F.col("new_library"), "updated_at": F.lit(as_of)}
+    status = F.when((F.col("action") == "fix") & F.col("retry"), "pending").otherwise(F.col("thumbnail_status"))
+    out = {c: F.when(met, v).otherwise(F.col(c)) for c, v in new.items() if c in stored.columns} | {"thumbnail_status": status}
+    return rows.select(*[out.get(c, F.col(c)).alias(c) for c in stored.columns])
+
+
 def unchanged(stored: DataFrame, files: DataFrame) -> DataFrame:
     """The files (file_path, file_modified_at, file_size) that are stored as they are."""
     return files.join(stored, ["file_path", "file_modified_at", "file_size"], "left_semi")

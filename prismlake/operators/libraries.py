@@ -49,10 +49,9 @@ def mark_scanned(media: DataFrame, done: DataFrame) -> DataFrame:
     return media.join(seen, "id", "left").withColumn("face_scanned", F.col("face_scanned") | F.coalesce("_seen", F.lit(False))).select(*media.columns)
 
 
-def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> tuple[list, bool]:
-    """The rows of one page and whether there are more: one row beyond the page is asked for."""
-    rows = df.orderBy(*order).offset(offset).limit(limit + 1).collect()
-    return rows[:limit], len(rows) > limit
+def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+    """The rows of one page and, if there are more, one beyond it."""
+    return df.orderBy(*order).offset(offset).limit(limit + 1)
 
 
 def export(media: DataFrame, folder: str) -> DataFrame:

@@ -52,9 +52,28 @@ def thumbnail_path(hash_: Column) -> Column:
     return F.concat(F.lit("thumbnails/"), F.when(F.length(hash_) >= 2, F.substring(hash_, 1, 2)).otherwise("00"), F.lit("/"), hash_, F.lit(".jpg"))
 
 
+#: A preview of fewer bytes is none.
+LEAST_PREVIEW_BYTES = 500
+
+
+def cached_preview(hashes: DataFrame, cache: DataFrame) -> DataFrame:
+    """file_hash and preview: the path of each hash's preview in the cache (path, bytes), jpg before webp; null if it has none."""
+    jpg = thumbnail_path(F.col("file_hash"))
+    wanted = F.array(jpg, F.regexp_replace(jpg, r"\.jpg$", ".webp"))
+    each = hashes.select("file_hash").distinct().select("file_hash", F.posexplode(wanted).alias("turn", "path"))
+    good = cache.filter(F.col("bytes") >= LEAST_PREVIEW_BYTES).select("path").distinct().withColumn("_there", F.lit(True))
+    first = F.min_by(F.when(F.col("_there"), F.col("path")), F.when(F.col("_there"), F.col("turn")))
+    return each.join(good, "path", "left").groupBy("file_hash").agg(first.alias("preview"))
+
+
+def latest_libraries(counted: DataFrame) -> DataFrame:
+    """Libraries in the order of lists: the last created first."""
+    return counted.orderBy(F.desc("created_at"), F.desc("id"))
+
+
 def heal_cache(media: DataFrame, cached: DataFrame) -> DataFrame:
     """Previews to make again: failed ones, and ready ones whose file (cached: file_hash, bytes; at least 500) is gone."""
-    there = cached.filter("bytes >= 500").select("file_hash").distinct().withColumn("_there", F.lit(True))
+    there = cached.filter(F.col("bytes") >= LEAST_PREVIEW_BYTES).select("file_hash").distinct().withColumn("_there", F.lit(True))
     again = (F.col("thumbnail_status") == "failed") | ((F.col("thumbnail_status") == "ready") & F.col("_there").isNull())
     return media.join(there, "file_hash", "left").withColumn("thumbnail_status", F.when(again, "pending").otherwise(F.col("thumbnail_status"))).select(*media.columns)
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import LEAST_NORM, dot
+from ..functions.vectors import LEAST_NORM, dot, iou
 
 #: Least likeness of a face to a person, and least overlap that makes two boxes one.
 MATCH, OVERLAP = 0.60, 0.35
@@ -23,6 +23,35 @@ def people(persons: DataFrame, faces: DataFrame, media: DataFrame) -> DataFrame:
     return out.select("id", "name", "cover_face_id", "cover_file_path", "cover_file_hash", F.coalesce("face_count", F.lit(0)).alias("face_count"))
 
 
+def most_seen_first(people_: DataFrame) -> DataFrame:
+    """People in the order of lists: by the number of their files, of equal ones the smaller id."""
+    return people_.orderBy(F.desc("face_count"), "id")
+
+
+def insert_faces(faces: DataFrame, new: DataFrame) -> DataFrame:
+    """With the faces `new`, of no person yet; an id that is there stays as it is."""
+    fresh = new.dropDuplicates(["id"]).join(faces.select("id"), "id", "left_anti").withColumn("person_id", F.lit(None).cast("long"))
+    return faces.unionByName(fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).cast(faces.schema[c].dataType).alias(c) for c in faces.columns]))
+
+
+def assign(faces: DataFrame, given: DataFrame) -> DataFrame:
+    """Faces with the persons that `given` (id, person_id) says; of a face that is given twice the largest person counts, null takes the person away."""
+    last = given.groupBy("id").agg(F.max("person_id").alias("_to"), F.lit(True).alias("_given"))
+    to = F.when(F.col("_given"), F.col("_to")).otherwise(F.col("person_id"))
+    return faces.join(last, "id", "left").withColumn("person_id", to).select(*faces.columns)
+
+
+def create_person(persons: DataFrame, faces: DataFrame, id_: int, name: str | None, cover_face_id: int) -> tuple[DataFrame, DataFrame]:
+    """With a person more, whose cover is a face that becomes theirs."""
+    spark = persons.sparkSession
+    new = spark.createDataFrame([(id_, name, cover_face_id)], "id long, name string, cover_face_id long")
+    return persons.unionByName(new, allowMissingColumns=True), assign(faces, spark.createDataFrame([(cover_face_id, id_)], "id long, person_id long"))
+
+
+def rename(persons: DataFrame, id_: int, name: str | None) -> DataFrame:
+    return persons.withColumn("name", F.when(F.col("id") == id_, F.lit(name)).otherwise(F.col("name")))
+
+
 def named(people_: DataFrame, q: str = "", min_count: int = 0) -> DataFrame:
     """People on at least so many files whose name has the text in it; no name reads `unnamed`."""
     name = F.coalesce(F.lower(F.nullif(F.col("name"), F.lit(""))), F.lit("unnamed"))
@@ -105,20 +134,14 @@ def plausible(candidates: DataFrame) -> DataFrame:
 
 
 def suppress(boxes: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """Of each file's boxes those that no surer kept one overlaps; surer first, ties by id. A file has a handful of boxes."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "id"], ascending=[False, True])
-        x, y, w, h = (pdf[c].to_numpy(dtype=float) for c in ("bbox_x", "bbox_y", "bbox_w", "bbox_h"))
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            over = [max(min(x[i] + w[i], x[j] + w[j]) - max(x[i], x[j]), 0) * max(min(y[i] + h[i], y[j] + h[j]) - max(y[i], y[j]), 0) for j in kept]
-            unions = [w[i] * h[i] + w[j] * h[j] - o for j, o in zip(kept, over, strict=True)]
-            if not any(u > 0 and o / u >= overlap for o, u in zip(over, unions, strict=True)):
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    return boxes.groupBy("media_id").applyInPandas(keep, boxes.schema)
+    """Of each file's boxes those that no surer kept one overlaps; surer first, ties by id. A file has a handful of boxes, so they are one array."""
+    sides = ("x", "y", "w", "h")
+    entry = F.struct((-F.col("confidence")).alias("order"), "id", *[F.col(f"bbox_{c}").cast("double").alias(c) for c in sides])
+    of = lambda b: {c: b[c] for c in sides}
+    each = boxes.groupBy("media_id").agg(F.array_sort(F.collect_list(entry)).alias("boxes"))
+    none = F.filter("boxes", lambda _: F.lit(False))
+    keep = F.aggregate("boxes", none, lambda kept, b: F.when(F.exists(kept, lambda k: iou(of(k), of(b)) >= overlap), kept).otherwise(F.concat(kept, F.array(b))))
+    return boxes.join(each.select(F.explode(keep).alias("k")).select("k.id"), "id", "left_semi").select(*boxes.columns)
 
 
 def cluster_online(faces: DataFrame, least: float = MATCH, group: str | None = None) -> DataFrame:

@@ -30,6 +30,16 @@ def days(media: DataFrame, zone: str = "UTC") -> DataFrame:
     return out.select("day", "count", F.col("lead.id").alias("first_id"), F.col("lead.ts").alias("first_ts"))
 
 
+def latest_first(days_: DataFrame) -> DataFrame:
+    """Days in the order of lists: by the time of what leads them, those without a date last."""
+    return days_.orderBy(F.desc("first_ts"), F.desc("first_id"))
+
+
+def of_period(media: DataFrame, prefix: str) -> DataFrame:
+    """The rows of a year (2001) or a month (2001-07), by the start of their month in UTC."""
+    return media.filter(month(effective_ts()).startswith(prefix))
+
+
 def on_this_day_items(media: DataFrame, month_: int, day_: int, as_of_year: int) -> DataFrame:
     """What was captured on this day of earlier years, with its year."""
     taken = media.filter(in_utc(F.col("captured_at"), "MM-dd") == f"{month_:02d}-{day_:02d}")

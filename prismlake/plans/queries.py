@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, text, times, vectors
-from ..operators import curation, duplicates, ingest, ops, people, search, spatial, timeline
+from ..operators import curation, duplicates, ingest, libraries, ops, people, search, spatial, timeline
 from ..sources.places import oracle_rows
 from ..sources.tables import Library, oracle_with
 from ..streaming import windows
@@ -35,7 +36,11 @@ def query(sql: str | None = None, *tables: str, name: str | None = None):
         if sql is not None:
             # a query with clauses of its own joins them to the tables'
             head = oracle_with(*tables) if tables else ""
-            ORACLE_SQL[key] = f"{head}, {sql[5:]}" if head and sql.startswith("with ") else f"{head} {sql}".strip()
+            if head and sql.startswith("with "):
+                walks = "recursive " * sql.startswith("with recursive ")
+                ORACLE_SQL[key] = f"with {walks}{head[5:]}, {sql.removeprefix('with ').removeprefix(walks)}"
+            else:
+                ORACLE_SQL[key] = f"{head} {sql}".strip()
         return f
 
     return put
@@ -429,9 +434,72 @@ def batch_favourite(lib: Library) -> DataFrame:
     return out.select("id", "is_favorite", "rating", "orientation")
 
 
-@query("select id, case when k = 0 then file_name else regexp_replace(file_name, '\\.[^.]*$', '') || '_' || k || regexp_extract(file_name, '\\.[^.]*$') end as export_name from (select id, file_name, row_number() over (partition by file_name order by id) - 1 as k from (select id, regexp_replace(file_name, '[0-9]+', '', 'g') as file_name from media_files))", "media_files")
+#: Names with the digits dropped, so that many are the same, and some that end in a number as made names do.
+_SHORT = "case when id % 50 = 1 then 'IMG__' || cast(1 + id % 7 as {0}) || '.jpg' else {1} end"
+_SHORT_SQL = _SHORT.format("varchar", "regexp_replace(file_name, '[0-9]+', '', 'g')")
+
+
+@query(
+    f"""with named as (select id, {_SHORT_SQL} as file_name from media_files),
+ numbered as (select *, row_number() over (partition by file_name order by id) - 1 as k from named),
+ repeated as (select file_name, count(*) as n, regexp_replace(file_name, '\\.[^.]*$', '') as stem, regexp_extract(file_name, '\\.[^.]*$') as dot from named group by 1 having count(*) > 1),
+ made as (select file_name, stem || '_' || number || dot as name, number from repeated, unnest(range(1, n + (select count(distinct file_name) from named))) u(number)),
+ free as (select file_name, name, row_number() over (partition by file_name order by number) as k from made where name not in (select file_name from named))
+ select id, coalesce(name, numbered.file_name) as export_name from numbered left join free on numbered.file_name = free.file_name and numbered.k = free.k""",
+    "media_files",
+)
 def export_names(lib: Library) -> DataFrame:
-    return curation.export_names(lib.media_files.withColumn("file_name", F.regexp_replace("file_name", "[0-9]+", "")))
+    return curation.export_names(lib.media_files.withColumn("file_name", F.expr(_SHORT.format("string", "regexp_replace(file_name, '[0-9]+', '')"))))
+
+
+# lists in their order: a list's first page, which is what a limit is for
+
+
+@query("select id, name, created_at from albums order by created_at desc, id desc limit 20", "albums")
+def albums_first(lib: Library) -> DataFrame:
+    return curation.newest_first(curation.albums(lib.albums, lib.album_media, lib.media_files)).limit(20).select("id", "name", "created_at")
+
+
+@query("select id, name from tags order by name, id limit 20", "tags")
+def tags_first(lib: Library) -> DataFrame:
+    return curation.by_name(curation.tags(lib.tags, lib.media_tags)).limit(20).select("id", "name")
+
+
+@query("select p.id, count(distinct f.media_id) as face_count from persons p left join media_faces f on f.person_id = p.id group by 1 order by 2 desc, 1 limit 5", "persons", "media_faces")
+def people_first(lib: Library) -> DataFrame:
+    return people.most_seen_first(people.people(lib.persons, lib.media_faces, lib.media_files)).limit(5).select("id", "face_count")
+
+
+@query(f"{_GROUP} from media_files group by 1, 2 having count(*) > 1 order by 4 desc, 5 limit 25", "media_files")
+def duplicate_groups_first(lib: Library) -> DataFrame:
+    return duplicates.largest_first(duplicates.groups(lib.media_files)).limit(25)
+
+
+@query("select id, path from libraries order by created_at desc, id desc limit 2", "libraries")
+def libraries_first(lib: Library) -> DataFrame:
+    return ops.latest_libraries(ops.library_counts(lib.libraries, lib.media_files)).limit(2).select("id", "path")
+
+
+@query(f"select strftime(make_timestamp({TS} * 1000), '%Y-%m-%d') as day, count(*) as count, max({TS}) as first_ts from media_files group by 1 order by 3 desc limit 30", "media_files")
+def days_first(lib: Library) -> DataFrame:
+    return timeline.latest_first(timeline.days(lib.media_files)).limit(30).select("day", "count", "first_ts")
+
+
+@query(f"select id from media_files where year(make_timestamp({TS} * 1000)) = 1995 and month(make_timestamp({TS} * 1000)) = 7", "media_files")
+def period_media(lib: Library) -> DataFrame:
+    return timeline.of_period(lib.media_files, "1995-07").select("id")
+
+
+@query(f"select id from media_files where {TS} between epoch_ms(timestamp '1996-02-01') and epoch_ms(timestamp '1996-03-01') - 1", "media_files")
+def month_media(lib: Library) -> DataFrame:
+    first, last = times.month_bounds("1996-02")
+    return lib.media_files.filter(times.effective_ts().between(first, last)).select("id")
+
+
+@query(f"select id from media_files where {TS} >= epoch_ms(timestamp '1998-01-01') and {TS} < epoch_ms(timestamp '1999-01-01')", "media_files")
+def preset_media(lib: Library) -> DataFrame:
+    first, last = times.preset("last_year", date(1999, 5, 5))
+    return lib.media_files.filter(times.effective_ts().between(first, last)).select("id")
 
 
 # ingest
@@ -519,6 +587,13 @@ def camera_dates(lib: Library) -> DataFrame:
     return made.select(F.col("o_orderkey").alias("id"), dates.from_camera(F.col("text")).alias("captured_at"))
 
 
+@query("select o_orderkey as id, case when o_orderkey % 6 = 5 then null when o_orderkey % 6 = 3 then strftime(o_orderdate, '%Y-%m-%d') || ' 12:00:00' else strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end as shown from orders")
+def camera_local_times(lib: Library) -> DataFrame:
+    forms = [F.when(F.col("o_orderkey") % 6 == k, F.date_format("o_orderdate", f)) for k, (_, f) in enumerate(_CAMERA)]
+    made = lib.base("orders").select("o_orderkey", F.concat(F.coalesce(*forms, F.lit("no date")), F.lit("\x00 ")).alias("text"))
+    return made.select(F.col("o_orderkey").alias("id"), dates.local_text(F.col("text")).alias("shown"))
+
+
 @query("select o_orderkey as id, case when o_orderkey % 3 = 2 then null else epoch_ms(date_trunc('second', o_orderdate)) end as captured_at from orders")
 def sidecar_dates(lib: Library) -> DataFrame:
     seconds = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("string")
@@ -527,12 +602,53 @@ def sidecar_dates(lib: Library) -> DataFrame:
 
 
 @query(
-    """select id, case when captured_at is not null or id % 11 <> 0 then captured_at end as captured_at from media_files""",
+    """select id, case when captured_at is not null then captured_at when id % 2 = 0 then epoch_ms(timestamp '2001-02-03 04:05:06') + 86400000 * (id % 20) when id % 3 = 0 then 1000000000000 + 1000 * id end as captured_at from media_files""",
     "media_files",
 )
 def repair_dates(lib: Library) -> DataFrame:
-    # the names IMG_<key> carry no date, so nothing is repaired and nothing else changes
-    return ingest.repair_dates(lib.media_files, 2026).select("id", "captured_at")
+    day = F.date_format(F.date_add(F.lit("2001-02-03").cast("date"), (F.col("id") % 20).cast("int")), "yyyyMMdd")
+    media = lib.media_files.withColumn("file_name", F.when(F.col("id") % 2 == 0, F.concat(F.lit("IMG_"), day, F.lit("_040506.jpg"))).otherwise("holiday.jpg"))
+    text_ = F.concat(F.lit('{"photoTakenTime":{"timestamp":"'), (1_000_000_000 + F.col("id")).cast("string"), F.lit('"}}'))
+    sidecars = media.filter("id % 3 = 0").select("file_path", text_.alias("json"))
+    return ingest.repair_dates(media, AS_OF_YEAR, sidecars).select("id", "captured_at")
+
+
+@query(
+    """with shown as (select id, file_path, directory, library_id, file_size, file_modified_at, thumbnail_status from stored
+  union all select id + 1000000000, upper(file_path), directory, library_id, file_size, file_modified_at, thumbnail_status from stored where id % 31 = 0
+  union all select id + 2000000000, upper(file_path), directory, library_id, file_size, file_modified_at, thumbnail_status from media_files where id % 29 = 0),
+ met as (select s.*, d.file_path as new_path, d.file_size as new_size, d.file_modified_at as new_time, row_number() over (partition by lower(s.file_path) order by case when s.file_path = d.file_path then 0 else 1 end, id) as k
+  from shown s join discovered d on lower(d.file_path) = lower(s.file_path)),
+ judged as (select *, file_size <> new_size or file_modified_at <> new_time as anew, file_path <> new_path as moved from met where k = 1)
+ select id, new_path as file_path, regexp_replace(new_path, '/[^/]*$', '') as directory, library_id, case when not anew and thumbnail_status = 'failed' then 'pending' else thumbnail_status end as thumbnail_status from judged""",
+    "stored",
+    "media_files",
+    "discovered",
+)
+def reconcile_fixes(lib: Library) -> DataFrame:
+    columns = ["id", "file_path", "directory", "library_id", "file_size", "file_modified_at", "thumbnail_status"]
+    shouting = lambda df, which, more: df.filter(which).withColumns({"id": F.col("id") + more, "file_path": F.upper("file_path")}).select(*columns)
+    stored = lib.stored.select(*columns).unionByName(shouting(lib.stored, "id % 31 = 0", 1_000_000_000)).unionByName(shouting(lib.media_files, "id % 29 = 0", 2_000_000_000))
+    plan = ingest.reconcile_cased(stored, lib.discovered, F.regexp_extract("file_path", "^/lib([0-9]+)/", 1).cast("long"))
+    return ingest.apply_fixes(stored, plan, 1).select("id", "file_path", "directory", "library_id", "thumbnail_status")
+
+
+@query("select id, file_path from media_files where id % 7 = 0", "media_files")
+def deleted_paths(lib: Library) -> DataFrame:
+    return curation.deleted_paths(lib.media_files, lib.media_files.filter("id % 7 = 0").select("id"))
+
+
+@query(
+    """select distinct file_hash, case when h % 3 = 0 then 'thumbnails/' || file_hash[1:2] || '/' || file_hash || '.jpg' when h % 3 = 1 then 'thumbnails/' || file_hash[1:2] || '/' || file_hash || '.webp' end as preview
+ from (select file_hash, ascii(file_hash) as h from media_files)""",
+    "media_files",
+)
+def cached_previews(lib: Library) -> DataFrame:
+    # by the hash's first character: both, a webp and an empty jpg, or nothing
+    hashes = lib.media_files.select("file_hash", ops.thumbnail_path(F.col("file_hash")).alias("path"), (F.ascii("file_hash") % 3).alias("h"))
+    webp = F.regexp_replace("path", r"\.jpg$", ".webp")
+    cache = hashes.filter("h < 2").select("path", F.when(F.col("h") == 0, 500).otherwise(10).alias("bytes")).unionByName(hashes.filter("h < 2").select(webp.alias("path"), F.lit(900).alias("bytes")))
+    return ops.cached_preview(hashes, cache)
 
 
 @query("select id, latitude, longitude from media_files where latitude is not null", "media_files")
@@ -645,6 +761,34 @@ def face_queue(lib: Library) -> DataFrame:
     return people.scan_queue(lib.media_files).select("id", "file_path")
 
 
+@query("select id, case when id % 6 = 1 then 3 when id = 12 then 900 else person_id end as person_id from media_faces", "media_faces")
+def faces_assigned(lib: Library) -> DataFrame:
+    given = lib.media_faces.filter("id % 6 = 1").select("id", F.lit(3).cast("long").alias("person_id"))
+    return people.create_person(lib.persons, people.assign(lib.media_faces, given), 900, "new", 12)[1].select("id", "person_id")
+
+
+@query("select id, case when id = 2 then 'someone' else name end as name, cover_face_id from persons union all select 900, 'new', 12", "persons")
+def people_changed(lib: Library) -> DataFrame:
+    return people.rename(people.create_person(lib.persons, lib.media_faces, 900, "new", 12)[0], 2, "someone")
+
+
+@query("select id, media_id, person_id from media_faces union all select id + 1000000, media_id, null from media_faces where id % 10 = 3", "media_faces")
+def faces_inserted(lib: Library) -> DataFrame:
+    found = lib.media_faces.filter("id % 10 = 3")
+    return people.insert_faces(lib.media_faces, found.unionByName(found.withColumn("id", F.col("id") + 1_000_000))).select("id", "media_id", "person_id")
+
+
+@query("select f.id as face_id, f.media_id, m.file_path, m.orientation from media_faces f join media_files m on m.id = f.media_id where f.id = 4 limit 1", "media_faces", "media_files")
+def face_crop_source(lib: Library) -> DataFrame:
+    return people.face_crop_source(4, lib.media_faces, lib.media_files).select("face_id", "media_id", "file_path", "orientation")
+
+
+@query("select id, round(greatest(least(bbox_x + bbox_w, 0.7) - greatest(bbox_x, 0.2), 0) * greatest(least(bbox_y + bbox_h, 0.6) - greatest(bbox_y, 0.1), 0) / (bbox_w * bbox_h + 0.25 - greatest(least(bbox_x + bbox_w, 0.7) - greatest(bbox_x, 0.2), 0) * greatest(least(bbox_y + bbox_h, 0.6) - greatest(bbox_y, 0.1), 0)), 6) as overlap from media_faces", "media_faces")
+def box_overlaps(lib: Library) -> DataFrame:
+    fixed = {c: F.lit(v) for c, v in {"x": 0.2, "y": 0.1, "w": 0.5, "h": 0.5}.items()}
+    return lib.media_faces.select("id", F.round(vectors.iou({c: F.col(f"bbox_{c}") for c in "xywh"}, fixed), 6).alias("overlap"))
+
+
 @query("select id, case when person_id in (3, 4) then 2 else person_id end as person_id from media_faces", "media_faces")
 def merge_people(lib: Library) -> DataFrame:
     return people.merge(lib.persons, lib.media_faces, 2, [2, 3, 4])[1].select("id", "person_id")
@@ -671,7 +815,20 @@ def face_crops(lib: Library) -> DataFrame:
     return lib.media_faces.select("id", box.alias("b")).select("id", *[F.round(f"b.{c}", 6).alias(c) for c in "xywh"])
 
 
-@query()
+_BOXES = "select id, media_id, row_number() over (partition by media_id order by confidence desc, id) as r, bbox_x as x, bbox_y as y, bbox_w as w, bbox_h as h from media_faces"
+_OVER = "greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0)"
+
+
+@query(
+    f"""with recursive ranked as ({_BOXES}),
+ hits as (select a.media_id, a.r as r, b.r as by_r from ranked a join ranked b on a.media_id = b.media_id and b.r < a.r where ({_OVER}) / (a.w * a.h + b.w * b.h - ({_OVER})) >= 0.35),
+ fates as (select media_id, list(by_r) as hit_by, r from hits group by media_id, r),
+ walk(media_id, r, kept) as (select media_id, 1, [1] from ranked where r = 1
+  union all select k.media_id, k.r + 1, case when len(list_intersect(k.kept, coalesce(f.hit_by, []))) > 0 then k.kept else list_append(k.kept, k.r + 1) end
+  from walk k join ranked n on n.media_id = k.media_id and n.r = k.r + 1 left join fates f on f.media_id = n.media_id and f.r = n.r)
+ select n.id, n.media_id from (select media_id, max_by(kept, r) as kept from walk group by 1) k join ranked n on n.media_id = k.media_id and list_contains(k.kept, n.r)""",
+    "media_faces",
+)
 def iou_nms(lib: Library) -> DataFrame:
     return people.suppress(lib.media_faces).select("id", "media_id")
 
@@ -686,6 +843,44 @@ def orientation_degrees(lib: Library) -> DataFrame:
     return lib.media_files.select("id", vectors.degrees(F.col("orientation")).alias("degrees"), F.least(F.lit(5), "rating").alias("rating"))
 
 
+@query(
+    """select id, cast(case when greatest(w, h) <= 384 then w else greatest(round(w * (384.0::double / greatest(w, h))), 1) end as integer) as width, cast(case when greatest(w, h) <= 384 then h else greatest(round(h * (384.0::double / greatest(w, h))), 1) end as integer) as height,
+ case when d > 1 then least(d * 0.1::double, 3) else 0.5 end as still_at from (select id, 1 + id % 5000 as w, 1 + id % 97 as h, cast(id % 50 as double) as d from media_files)""",
+    "media_files",
+)
+def preview_plans(lib: Library) -> DataFrame:
+    size = vectors.fit_within(1 + F.col("id") % 5000, 1 + F.col("id") % 97)
+    return lib.media_files.select("id", size.alias("s"), vectors.seek_seconds((F.col("id") % 50).cast("double")).alias("still_at")).select("id", "s.width", "s.height", "still_at")
+
+
+@query("select id, case when media_type = 'video' and id % 3 < 2 then 'pending' else thumbnail_status end as thumbnail_status from media_files", "media_files")
+def film_previews_reset(lib: Library) -> DataFrame:
+    path = F.when(F.col("id") % 3 == 1, "x.WEBP").when(F.col("id") % 3 == 2, "x.jpg")
+    return libraries.reset_film_previews(lib.media_files.withColumn("thumbnail_path", path)).select("id", "thumbnail_status")
+
+
+@query("select id, path, created_at from libraries union all select 90, '/new', 7", "libraries")
+def library_registered(lib: Library) -> DataFrame:
+    return libraries.register(libraries.register(lib.libraries, 90, "/new", 7), 91, "/lib1", 8).filter("is_active").select("id", "path", "created_at")
+
+
+@query("select id, case when id = 3 then 'trip' else name end as name, case when id = 3 then 4 else cover_media_id end as cover_media_id from albums where id <> 5 union all select 5000, 'fresh', null", "albums")
+def album_changes(lib: Library) -> DataFrame:
+    made = curation.update_album(curation.create_album(lib.albums, 5000, "fresh", None, 9), 3, "trip", "d", 4)
+    return curation.delete_album(made, lib.album_media, 5)[0].select("id", "name", "cover_media_id")
+
+
+@query("select case when count(*) filter (name is not null and id in (4, 3, 7)) > 0 then (select id from (select p.id, p.name, count(distinct f.media_id) as n from persons p left join media_faces f on f.person_id = p.id where p.id in (4, 3, 7) group by 1, 2) where name is not null order by n desc, id limit 1) else 4 end as target from persons", "persons", "media_faces")
+def merge_choice(lib: Library) -> DataFrame:
+    chosen = people.merge_target(people.people(lib.persons, lib.media_faces, lib.media_files), [4, 3, 7])
+    return lib.spark.createDataFrame([(chosen,)], "target long")
+
+
+@query("select id, 'none' as lens_model, rating from media_files", "media_files")
+def columns_added(lib: Library) -> DataFrame:
+    return libraries.with_columns(lib.media_files, {"lens_model": ("string", "none"), "rating": ("int", 9)}).select("id", "lens_model", "rating")
+
+
 # logs and events
 
 
@@ -709,6 +904,11 @@ def debounced_sessions(lib: Library) -> DataFrame:
     return windows.sessions(windows.timed(lib.base("events")), "user_id", 3_600_000)
 
 
-@query()
+@query(
+    """with recursive e as (select event_id, event_type as k, epoch_us(ts) // 1000 as ms, row_number() over (partition by event_type order by epoch_us(ts) // 1000, event_id) as r from events),
+ nexts as (select a.k, a.r, a.ms, (select min(b.r) from e b where b.k = a.k and b.ms > a.ms + 60000) as after from e a),
+ starts(k, r, ms, after) as (select k, r, ms, after from nexts where r = 1 union all select n.k, n.r, n.ms, n.after from starts s join nexts n on n.k = s.k and n.r = s.after)
+ select event_id, r - start < 30 as allowed from (select e.event_id, e.r, max(s.r) as start from e join starts s on s.k = e.k and s.r <= e.r group by 1, 2)"""
+)
 def log_rate_limit(lib: Library) -> DataFrame:
     return windows.rate_limited(windows.timed(lib.base("events")), "event_type", 60_000, 30).select("event_id", "allowed")

@@ -1,7 +1,8 @@
 """Live file events: a stream of changes applied to the catalogue, one micro-batch at a time.
 
-The catalogue is a folder of versions, each a full Parquet table that is written under a name of its own before the pointer
-file moves to it; a batch that is delivered again finds its own version and does nothing.
+The catalogue is a folder of versions, each a full Parquet table of which the last that was written to its end counts; a
+batch that is delivered again finds its own version and does nothing. Before the first batch it is empty. Versions before
+the last KEEP are deleted.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql.window import Window
 from ..operators.ingest import ignored_path, supported, unchanged, upsert
 
 
+KEEP = 2
+
+
 class Catalogue:
     """Versions of a table in a folder that all executors share."""
 
@@ -39,6 +43,8 @@ class Catalogue:
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
+        for old in self.versions()[:-KEEP]:
+            self._fs().delete(self._path(f"v{old}"), True)
 
 
 def last_events(batch: DataFrame) -> DataFrame:
@@ -73,6 +79,8 @@ def follow(events: DataFrame, catalogue: Catalogue, checkpoint: str, trigger: di
         if have and have[-1] > batch_id:
             return
         stored = catalogue.read()
+        if stored is None:
+            stored = batch.drop("kind", "seq").limit(0)
         # version n + 1 holds batch n; the batch is used twice, so it is kept while it is worked on
         batch.persist()
         catalogue.write(apply_batch(stored, batch), batch_id + 1)
