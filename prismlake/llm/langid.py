@@ -3,8 +3,9 @@
 A text is lower-cased, everything but letters becomes a space, and its 2- to 4-character subwords are hashed into
 BUCKETS rows of an embedding table. The text's vector is the mean of those rows, a linear layer and softmax give the
 language. Both layers are trained by stochastic gradient descent in numpy on a bounded, stratified sample of labelled
-rows (at most about SAMPLE_PER_LANG a language); a fifth of that sample calibrates a temperature and the rejection
-threshold. Prediction runs in Spark over whole texts.
+rows (at most about SAMPLE_PER_LANG a language and SAMPLE in all); a fifth of that sample calibrates a temperature. The
+rejection threshold lies half-way, in log-odds, between what nearly all of that fifth reach and what nearly all texts of
+random letters stay below, at REJECT_MOST at most. Prediction runs in Spark over whole texts.
 
 Defined cases: a null text or one without a letter gives `und`, score 0 and is rejected; without any labelled row
 every text is `und`; ties go to the first language in sorted order; extra columns are ignored.
@@ -23,11 +24,15 @@ BUCKETS = 1 << 16
 DIM = 16
 #: The bound of the fitting sample: expected labelled rows taken for each language.
 SAMPLE_PER_LANG = 800
+#: And of all together, however many languages there are.
+SAMPLE = 16_000
 BATCH, RATE, SEED = 32, 0.5, 11
 #: Steps of gradient descent, whatever the sample's size.
 STEPS = 1500
-#: Share of clean validation rows that rejection may cost, and the highest threshold it may set.
-REJECT_SHARE, REJECT_MOST = 0.001, 0.5
+#: Share of clean validation rows that rejection may cost, share of random ones that it may let pass, and the highest threshold it may set.
+REJECT_SHARE, PASS_SHARE, REJECT_MOST = 0.001, 0.05, 0.9
+#: Texts of random letters to calibrate with.
+RANDOM_TEXTS = 300
 CHUNK = 1 << 20
 UNDETERMINED = "und"
 
@@ -95,7 +100,8 @@ def _sample(train: DataFrame) -> pd.DataFrame:
     counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not counts:
         return pd.DataFrame({"h": [], "lang": [], "b": [], "n": []})
-    rates = F.create_map(*[F.lit(x) for k, c in sorted(counts.items()) for x in (k, min(1.0, SAMPLE_PER_LANG / c))])
+    each = min(SAMPLE_PER_LANG, SAMPLE // len(counts))
+    rates = F.create_map(*[F.lit(x) for k, c in sorted(counts.items()) for x in (k, min(1.0, each / c))])
     h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED))
     picked = train.withColumn("h", h).filter(F.shiftrightunsigned("h", 11) / float(1 << 53) < rates[F.col("lang")])
 
@@ -127,7 +133,7 @@ def fit(docs: DataFrame) -> LanguageModel:
     order = rng.permutation(len(xs))
     held = order[: len(xs) // 5] if len(xs) >= 50 else order
     fitted = order[len(xs) // 5 :] if len(xs) >= 50 else order
-    emb = rng.normal(0, 0.1, (BUCKETS, DIM))
+    emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 0.3, (DIM, len(langs))), np.zeros(len(langs))
     epochs = -(-STEPS // -(-len(fitted) // BATCH))
     for epoch in range(epochs):
@@ -137,20 +143,29 @@ def fit(docs: DataFrame) -> LanguageModel:
             mean = np.stack([xs[i][1] @ emb[xs[i][0]] for i in batch])
             g = _softmax(mean @ out + bias)
             g[np.arange(len(batch)), y[batch]] -= 1
-            back = g @ out.T
+            back = (g @ out.T * (-rate * 20.0 / len(batch))).astype(np.float32)
             out -= rate * mean.T @ g / len(batch)
             bias -= 0.1 * rate * g.mean(axis=0)
             # each text moves its own subwords; the mean spreads a step over them, so the step is scaled up
             for i, v in zip(batch, back, strict=True):
                 b, w = xs[i]
-                emb[b] -= (rate * 20.0 / len(batch)) * np.sqrt(w)[:, None] * v
+                emb[b] += np.sqrt(w)[:, None] * v
         fitted = rng.permutation(fitted)
     logits = np.stack([xs[i][1] @ emb[xs[i][0]] for i in held]) @ out + bias
     loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.2, 5, 60), key=loss))
-    best = _softmax(logits / temperature).max(axis=1)
-    threshold = float(min(REJECT_MOST, np.quantile(best, REJECT_SHARE)))
-    return LanguageModel(langs, (emb @ out).astype(np.float32), bias, temperature, threshold)
+    model = LanguageModel(langs, (emb @ out).astype(np.float32), bias, temperature, 0.0)
+    odds = lambda p: np.log(np.clip(p, 1e-12, 1 - 1e-12)) - np.log1p(-np.clip(p, 1e-12, 1 - 1e-12))
+    clean = np.quantile(odds(_softmax(logits / temperature).max(axis=1)), REJECT_SHARE)
+    junk = np.quantile(odds(np.array([model.predict(t)[1] for t in random_texts(rng)])), 1 - PASS_SHARE)
+    model.threshold = float(min(REJECT_MOST, 1 / (1 + np.exp(-min(clean, (clean + junk) / 2)))))
+    return model
+
+
+def random_texts(rng: np.random.Generator, n: int = RANDOM_TEXTS) -> list[str]:
+    """Texts of letters and blanks without any language."""
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz" + " " * 5))
+    return ["".join(rng.choice(letters, size)) for size in rng.integers(20, 600, n)]
 
 
 def predictor(spark, model: LanguageModel):

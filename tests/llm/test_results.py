@@ -73,6 +73,10 @@ def test_language_rejects_what_is_none(docs):
     model = langid.fit(docs)
     assert model.predict("1234 !!! ???")[0] == "und" and model.predict("1234")[2]
     assert not model.predict("the of and to in that is was for with on as by at from")[2]
+    junk = langid.random_texts(np.random.default_rng(24), 200)
+    assert sum(model.predict(t)[2] for t in junk) >= 0.9 * len(junk)
+    clean = [r["text"] for r in docs.select("text").collect() if re.search(r"[^\W\d_]", r["text"] or "")]
+    assert sum(model.predict(t)[2] for t in clean) <= 0.01 * len(clean)
 
 
 # shards
