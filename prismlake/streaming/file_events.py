@@ -61,10 +61,12 @@ def apply_batch(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """
     events = last_events(batch)
     gone = events.filter("kind = 'remove'").select(F.col("file_path").alias("root"))
-    parts = F.split("file_path", "/")
-    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    below = stored.select("file_path", F.explode(folders).alias("root")).join(gone, "root", "left_semi").select("file_path")
-    left = stored.join(below, "file_path", "left_anti").select(*stored.columns)
+    left = stored
+    if not gone.isEmpty():
+        parts = F.split("file_path", "/")
+        folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+        below = stored.select("file_path", F.explode(folders).alias("root")).join(gone, "root", "left_semi").select("file_path")
+        left = stored.join(below, "file_path", "left_anti").select(*stored.columns)
     new = events.filter("kind = 'upsert'").filter(supported(F.col("file_name")) & ~ignored_path(F.col("file_path")) & (F.col("file_size") > 0))
     keys = ["file_path", "file_modified_at", "file_size"]
     new = new.join(unchanged(left, new.select(*keys)), keys, "left_anti")

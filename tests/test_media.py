@@ -295,6 +295,25 @@ def test_file_event_stream(spark, media, tmp_path):
     assert catalogue.versions() == [0, 1]
 
 
+def test_file_events_on_an_empty_catalogue(spark, media, tmp_path):
+    catalogue = file_events.Catalogue(spark, str(tmp_path / "catalogue"))
+    for k, names in enumerate((["a.jpg"], ["b.jpg", "c.jpg"], ["a.jpg"], ["d.jpg"])):
+        kind = "remove" if k == 2 else "upsert"
+        new = media(*[row(10 * k + n, name) for n, name in enumerate(names)])
+        new.select(F.lit(kind).alias("kind"), F.col("id").alias("seq"), "*").write.parquet(str(tmp_path / "in" / str(k)))
+        stream = spark.readStream.schema(f"kind string, seq long, {MEDIA}").parquet(str(tmp_path / "in" / "*"))
+        assert file_events.follow(stream, catalogue, str(tmp_path / "check")).awaitTermination(120)
+    assert {r["file_name"] for r in catalogue.read().collect()} == {"b.jpg", "c.jpg", "d.jpg"}
+    assert catalogue.versions() == [3, 4]
+
+
+def test_names_of_exports_never_meet(spark):
+    names = ["a.jpg", "a.jpg", "a_1.jpg", "a.jpg", "a_2.jpg", "a_1.jpg", "b", "b", "b_1", "c_01.jpg", "c.jpg", "c.jpg", "x.tar.gz", "x.tar.gz"]
+    got = {r["id"]: r["export_name"] for r in curation.export_names(spark.createDataFrame(list(enumerate(names)), "id long, file_name string")).collect()}
+    assert len(set(got.values())) == len(names)
+    assert [got[i] for i in range(len(names))] == ["a.jpg", "a_3.jpg", "a_1.jpg", "a_4.jpg", "a_2.jpg", "a_1_1.jpg", "b", "b_2", "b_1", "c_01.jpg", "c.jpg", "c_1.jpg", "x.tar.gz", "x.tar_1.gz"]
+
+
 def test_progress(spark, tmp_path):
     spark.range(7).write.parquet(str(tmp_path / "in"))
     told = []
