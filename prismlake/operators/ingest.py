@@ -76,6 +76,37 @@ def fast_hash(content: bytes) -> str:
     return f"{h.intdigest():016x}"
 
 
+def hash_file(path: str) -> str:
+    """`fast_hash` of a file, of which a large one's parts are read only."""
+    with open(path, "rb") as f:
+        n = f.seek(0, 2)
+        f.seek(0)
+        if n <= WHOLE:
+            return fast_hash(f.read())
+        h = xxhash.xxh64(f.read(HEAD))
+        for at in (n // 2, n - PART):
+            f.seek(at)
+            h.update(f.read(PART))
+        h.update(n.to_bytes(8, "little"))
+        return f"{h.intdigest():016x}"
+
+
+def file_hashes(path: Column) -> Column:
+    """The fast hash of files that every executor can open; null of those that can't be read."""
+
+    def one(p):
+        try:
+            return None if p is None else hash_file(p)
+        except OSError:
+            return None
+
+    @F.pandas_udf("string")
+    def run(paths):
+        return paths.map(one, na_action=None)
+
+    return run(path)
+
+
 def content_hash(content: Column) -> Column:
     """The fast hash of binary contents (Spark's own xxhash64 has another seed)."""
 

@@ -1,8 +1,9 @@
 """What picture and film files say about themselves: EXIF headers and film atoms, read from bytes.
 
-`photo_headers` and `film_headers` take a table of contents (file_path, content; `spark.read.format("binaryFile")` makes
-one) and give a row of metadata for each. Only headers are looked at: HEAD_BYTES of a picture, and of a film its `moov` atom.
-A file that cannot be read gives nulls.
+`photo_headers` and `film_headers` take a table of paths that every executor can open (file_path), of which tasks read
+HEAD_BYTES of a picture, and of a film, whatever its size, its `moov` atom, found by seeking from atom to atom. Or they take
+the contents with them (file_path, content; `spark.read.format("binaryFile")` makes such a table). Each gives a row of
+metadata. A file that cannot be read gives nulls.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import from_camera, from_name
 
 HEAD_BYTES, ATOM_BYTES = 1 << 18, 1 << 19
+#: A larger `moov` atom is not read.
+MOST_MOOV_BYTES = 64 << 20
 
 # fixed values: the numbers of the tags that are read, by directory
 MAIN = {0x0100: "width", 0x0101: "height", 0x010F: "camera_make", 0x0110: "camera_model", 0x0112: "orientation", 0x0132: "modified"}
@@ -170,32 +173,59 @@ def film(content: bytes) -> dict:
     return out
 
 
-def _table(files: DataFrame, read, schema: str) -> DataFrame:
+def _photo_head(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read(HEAD_BYTES)
+
+
+def _film_head(path: str) -> bytes:
+    """The `moov` atom of a film, or its first ATOM_BYTES if it has none that ends."""
+    with open(path, "rb") as f:
+        end, at = f.seek(0, 2), 0
+        while at + 8 <= end:
+            f.seek(at)
+            head = f.read(16)
+            size, kind = struct.unpack_from(">I4s", head)
+            if size == 1 and len(head) == 16:
+                size = struct.unpack_from(">Q", head, 8)[0]
+            size = size or end - at
+            if size < 8 or at + size > end:
+                break
+            if kind == b"moov" and size <= MOST_MOOV_BYTES:
+                f.seek(at)
+                return f.read(size)
+            at += size
+        f.seek(0)
+        return f.read(ATOM_BYTES)
+
+
+def _table(files: DataFrame, read, head, schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
+    given = "content" in files.columns
 
     def run(parts):
         for pdf in parts:
             rows = []
-            for path, content in zip(pdf["file_path"], pdf["content"], strict=True):
+            for path, content in zip(pdf["file_path"], pdf["content"] if given else pdf["file_path"], strict=True):
                 try:
-                    got = read(bytes(content)) if content is not None else {}
-                except (struct.error, ValueError, OverflowError):
+                    got = {} if content is None else read(bytes(content) if given else head(path))
+                except (struct.error, ValueError, OverflowError, OSError):
                     got = {}
                 rows.append({"file_path": path} | got)
             yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
 
-    return files.select("file_path", "content").mapInPandas(run, schema)
+    return files.select("file_path", *["content"] * given).mapInPandas(run, schema)
 
 
 def photo_headers(files: DataFrame, as_of_year: int) -> DataFrame:
     """A row for each picture: what its header says, and captured_at from it or else from the file's name."""
-    found = _table(files, photo, PHOTO)
+    found = _table(files, photo, _photo_head, PHOTO)
     name = F.regexp_extract("file_path", r"([^/\\]*)$", 1)
     return found.withColumn("captured_at", F.coalesce(from_camera(F.col("taken_text")), from_name(name, as_of_year))).drop("taken_text")
 
 
 def film_headers(files: DataFrame, as_of_year: int) -> DataFrame:
     """A row for each film: its atoms, and captured_at from them or else from the file's name."""
-    found = _table(files, film, FILM)
+    found = _table(files, film, _film_head, FILM)
     name = F.regexp_extract("file_path", r"([^/\\]*)$", 1)
     return found.withColumn("captured_at", F.coalesce("created_ms", from_name(name, as_of_year))).drop("created_ms")

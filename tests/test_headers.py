@@ -3,8 +3,11 @@
 import datetime as dt
 import struct
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from prismlake.operators import ingest
 from prismlake.sources import headers, listing
 
 
@@ -75,6 +78,50 @@ def test_films(spark):
     assert got["/a/z.mp4"][4:] == (None, None) and got["/a/VID_20200101_000000.mp4"][0] == 1577836800000 and got["/a/n.mp4"][0] is None
 
 
+def test_headers_of_files(spark, tmp_path):
+    """Read by path: the same as from contents, and of a film only what it takes."""
+    contents = {"x.dng": tiff("<"), "x.mp4": b"\0\0\0\x10free" + b"x" * 8 + movie(), "cut.mp4": movie()[:30], "junk.mp4": b"ju"}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    with (tmp_path / "long.mp4").open("wb") as f:  # three gigabytes of nothing before the atom
+        f.write(b"\0\0\0\1mdat" + (3 << 30).to_bytes(8, "big"))
+        f.seek(3 << 30)
+        f.write(movie())
+    paths = [f"{tmp_path}/{n}" for n in (*contents, "long.mp4", "gone.mp4")]
+    files = spark.createDataFrame([(p,) for p in paths], "file_path string")
+    given = spark.createDataFrame([(f"{tmp_path}/{n}", c) for n, c in contents.items()], "file_path string, content binary")
+    films = {r["file_path"].rsplit("/")[-1]: tuple(r)[1:] for r in headers.film_headers(files, 2026).collect()}
+    assert {n: films[n] for n in contents} == {r["file_path"].rsplit("/")[-1]: tuple(r)[1:] for r in headers.film_headers(given, 2026).collect()}
+    assert films["long.mp4"] == films["x.mp4"] and films["x.mp4"][1] is not None and not any(films["gone.mp4"])
+    photos = {r["file_path"].rsplit("/")[-1]: r for r in headers.photo_headers(files, 2026).collect()}
+    assert photos["x.dng"]["captured_at"] == TAKEN and photos["gone.mp4"]["captured_at"] is None
+
+
+def test_hashes_of_files(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    sizes = {"a": 0, "b": 100, "c": 1 << 20, "d": (1 << 20) + 1, "e": 3_000_000}
+    for name, n in sizes.items():
+        (tmp_path / name).write_bytes(rng.bytes(n))
+    df = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in (*sizes, "gone")] + [(None,)], "p string")
+    got = {r["p"]: r["h"] for r in df.select("p", ingest.file_hashes(F.col("p")).alias("h")).collect()}
+    assert got == {f"{tmp_path}/{n}": ingest.fast_hash((tmp_path / n).read_bytes()) for n in sizes} | {f"{tmp_path}/gone": None, None: None}
+
+
+def test_listing_in_two_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "FOLDERS", 3)
+    want = set()
+    for k in range(4):
+        for d in ("", "a/", "a/b/", "c/"):
+            path = tmp_path / f"top{k}" / d / f"f{k}.jpg"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(b"x" * (k + 1))
+            want.add((str(path), k + 1))
+    (tmp_path / "link").symlink_to(tmp_path / "top1")
+    assert {(r["file_path"], r["file_size"]) for r in listing.walk(spark, str(tmp_path)).collect()} == want
+    with pytest.raises(NotADirectoryError):
+        listing.walk(spark, str(tmp_path / "none"))
+
+
 def test_listing(spark, tmp_path):
     for name in ("a.jpg", "_DSC1.JPG", "._x.jpg", "@eaDir/b.jpg", "sub/deep/c.mp4", "notes.txt", "#recycle/d.jpg", "cat.lrdata/e.jpg", "empty.jpg"):
         path = tmp_path / name
