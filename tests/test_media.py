@@ -243,7 +243,20 @@ def test_people(spark, media):
     assert matched == {1: 1, 2: 1, 3: 2, 4: None}
     assert people.merge_target(people.people(persons, faces, files), [3, 2]) == 2
     clusters = {r["id"]: r["cluster"] for r in people.cluster_online(faces.withColumn("all", F.lit("x")), group="all").collect()}
-    assert clusters == {1: 0, 2: 0, 3: 1, 4: 2}
+    assert clusters == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_clusters_of_people(spark):
+    """Faces of twelve people, whose vectors have different largest components, against all met in order."""
+    rng = np.random.default_rng(3)
+    people_ = rng.normal(size=(12, 32))
+    x = people_[np.arange(240) % 12] + 0.35 * rng.normal(size=(240, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    faces = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    assert any(len({int(v.argmax()) for v in x[p::12]}) > 1 for p in range(12))
+    for df in (faces, faces.withColumn("all", F.lit("x"))):
+        got = {r["id"]: r["cluster"] for r in people.cluster_online(df, group="all" if "all" in df.columns else None).collect()}
+        assert got == {i: i % 12 for i in range(240)}
 
 
 def test_boxes_of_faces(spark):
