@@ -4,8 +4,8 @@ A text is lower-cased, everything but letters becomes a space, and its 2- to 4-c
 BUCKETS rows of an embedding table. The text's vector is the mean of those rows, a linear layer and softmax give the
 language. Both layers are trained by stochastic gradient descent in numpy on a bounded, stratified sample of labelled
 rows (at most about SAMPLE_PER_LANG a language and SAMPLE in all); a fifth of that sample calibrates a temperature. The
-rejection threshold lies half-way, in log-odds, between what nearly all of that fifth reach and what nearly all texts of
-random letters stay below, at REJECT_MOST at most. Prediction runs in Spark over whole texts.
+rejection threshold is what nearly all texts of random letters stay below, but it lies MARGIN, in log-odds, below what nearly
+all of that fifth reach, and at REJECT_MOST at most. Prediction runs in Spark over whole texts.
 
 Defined cases: a null text or one without a letter gives `und`, score 0 and is rejected; without any labelled row
 every text is `und`; ties go to the first language in sorted order; extra columns are ignored.
@@ -31,6 +31,8 @@ BATCH, RATE, SEED = 32, 0.5, 11
 STEPS = 1500
 #: Share of clean validation rows that rejection may cost, share of random ones that it may let pass, and the highest threshold it may set.
 REJECT_SHARE, PASS_SHARE, REJECT_MOST = 0.001, 0.05, 0.9
+#: In log-odds: the least clean row of a larger table is less sure than that of the sample.
+MARGIN = 0.8
 #: Texts of random letters to calibrate with.
 RANDOM_TEXTS = 300
 CHUNK = 1 << 20
@@ -158,7 +160,7 @@ def fit(docs: DataFrame) -> LanguageModel:
     odds = lambda p: np.log(np.clip(p, 1e-12, 1 - 1e-12)) - np.log1p(-np.clip(p, 1e-12, 1 - 1e-12))
     clean = np.quantile(odds(_softmax(logits / temperature).max(axis=1)), REJECT_SHARE)
     junk = np.quantile(odds(np.array([model.predict(t)[1] for t in random_texts(rng)])), 1 - PASS_SHARE)
-    model.threshold = float(min(REJECT_MOST, 1 / (1 + np.exp(-min(clean, (clean + junk) / 2)))))
+    model.threshold = float(min(REJECT_MOST, 1 / (1 + np.exp(-min(clean - MARGIN, junk)))))
     return model
 
 
