@@ -95,11 +95,7 @@ def cut(docs: DataFrame, split: Callable[[str], list[str]], n_buckets: int, docu
 
         def flush():
             spelt = [w.encode("utf-8", "surrogatepass") for w in words]
-            digest = xxhash.xxh3_64(seed=(task << 16) + seq)
-            for w in spelt:
-                digest.update(w)
-                digest.update(b"\0")
-            block = digest.intdigest() >> 1
+            block = xxhash.xxh3_64_intdigest(b"\0".join(spelt), seed=(task << 16) + seq) >> 1
             bucket = np.array([zlib.crc32(w) for w in spelt], dtype=np.int64) % n_buckets
             by_word = np.array(sorted(range(len(spelt)), key=spelt.__getitem__), dtype=np.int64)
             order = by_word[np.argsort(bucket[by_word], kind="stable")]
@@ -120,10 +116,13 @@ def cut(docs: DataFrame, split: Callable[[str], list[str]], n_buckets: int, docu
             if batch.num_rows:
                 task = batch.column(2)[0].as_py()
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                have = np.array([words.setdefault(w, len(words)) for w in split(text or "")], dtype="<u4")
+                found = split(text or "")
                 if documents:
-                    held.append((doc_id, have))
-                tokens += len(have)
+                    held.append((doc_id, np.array([words.setdefault(w, len(words)) for w in found], dtype="<u4")))
+                else:
+                    for w in dict.fromkeys(found):
+                        words.setdefault(w, len(words))
+                tokens += len(found)
                 if len(words) >= MOST_WORDS or tokens >= MOST_TOKENS:
                     yield from flush()
                     words, held, tokens, seq = {}, [], 0, seq + 1

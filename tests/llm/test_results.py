@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
@@ -137,6 +138,15 @@ def test_bpe_is_the_librarys(spark, sf_dir, texts):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_ascii_texts_are_split_in_the_same_way():
+    split, general = bpe.splitter(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN)
+    assert bpe.ascii_pattern(public_tokenizers.PATTERN) and bpe.ascii_pattern(r"\p{Lu}+") is None and bpe.ascii_pattern(r"(?i)a") is None
+    rng = random.Random(25)
+    texts = [chr(a) + chr(b) + c for a in range(128) for b in range(128) for c in ("", "a", " ")]
+    texts += ["".join(rng.choice(" \n\t\x0b\x1c\x00ab9'.sS_") for _ in range(20)) for _ in range(3000)]
+    assert all(split(t) == general.findall(t) for t in texts)
+
+
 def test_bpe_of_odd_texts_in_small_blocks(written, monkeypatch):
     monkeypatch.setattr(blocks, "MOST_TOKENS", 50)
     odd = ["<|endoftext|> is text", "  two  blanks\n\n", "é" * 200, "x" * 5000, "🙂" * 40, "1234567890 a's we'll", "", None, "漢字 текст", " ", "a" * 47, "ab" * 24, "zq" * 24 + "x"]
