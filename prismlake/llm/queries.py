@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, langid, minhash_forest, mixing, oracles, pii, sharding, spotsigs, suffix_tree, unigram_counts
+from . import ann, bpe, common, heap_lloyd, langid, minhash_forest, mixing, oracles, pii, sharding, spotsigs, suffix_arrays, suffix_tree, unigram_counts, word_runs
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.count_tokens(common.documents(spark, sf_dir), vocabulary)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_byte_bpe, op4_spotsigs, op5_learned_partitions, op6_pii, op7_suffix_tree, op8_mixing, op9_minhash_forest, op10_token_counts)}
+def op11_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.digests(suffix_arrays.find(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
-ORACLE_SQL: dict[str, str] = {"op2_sharding": oracles.sharding(24), "op8_mixing": oracles.mixing(), "op9_minhash_forest": oracles.near_duplicates()}
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digests(common.documents(spark, sf_dir))
+
+
+def op13_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_lloyd.digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_byte_bpe, op4_spotsigs, op5_learned_partitions, op6_pii, op7_suffix_tree, op8_mixing, op9_minhash_forest, op10_token_counts, op11_suffix_arrays, op12_word_runs, op13_heap_lloyd)}
+
+ORACLE_SQL: dict[str, str] = {"op2_sharding": oracles.sharding(24), "op8_mixing": oracles.mixing(), "op9_minhash_forest": oracles.near_duplicates(), "op11_suffix_arrays": oracles.contamination(), "op12_word_runs": oracles.word_runs(), "op13_heap_lloyd": oracles.vector_codes()}

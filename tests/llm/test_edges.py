@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from prismlake.llm import ann, bpe, langid, minhash_forest, mixing, pii, sharding, spotsigs, suffix_tree, unigram_counts
+from prismlake.llm import ann, bpe, heap_lloyd, langid, minhash_forest, mixing, pii, sharding, spotsigs, suffix_arrays, suffix_tree, unigram_counts, word_runs
 
 from samples import EXTRA, ODD, odd_rows
 
@@ -27,6 +27,9 @@ OPERATORS = {
     "mixing": mixing.interleave,
     "minhash": minhash_forest.near_duplicates,
     "counts": lambda d: unigram_counts.count_tokens(d, unigram_counts.load(public_tokenizers.path("piece_bpe_32k.model"))),
+    "suffix arrays": lambda d: suffix_arrays.find(d, d.select(F.lit(1).alias("item_id"), "text", "lang").limit(0)),
+    "word runs": word_runs.digests,
+    "collapsed": word_runs.collapse,
 }
 
 
