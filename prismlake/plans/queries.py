@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions import dates, geo, text, times, vectors
 from ..operators import curation, duplicates, ingest, libraries, ops, people, search, spatial, timeline
 from ..sources.places import oracle_rows
 from ..sources.tables import Library, oracle_with
-from ..streaming import windows
+from ..streaming import catalogue, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -524,6 +525,48 @@ def upsert_media(lib: Library) -> DataFrame:
     return ingest.upsert(lib.stored, _incoming(lib)).select("id", "file_hash", "file_size", "orientation", "rating", "thumbnail_status")
 
 
+_EVENTS = """
+ select 1 as version, case when id % 31 = 0 then 'upsert' else 'remove' end as kind, id as seq, * replace (file_size + 1 as file_size, 'new' as file_hash, 8 - orientation as orientation) from media_files where id % 31 = 0 or id % 37 = 0
+ union all select 1, 'remove', max(id) + 1, null, null, '/lib2/d7', null, null, null, null, null, null, null, null, null, null, null, null, null, null, null from media_files
+ union all select 2, 'upsert', id, * replace (case when id % 3 = 0 then file_size else file_size + 2 end as file_size, 9 - orientation as orientation) from media_files where directory = '/lib2/d7' and id % 2 = 0 or id % 41 = 0
+ union all select 3, 'remove', id, * from media_files where id % 43 = 0
+"""
+
+
+def _events(lib: Library) -> DataFrame:
+    """Three batches of file events: changed and removed files and a removed folder; files that come back, or as they are stored; removed files."""
+    media = lib.media_files
+    put = lambda version, kind, rows: rows.select(F.lit(version).cast("long").alias("version"), F.lit(kind).alias("kind"), F.col("id").alias("seq"), *media.columns)
+    changed = media.withColumns({"file_size": F.col("file_size") + 1, "file_hash": F.lit("new"), "orientation": 8 - F.col("orientation")})
+    folder = media.agg((F.max("id") + 1).alias("id")).withColumn("file_path", F.lit("/lib2/d7"))
+    folder = folder.select(*[(F.col(c) if c in ("id", "file_path") else F.lit(None).cast(media.schema[c].dataType)).alias(c) for c in media.columns])
+    back = media.withColumns({"file_size": F.when(F.col("id") % 3 == 0, F.col("file_size")).otherwise(F.col("file_size") + 2), "orientation": 9 - F.col("orientation")})
+    rows = [(1, "upsert", changed.filter("id % 31 = 0")), (1, "remove", media.filter("id % 31 <> 0 and id % 37 = 0")), (1, "remove", folder), (2, "upsert", back.filter("(directory = '/lib2/d7' and id % 2 = 0) or id % 41 = 0")), (3, "remove", media.filter("id % 43 = 0"))]
+    return reduce(DataFrame.unionByName, [put(*r) for r in rows])
+
+
+def _step(k: int) -> str:
+    """The catalogue after batch k, plainly: rows of removed paths and folders go, then files come, but not those that a later event of the batch removes."""
+    cols = {"file_size": "n.file_size", "file_hash": "n.file_hash", "file_modified_at": "n.file_modified_at", "orientation": "case when s.file_hash = n.file_hash then s.orientation else n.orientation end", "thumbnail_status": "case when s.file_hash <> n.file_hash or s.thumbnail_status = 'failed' then 'pending' else s.thumbnail_status end"}
+    met = ", ".join(f"case when s.id is null then n.{c} when n.id is null or (s.file_size = n.file_size and s.file_modified_at = n.file_modified_at) then s.{c} else {cols[c]} end as {c}" for c in cols)
+    same = "id", "rating", "directory"
+    kept = ", ".join(f"coalesce(s.{c}, n.{c}) as {c}" for c in same)
+    later = "exists (select 1 from events r where r.version = {k} and r.kind = 'remove' and (r.file_path = x.file_path or starts_with(x.file_path, r.file_path || '/')){more})"
+    return f"""gone{k} as (select file_path from events where version = {k} and kind = 'remove'),
+ left{k} as (select s.* from c{k - 1} s left join gone{k} a on a.file_path = s.file_path left join gone{k} b on b.file_path = s.directory where a.file_path is null and b.file_path is null),
+ new{k} as (select * from events x where version = {k} and kind = 'upsert' and not {later.format(k=k, more=' and r.seq > x.seq and r.file_path = x.directory')}),
+ c{k} as (select coalesce(s.file_path, n.file_path) as file_path, {kept}, {met} from left{k} s full join new{k} n on s.file_path = n.file_path)"""
+
+
+@query(
+    f"with events as ({_EVENTS}), c0 as (select file_path, id, rating, directory, file_size, file_hash, file_modified_at, orientation, thumbnail_status from stored), {_step(1)}, {_step(2)}, {_step(3)} select id, file_path, file_size, file_hash, orientation, rating, thumbnail_status from c3",
+    "stored",
+    "media_files",
+)
+def catalogue_after_events(lib: Library) -> DataFrame:
+    return catalogue.folded(lib.stored, _events(lib)).select("id", "file_path", "file_size", "file_hash", "orientation", "rating", "thumbnail_status")
+
+
 @query(
     """select coalesce(s.file_path, d.file_path) as file_path, s.id, case when d.file_path is null then 'remove' when s.id is null then 'add' when s.file_modified_at <> d.file_modified_at or s.file_size <> d.file_size then 'extract'
  when s.thumbnail_status = 'failed' then 'fix' else 'keep' end as action from stored s full join discovered d on s.file_path = d.file_path""",

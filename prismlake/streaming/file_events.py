@@ -1,92 +1,26 @@
-"""Live file events: a stream of changes applied to the catalogue, one micro-batch at a time.
-
-The catalogue is a folder of versions, each a full Parquet table of which the last that was written to its end counts; a
-batch that is delivered again finds its own version and does nothing. Before the first batch it is empty. Versions before
-the last KEEP are deleted.
-"""
+"""Live file events: a stream of changes applied to the catalogue, one micro-batch at a time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from ..operators.ingest import ignored_path, supported, unchanged, upsert
-
-
-KEEP = 2
-
-
-class Catalogue:
-    """Versions of a table in a folder that all executors share."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
 
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+from .catalogue import Catalogue, folded
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-
-    def versions(self) -> list[int]:
-        fs, root = self._fs(), self._path("")
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(self._path(f"{n}/_SUCCESS")))
-
-    def read(self) -> DataFrame | None:
-        found = self.versions()
-        return self.spark.read.parquet(f"{self.folder}/v{found[-1]}") if found else None
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
-        for old in self.versions()[:-KEEP]:
-            self._fs().delete(self._path(f"v{old}"), True)
-
-
-def last_events(batch: DataFrame) -> DataFrame:
-    """Of each path the last event (the largest seq)."""
-    last = Window.partitionBy("file_path").orderBy(F.desc("seq"))
-    return batch.withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k")
+__all__ = ["Catalogue", "apply_batch", "follow"]
 
 
 def apply_batch(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """The catalogue after a batch of events: kind (upsert or remove), seq and the catalogue's columns.
-
-    A removed path goes with everything below it; a file that is ignored, not supported, empty or as it is stored changes
-    nothing.
-    """
-    events = last_events(batch)
-    gone = events.filter("kind = 'remove'").select(F.col("file_path").alias("root"))
-    left = stored
-    if not gone.isEmpty():
-        parts = F.split("file_path", "/")
-        folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-        below = stored.select("file_path", F.explode(folders).alias("root")).join(gone, "root", "left_semi").select("file_path")
-        left = stored.join(below, "file_path", "left_anti").select(*stored.columns)
-    new = events.filter("kind = 'upsert'").filter(supported(F.col("file_name")) & ~ignored_path(F.col("file_path")) & (F.col("file_size") > 0))
-    keys = ["file_path", "file_modified_at", "file_size"]
-    new = new.join(unchanged(left, new.select(*keys)), keys, "left_anti")
-    return upsert(left, new.select(*stored.columns))
+    """The rows of `stored` after a batch of events: kind (upsert or remove), seq and the catalogue's columns."""
+    return folded(stored, batch.withColumn("version", F.lit(0).cast("long")))
 
 
 def follow(events: DataFrame, catalogue: Catalogue, checkpoint: str, trigger: dict | None = None):
-    """Start a query that applies the stream `events` to the catalogue."""
+    """Start a query that applies the stream `events` to the catalogue: version n + 1 holds batch n, and one that is there is not applied again."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        have = catalogue.versions()
-        if have and have[-1] > batch_id:
-            return
-        stored = catalogue.read()
-        if stored is None:
-            stored = batch.drop("kind", "seq").limit(0)
-        # version n + 1 holds batch n; the batch is used twice, so it is kept while it is worked on
-        batch.persist()
-        catalogue.write(apply_batch(stored, batch), batch_id + 1)
-        batch.unpersist()
+        catalogue.apply(batch, batch_id + 1)
+        catalogue.compact()
 
     writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
