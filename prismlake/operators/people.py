@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import LEAST_NORM, dot, iou
+from .best_person import FACES_A_STEP, best_person
 
 #: Least likeness of a face to a person, and least overlap that makes two boxes one.
 MATCH, OVERLAP = 0.60, 0.35
@@ -71,35 +73,62 @@ def face_crop_source(face_id: int, faces: DataFrame, media: DataFrame) -> DataFr
     return one.join(media.select(F.col("id").alias("media_id"), "file_path", "file_hash", "orientation"), "media_id").limit(1)
 
 
-def centroids(faces: DataFrame) -> DataFrame:
-    """person_id, centroid and face_count: the sum of a person's vectors, scaled to length one."""
-    each = faces.filter("person_id is not null").select("person_id", F.posexplode("embedding").alias("k", "x"))
-    sums = each.groupBy("person_id", "k").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    # a person's groups are as many as a vector has numbers
-    whole = sums.groupBy("person_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
-    n = F.sqrt(dot(F.col("v"), F.col("v")))
-    counts = faces.groupBy("person_id").agg(F.count(F.lit(1)).alias("face_count"))
-    unit = F.when(n > LEAST_NORM, F.transform("v", lambda x: x / n)).otherwise(F.col("v"))
-    return whole.select("person_id", unit.alias("centroid")).join(counts, "person_id")
+def _person_sums(final: bool):
+    """Rows (person_id, vector, faces) added up by person. Of rows in order of persons each person's sum once (`final`), else each batch's."""
+
+    def added(ids: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(ids, kind="stable")
+        ids, x, n = ids[order], x[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        return ids[first], np.add.reduceat(x, first, axis=0), np.add.reduceat(n, first)
+
+    def rows(ids: np.ndarray, x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).reshape(-1)))
+        return pa.RecordBatch.from_arrays([pa.array(ids), vectors, pa.array(n)], names=["person_id", "vector", "faces"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, FACES_A_STEP):
+                part = batch.slice(at, FACES_A_STEP)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                got = part.column(0).to_numpy(), x, part.column(2).to_numpy()
+                if held is not None:
+                    got = tuple(np.concatenate([a, b]) for a, b in zip(held, got, strict=True))
+                got = added(*got)
+                if not final:
+                    yield rows(*got)
+                    continue
+                # the last person may go on
+                held = tuple(v[-1:] for v in got)
+                if len(got[0]) > 1:
+                    yield rows(*(v[:-1] for v in got))
+        if held is not None:
+            yield rows(*held)
+
+    return run
+
 
+def centroids(faces: DataFrame) -> DataFrame:
+    """person_id, centroid and face_count: the sum of a person's vectors, scaled to length one. Vectors are of one length and hold no nulls; faces without a vector count, but add nothing, and a person with no other has no row.
 
-#: Persons whose centroids one task gets at a time.
-PERSONS_A_BLOCK = 1024
+    Vectors are added up a batch at a time before they move, so that a person of any number of faces is a row for each batch.
+    """
+    some = faces.filter("person_id is not null and embedding is not null").select("person_id", F.col("embedding").cast("array<double>").alias("vector"), F.lit(1).cast("long").alias("faces"))
+    schema = "person_id long, vector array<double>, faces long"
+    each = some.mapInArrow(_person_sums(False), schema)
+    whole = each.repartition("person_id").sortWithinPartitions("person_id").mapInArrow(_person_sums(True), schema)
+    n = F.sqrt(dot(F.col("vector"), F.col("vector")))
+    unit = F.when(n > LEAST_NORM, F.transform("vector", lambda x: x / n)).otherwise(F.col("vector"))
+    out = whole.select("person_id", unit.alias("centroid"), "faces")
+    without = faces.filter("person_id is not null and embedding is null").groupBy("person_id").agg(F.count(F.lit(1)).alias("more"))
+    return out.join(without, "person_id", "left").select("person_id", "centroid", (F.col("faces") + F.coalesce("more", F.lit(0))).alias("face_count"))
 
 
 def match(faces: DataFrame, centroids_: DataFrame, least: float = MATCH) -> DataFrame:
-    """id and person_id and likeness of every face: the person it is most like, if it is enough; ties to the smaller id.
-
-    Centroids go in blocks of PERSONS_A_BLOCK as arrays, so that a task compares a face with a block in one expression and
-    the best of each block are merged.
-    """
-    block = F.floor(F.col("person_id") / PERSONS_A_BLOCK)
-    blocks = centroids_.groupBy(block.alias("block")).agg(F.collect_list(F.struct("person_id", "centroid")).alias("persons"))
-    like = lambda p: F.struct(F.round(dot(F.col("embedding"), p["centroid"]), 6).alias("likeness"), (-p["person_id"]).alias("order"))
-    best = faces.select("id", "embedding").join(blocks).select("id", F.array_max(F.transform("persons", like)).alias("best"))
-    best = best.groupBy("id").agg(F.max("best").alias("best"))
-    enough = F.col("best.likeness") >= least
-    return best.select("id", F.when(enough, -F.col("best.order")).alias("person_id"), F.col("best.likeness").alias("likeness"))
+    """id and person_id and likeness of every face: the person it is most like, if it is enough; ties to the smaller id."""
+    best = best_person(faces, centroids_)
+    return best.select("id", F.when(F.col("likeness") >= least, F.col("person_id")).alias("person_id"), "likeness")
 
 
 def scan_stats(media: DataFrame, faces: DataFrame, persons: DataFrame) -> DataFrame:
