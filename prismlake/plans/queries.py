@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, text, times, vectors
-from ..operators import curation, duplicates, ingest, libraries, ops, people, search, spatial, timeline
+from ..operators import curation, duplicates, ingest, libraries, ops, people, point_index, search, spatial, timeline
 from ..sources.places import oracle_rows
+from ..sources.shared import shared_folder
 from ..sources.tables import Library, oracle_with
 from ..streaming import catalogue, windows
 
@@ -299,6 +300,19 @@ def bbox_world(lib: Library) -> DataFrame:
     return spatial.in_box(lib.media_files, spatial.Box(-60, 120, -180, 180)).select("id", "latitude", "longitude")
 
 
+@query(
+    """select 'box' as what, id, latitude, longitude from media_files where latitude between 30 and 42 and longitude between 100 and 130
+ union all select 'date line', id, latitude, longitude from media_files where latitude between -30 and 5 and (longitude >= 171.5 or longitude <= -175)
+ union all select 'first', id, latitude, longitude from (select * from media_files where latitude between -50 and 50 and longitude is not null order by id limit 50)""",
+    "media_files",
+)
+def bbox_index(lib: Library) -> DataFrame:
+    index = point_index.PointIndex(lib.spark, shared_folder(lib.spark, "points"))
+    index.add(lib.media_files)
+    boxes = {"box": (spatial.Box(42, 30, 100, 130), None), "date line": (spatial.Box(-30, 5, 171.5, -175), None), "first": (spatial.Box(-50, 50, -180, 180), 50)}
+    return reduce(DataFrame.unionByName, [index.in_box(box, limit).select(F.lit(what).alias("what"), "id", "latitude", "longitude") for what, (box, limit) in boxes.items()])
+
+
 @query("select id from media_files where latitude between -80 and 80 and longitude between -170 and 170 and id in (select media_id from album_media where album_id = 5) order by id limit 100000", "media_files", "album_media")
 def bbox_album(lib: Library) -> DataFrame:
     chosen = search.apply(lib.media_files, search.Filter(album_id=5), album_media=lib.album_media)
