@@ -71,12 +71,22 @@ def from_camera(text: Column) -> Column:
 
 
 def local_text(text: Column) -> Column:
-    """The date and time that a camera's string shows, without its zone, as yyyy-MM-dd HH:mm:ss; null where from_camera is."""
-    offset = F.regexp_extract(F.btrim(text, F.lit(" \t\r\n\x00")), r"([+-])([0-9]{2}):([0-9]{2})$", 0)
+    """The date and time that a camera's string shows; null where from_camera is.
+
+    With an offset as yyyy-MM-ddTHH:mm:ss+HH:MM (Z is +00:00), without one as yyyy-MM-dd HH:mm:ss; a fraction of a second
+    that is not 0 follows the seconds, in 3, 6 or 9 digits, whichever hold it; what comes after the ninth goes.
+    """
+    s = F.btrim(text, F.lit(" \t\r\n\x00"))
+    signed = F.regexp_extract(s, r"[+-][0-9]{2}:[0-9]{2}$", 0)
+    offset = F.when(signed != "", signed).when(s.rlike("[0-9]Z$"), "+00:00")
     minutes = F.substring(offset, 2, 2).try_cast("long") * 60 + F.substring(offset, 5, 2).try_cast("long")
-    shift = F.when(offset == "", 0).when(F.substring(offset, 1, 1) == "-", -minutes).otherwise(minutes)
+    shift = F.when(offset.isNull(), 0).when(F.substring(offset, 1, 1) == "-", -minutes).otherwise(minutes)
     at = F.timestamp_seconds(F.floor(from_camera(text) / 1000) + shift * 60)
-    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+    digits = F.rpad(F.substring(F.regexp_extract(s, r":[0-9]{2}\.([0-9]+)", 1), 1, 9), 9, "0")
+    shown = F.when(digits.endswith("000000"), F.substring(digits, 1, 3)).when(digits.endswith("000"), F.substring(digits, 1, 6)).otherwise(digits)
+    fraction = F.when(digits == "000000000", "").otherwise(F.concat(F.lit("."), shown))
+    plain = F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd HH:mm:ss"), fraction)
+    return F.when(offset.isNull(), plain).otherwise(F.concat(F.replace(plain, F.lit(" "), F.lit("T")), offset))
 
 
 def from_sidecar(json: Column, as_of_year: int) -> Column:

@@ -181,9 +181,12 @@ def export_names(media: DataFrame) -> DataFrame:
     repeated = names.filter("n > 1").select(F.col("file_name").alias("of_name"))
     made = names.filter(stem(name).rlike(_NUMBERED)).select(F.concat(F.regexp_extract(stem(name), _NUMBERED, 1), dot).alias("of_name"), F.regexp_extract(stem(name), _NUMBERED, 2).cast("long").alias("number"))
     # the i-th number that is taken moves all from number - i + 1 on
-    taken = made.join(repeated, "of_name", "left_semi").groupBy("of_name").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
-    taken = taken.select(F.col("of_name").alias("file_name"), F.transform("numbers", lambda x, i: x - i).alias("moved_at"))
-    numbered = number(media.select("id", "file_name"), [name], F.floor(F.col("id") / ID_SLICE), [F.col("id")], "_n").join(taken, "file_name", "left")
-    moved = F.coalesce(F.size(F.filter("moved_at", lambda x: x <= F.col("_n"))), F.lit(0))
-    again = F.concat(stem(name), F.lit("_"), (F.col("_n") + moved).cast("string"), dot)
-    return numbered.select("id", F.when(F.col("_n") == 0, name).otherwise(again).alias("export_name"))
+    taken = number(made.join(repeated, "of_name", "left_semi").distinct(), [F.col("of_name")], F.floor(F.col("number") / ID_SLICE), [F.col("number")], "_i")
+    moves = taken.select(F.col("of_name").alias("file_name"), (F.col("number") - F.col("_i")).alias("_at"), F.lit(None).cast("long").alias("id"))
+    numbered = number(media.select("id", "file_name"), [name], F.floor(F.col("id") / ID_SLICE), [F.col("id")], "_n")
+    # among rows and moves in one order, a row's place is its own number and what has moved it
+    met = numbered.join(moves.select("file_name").distinct(), "file_name", "left_semi").select("file_name", F.col("_n").alias("_at"), "id")
+    placed = number(moves.unionByName(met), [name], F.floor(F.col("_at") / ID_SLICE), [F.col("_at"), F.col("id").isNotNull()], "_place")
+    moved = placed.filter("id is not null").select("id", (F.col("_place") - F.col("_at")).alias("_moved"))
+    again = F.concat(stem(name), F.lit("_"), (F.col("_n") + F.coalesce("_moved", F.lit(0))).cast("string"), dot)
+    return numbered.join(moved, "id", "left").select("id", F.when(F.col("_n") == 0, name).otherwise(again).alias("export_name"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import number
 
 KEY = ["file_hash", "file_size"]
 
@@ -42,6 +43,16 @@ def items(groups_: DataFrame, media: DataFrame) -> DataFrame:
     return media.join(groups_.select(*KEY), KEY, "left_semi")
 
 
+#: Ids that are put in order together.
+ID_SLICE = 100_000
+
+
+def items_in_order(groups_: DataFrame, media: DataFrame) -> DataFrame:
+    """The rows of groups with `total_size_bytes` and `first_id` of the group and `position`, the row's place in it by id, from 0: so lists of groups, and each group from any place on, are an order by (total_size_bytes desc, first_id, position)."""
+    rows = media.join(groups_.select(*KEY, "total_size_bytes", "first_id"), KEY)
+    return number(rows, [F.col(k) for k in KEY], F.floor(F.col("id") / ID_SLICE), [F.col("id")], "position")
+
+
 def keeper_score(name: Column, path: Column) -> Column:
     """How much speaks for a copy being the original."""
     n, p = F.lower(name), F.lower(path)

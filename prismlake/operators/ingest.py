@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -222,16 +224,26 @@ def sidecar_of(files: DataFrame, listing: DataFrame) -> DataFrame:
     return candidates.join(listing.select("path").distinct(), "path").groupBy("file_path").agg(F.min_by("path", "k").alias("sidecar"))
 
 
+#: So many libraries' paths go to the tasks as they are.
+FEW_ROOTS = 1024
+
+
 def library_of(files: DataFrame, libraries: DataFrame) -> DataFrame:
-    """file_path and library_id: the active library with the longest path that the file lies in; null if it lies in none.
+    """file_path and library_id: the active library with the longest path that the file lies in (of equal paths the largest id); null if it lies in none.
 
-    A file's folders are few, so they are matched by equality and libraries of any number need no comparison of all pairs.
+    A file's folders are looked up in a map of the libraries' paths, from the longest on, so files don't move. If there are more than
+    FEW_ROOTS of them, files meet them by their folders, by equality and not by comparing all pairs.
     """
-    roots = libraries.filter("is_active").select(F.col("id").alias("library_id"), F.regexp_replace("path", r"[/\\]+$", "").alias("root"))
+    roots = libraries.filter("is_active").groupBy(F.regexp_replace("path", r"[/\\]+$", "").alias("root")).agg(F.max("id").alias("library_id"))
     parts = F.split("file_path", "/")
     folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    few = roots.limit(FEW_ROOTS + 1).collect()
+    if len(few) <= FEW_ROOTS:
+        ids = F.from_json(F.lit(json.dumps({r["root"]: r["library_id"] for r in few})), "map<string,long>")
+        within = F.filter(folders, lambda f: F.map_contains_key(ids, f))
+        return files.select("file_path", F.try_element_at(ids, F.try_element_at(within, F.lit(-1))).alias("library_id"))
     each = files.select("file_path", F.explode(folders).alias("root"))
-    best = each.join(roots, "root").groupBy("file_path").agg(F.max_by("library_id", F.struct(F.length("root"), F.col("library_id"))).alias("library_id"))
+    best = each.join(roots, "root").groupBy("file_path").agg(F.max_by("library_id", F.length("root")).alias("library_id"))
     return files.select("file_path").join(best, "file_path", "left")
 
 

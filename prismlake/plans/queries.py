@@ -264,6 +264,15 @@ def duplicate_items(lib: Library) -> DataFrame:
     return duplicates.items(duplicates.groups(lib.media_files), lib.media_files).select("id", "file_hash")
 
 
+@query(
+    """select id, file_hash, sum(file_size) over same as total_size_bytes, min(id) over same as first_id, row_number() over (partition by file_hash, file_size order by id) - 1 as position from media_files
+ window same as (partition by file_hash, file_size) qualify count(*) over same > 1""",
+    "media_files",
+)
+def duplicate_items_ordered(lib: Library) -> DataFrame:
+    return duplicates.items_in_order(duplicates.groups(lib.media_files), lib.media_files).select("id", "file_hash", "total_size_bytes", "first_id", "position")
+
+
 _RANKED = f"with ranked as (select *, row_number() over (partition by file_hash, file_size order by score desc, id) as rank, count(*) over (partition by file_hash, file_size) as copies from (select *, cast({SCORE} as bigint) as score from media_files))"
 
 
@@ -644,10 +653,14 @@ def camera_dates(lib: Library) -> DataFrame:
     return made.select(F.col("o_orderkey").alias("id"), dates.from_camera(F.col("text")).alias("captured_at"))
 
 
-@query("select o_orderkey as id, case when o_orderkey % 6 = 5 then null when o_orderkey % 6 = 3 then strftime(o_orderdate, '%Y-%m-%d') || ' 12:00:00' else strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end as shown from orders")
+@query(
+    """select o_orderkey as id, case o_orderkey % 6 when 5 then null when 3 then strftime(o_orderdate, '%Y-%m-%d') || ' 12:00:00' when 4 then strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+02:00'
+ when 0 then strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || case o_orderkey % 4 when 0 then '.250' when 2 then '.123457' else '' end else strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end as shown from orders"""
+)
 def camera_local_times(lib: Library) -> DataFrame:
     forms = [F.when(F.col("o_orderkey") % 6 == k, F.date_format("o_orderdate", f)) for k, (_, f) in enumerate(_CAMERA)]
-    made = lib.base("orders").select("o_orderkey", F.concat(F.coalesce(*forms, F.lit("no date")), F.lit("\x00 ")).alias("text"))
+    fraction = F.when(F.col("o_orderkey") % 6 == 0, F.when(F.col("o_orderkey") % 4 == 0, ".25").when(F.col("o_orderkey") % 4 == 2, ".123457").otherwise(".000")).otherwise("")
+    made = lib.base("orders").select("o_orderkey", F.concat(F.coalesce(*forms, F.lit("no date")), fraction, F.lit("\x00 ")).alias("text"))
     return made.select(F.col("o_orderkey").alias("id"), dates.local_text(F.col("text")).alias("shown"))
 
 

@@ -79,6 +79,26 @@ def test_dates_of_cameras(spark, value, want):
     assert one(spark, value, dates.from_camera) == want
 
 
+def test_local_times_of_cameras(spark):
+    want = {
+        "2023:08:15 14:30:00\x00 ": "2023-08-15 14:30:00",
+        "2023-08-15T14:30:00+02:00": "2023-08-15T14:30:00+02:00",
+        "2023:08:15 14:30:00 -05:30": "2023-08-15T14:30:00-05:30",
+        "2023-08-15T14:30:00Z": "2023-08-15T14:30:00+00:00",
+        "2023-08-15T14:30:00.5+02:00": "2023-08-15T14:30:00.500+02:00",
+        "2023:08:15 14:30:00.123": "2023-08-15 14:30:00.123",
+        "2023:08:15 14:30:00.1234": "2023-08-15 14:30:00.123400",
+        "2023-08-15 23:59:59.1234567": "2023-08-15 23:59:59.123456700",
+        "2023:08:15 14:30:00.000": "2023-08-15 14:30:00",
+        "2023/08/15": "2023-08-15 12:00:00",
+        "1969:12:31 23:00:00": None,
+        "not a date": None,
+        "": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "x string").select("x", dates.local_text(F.col("x")).alias("y")).collect()
+    assert {r["x"]: r["y"] for r in rows} == want
+
+
 def test_sidecar(spark, media):
     good = '{"photoTakenTime": {"timestamp": "1684077825"}}'
     assert one(spark, good, lambda c: dates.from_sidecar(c, 2026)) == 1684077825000
@@ -222,10 +242,12 @@ def test_content_hash(spark):
     assert [r[0] for r in df.select(ingest.content_hash(F.col("b"))).collect()] == ["44bc2cf5ad770999", None]
 
 
-def test_libraries_of_paths(spark, media):
+def test_libraries_of_paths(spark, media, monkeypatch):
     libs = spark.createDataFrame([(1, "/a", True), (2, "/a/b/", True), (3, "/a/b/c", False)], "id long, path string, is_active boolean")
     files = spark.createDataFrame([("/a/b/c/x",), ("/a/bb/x",), ("/z/x",)], "file_path string")
-    assert {tuple(r) for r in ingest.library_of(files, libs).collect()} == {("/a/b/c/x", 2), ("/a/bb/x", 1), ("/z/x", None)}
+    for few in (1024, 0):  # by a map, and by a join
+        monkeypatch.setattr(ingest, "FEW_ROOTS", few)
+        assert {tuple(r) for r in ingest.library_of(files, libs).collect()} == {("/a/b/c/x", 2), ("/a/bb/x", 1), ("/z/x", None)}
 
 
 FACES = "id long, media_id long, person_id long, bbox_x double, bbox_y double, bbox_w double, bbox_h double, confidence double, embedding array<float>"
