@@ -12,13 +12,16 @@ and scores both in turn for ROUNDS rounds:
   OPEN. A pattern counts from CONFIDENT on, if SUPPORT instances or more are behind it;
 - a candidate's score for a kind is 1 - product(1 - confidence * plausibility) over its patterns that count.
 
-So patterns that seeds have induced propose whatever stands in their slot, whatever its form, and what they find supports
-further patterns. Plausibility is 1 for what has the kind's number of digits and no letters (of an email, an at sign), else
+So patterns that seeds have induced propose whatever stands in their slot, whatever its form. Instances of a score of CONFIDENT
+or more then induce the patterns around all their occurrences, as seeds do: a pattern is looked at in a round if it has BACKERS
+seeds or such instances of a kind, so that contexts without any seed are found from what was discovered in others. Plausibility is 1 for what has the kind's number of digits and no letters (of an email, an at sign), else
 UNLIKELY: an odd string needs more than one pattern.
 
 A candidate is reported, as the kind of its highest score, where the patterns around it or all those of its instance give
 it CONFIDENT. Seeds are always reported.
 
+Names before an at sign are read up to 64 characters, as mail allows.
+
 Defined cases: a null or empty text has no spans; spans count code points and end before `end`; equal matches of two
 kinds are both kept; of kinds of equal score the first of KINDS counts; repeated rows and null ids are kept as they are;
 extra columns are ignored.
@@ -36,8 +39,8 @@ from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SMOOTHING, SUPPORT, CONFIDENT, OPEN = 3, 1.0, 8, 0.8, 0.25
-#: Seeds of a kind that a pattern is looked at for, and what a string counts for that has not the look of a kind.
-SEEDS, UNLIKELY = 3, 0.5
+#: Seeds and confident instances of a kind that a pattern is looked at for, and what a string counts for that has not the look of a kind.
+BACKERS, UNLIKELY = 3, 0.5
 #: Numbers of digits that kinds have.
 DIGITS = {"ip": (4, 12), "card": (12, 19), "phone": (7, 15)}
 #: A word of context is cut here: longer ones are no words.
@@ -124,7 +127,7 @@ def identifiers(text: str) -> list[tuple[str, str, bool, int, int, list[str]]]:
 
 def value(string: str) -> str:
     """A string as an instance: letters, digits and at signs."""
-    return re.sub(r"[^0-9a-z@]", "", _AT.sub("@", string[:200].lower()))[:100]
+    return re.sub(r"[^0-9a-z@]", "", _AT.sub("@", string.lower()))
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
@@ -174,18 +177,30 @@ def score(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Returns the patterns that count (pattern, kind, confidence) and the candidates' scores (kind, value, score).
     """
+    edges = materialize(edges, "edges")
     seeded = F.when(F.col("seed"), F.col("kind"))
-    able = edges.groupBy("pattern").agg(F.count(seeded).alias("seeded"), *[F.count_if(seeded == k).alias(k) for k in KINDS])
-    # without seeds of its own no pattern gets confident at first, and few keep the graph from growing
+    by_seed = edges.filter("seed").groupBy("pattern").agg(F.count(seeded).alias("seeded"), *[F.count_if(seeded == k).alias(k) for k in KINDS])
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("seeds")) for k in KINDS]))
-    able = able.select("pattern", "seeded", each.alias("x")).select("pattern", "seeded", "x.*").filter(F.col("seeds") >= SEEDS)
-    able = materialize(able, "patterns")
-    graph = edges.filter("not seed").select("pattern", "value").join(able.select("pattern", "kind"), "pattern")
-    look = plausible(F.col("kind"), F.col("value"))
-    weight = F.when((look < 1) | F.col("pattern").startswith("S:"), 1.0).otherwise(OPEN)
-    graph = materialize(graph.select("pattern", "kind", "value", look.alias("look"), weight.alias("weight")), "candidates")
-    scores = graph.select("kind", "value").limit(0).withColumn("score", F.lit(0.0))
+    by_seed = materialize(by_seed.select("pattern", "seeded", each.alias("x")).select("pattern", "seeded", "x.*"), "seeds")
+    open_ = edges.filter("not seed").select("pattern", "value")
+    scores = sure = None
     for _ in range(ROUNDS):
+        # what stands behind a pattern: seeds, and what the round before was confident of
+        able = by_seed.withColumn("found", F.lit(0).cast("long"))
+        if scores is not None:
+            confident = scores.filter(F.col("score") >= CONFIDENT).select("kind", "value")
+            induced = open_.join(confident, "value").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("found"))
+            other = by_seed.select("pattern", F.col("seeded").alias("all_seeds")).distinct()
+            able = by_seed.join(induced, ["pattern", "kind"], "full").join(other, "pattern", "left")
+            able = able.select("pattern", F.coalesce("seeded", "all_seeds", F.lit(0)).alias("seeded"), "kind", F.coalesce("seeds", F.lit(0)).alias("seeds"), F.coalesce("found", F.lit(0)).alias("found"))
+        # few backers make no pattern confident, and keep the graph from growing
+        able = materialize(able.filter(F.col("seeds") + F.col("found") >= BACKERS), "patterns")
+        graph = open_.join(able.select("pattern", "kind"), "pattern")
+        look = plausible(F.col("kind"), F.col("value"))
+        weight = F.when((look < 1) | F.col("pattern").startswith("S:"), 1.0).otherwise(OPEN)
+        graph = materialize(graph.select("pattern", "kind", "value", look.alias("look"), weight.alias("weight")), "candidates")
+        if scores is None:
+            scores = graph.select("kind", "value").limit(0).withColumn("score", F.lit(0.0))
         s = F.coalesce("score", F.lit(0.0))
         backed = graph.join(scores, ["kind", "value"], "left").groupBy("pattern", "kind")
         backed = backed.agg(F.sum(s).alias("more"), F.sum(F.col("weight") * (1 - s)).alias("against"), F.count_if(s >= 0.5).alias("n"))

@@ -354,6 +354,27 @@ def test_contexts_discover(written):
     assert redacted[100] == "omega helpdesk dial [PHONE] omega" and redacted[101] == rows[61][1] and "[PHONE]" in redacted[0] and "555" not in redacted[0]
 
 
+def test_discovered_identifiers_induce_patterns(written):
+    """A context without any seed is found from what was discovered in another one, and finds what is new there."""
+    rng = random.Random(5)
+    number = lambda: f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    known = [number() for _ in range(40)]
+    around = lambda before, n, after: f"{prose(rng, 4)} {before} {n} {after} {prose(rng, 4)}"
+    rows = [around("helpdesk dial", f"+1 (555) {number()[4:]}", "now") for _ in range(60)]
+    rows += [around("helpdesk dial", n, "now") for n in known] + [around("pager unit", n, "please") for n in known]
+    new = len(rows)
+    rows += [around("pager unit", number(), "please") for _ in range(5)]
+    clean = len(rows)
+    rows += [around("invoice total", number(), "due") for _ in range(30)] + [prose(rng, 20) for _ in range(10)]
+    got = {r["doc_id"]: r["spans"] for r in pii.extract(written(list(enumerate(rows)))).collect()}
+    assert all([rows[i][s["start"] : s["end"]] for s in got[i]] == re.findall("[0-9]{3}-[0-9]{3}-[0-9]{4}", rows[i]) for i in range(60, clean)) and clean == new + 5
+    assert not any(got[i] for i in range(clean, len(rows)))
+
+
+def test_long_identifiers_of_equal_beginnings_differ():
+    assert pii.value("7" * 300) != pii.value("7" * 301) and pii.value("A(at)b.c 1") == "a@bc1"
+
+
 def planted_identifiers(rng, n):
     """Texts with an identifier each in contexts of their kinds, a third of them in forms that the expressions don't know, and with numbers that are none; and where the unknown ones are."""
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
