@@ -355,6 +355,19 @@ def grid_clusters(lib: Library) -> DataFrame:
     return spatial.clusters(lib.media_files, 3)
 
 
+_LEVELS = f"with spots as (select id, latitude, longitude, {', '.join(_cell_sql(z, f'x{z}', f'y{z}') for z in range(17))} from media_files where latitude is not null) " + " union all ".join(
+    f"select {z} as zoom, x{z} as cell_x, y{z} as cell_y, count(*) as count, round(sum(latitude), 3) as latitude_sum, round(sum(longitude), 3) as longitude_sum, min(id) as first_id,"
+    f" case when count(*) > 1 then coalesce({''.join(f'case when count(distinct (x{d}, y{d})) > 1 then {d} end, ' for d in range(z + 1, 17))}17) end as expansion_zoom from spots group by x{z}, y{z}"
+    for z in range(17)
+)
+
+
+@query(_LEVELS, "media_files")
+def cluster_pyramid(lib: Library) -> DataFrame:
+    sums = {f"{c}_sum": F.round(F.col(c) * F.col("count"), 3) for c in ("latitude", "longitude")}
+    return spatial.pyramid(lib.media_files).select("zoom", "cell_x", "cell_y", "count", *[c.alias(n) for n, c in sums.items()], "first_id", F.when(F.col("count") > 1, F.col("expansion_zoom")).alias("expansion_zoom"))
+
+
 _DEEPER = range(4, 17)
 
 

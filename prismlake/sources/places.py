@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "city string, region string, country string, country_code string, lat double, lon double, radius_deg double"
@@ -109,6 +112,38 @@ PLACES = [
 ]
 
 
+#: Sides of the cells of the cover, in degrees.
+CELL_DEG = 2
+
+
+def in_order() -> list[tuple]:
+    """The places by city, country and latitude."""
+    return sorted(PLACES, key=lambda p: (p[0], p[2], p[4]))
+
+
+@lru_cache
+def cover() -> list[list[int]]:
+    """For each cell of CELL_DEG degrees, from the south and in rows from the west, the places (as in in_order()) that can be the nearest one of a point in it.
+
+    From a cell's middle a point is at most a radius away, so a place that is more than two of them farther from the middle than the
+    nearest place is can't be nearest.
+    """
+    lat, lon = np.meshgrid(np.arange(-90, 90, CELL_DEG), np.arange(-180, 180, CELL_DEG), indexing="ij")
+    lat, lon = np.radians(lat.reshape(-1, 1) + CELL_DEG / 2), np.radians(lon.reshape(-1, 1) + CELL_DEG / 2)
+    half = np.radians(CELL_DEG / 2)
+
+    def away(lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+        a = np.sin((lat2 - lat) / 2) ** 2 + np.cos(lat) * np.cos(lat2) * np.sin((lon2 - lon) / 2) ** 2
+        return 2 * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
+
+    # the farthest points of a cell are its corners
+    radius = np.maximum(away(lat - half, lon - half), away(lat + half, lon - half)) * 1.001 + 1e-6
+    places = in_order()
+    far = away(np.radians([[p[4] for p in places]]), np.radians([[p[5] for p in places]]))
+    can = far <= far.min(axis=1, keepdims=True) + 2 * radius
+    return [np.flatnonzero(row).tolist() for row in can]
+
+
 def gazetteer(spark: SparkSession) -> DataFrame:
     """One row a place; the table is PLACES, so it is always small enough to broadcast."""
     return spark.createDataFrame(PLACES, SCHEMA)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import dates, geo, text, times, vectors
 from prismlake.operators import curation, duplicates, ingest, ops, people, search, spatial, timeline
+from prismlake.sources import places
 from prismlake.streaming import file_events, progress, windows
 
 MEDIA = "id long, library_id long, file_path string, directory string, file_name string, file_size long, file_modified_at long, file_hash string, media_type string, orientation int, captured_at long, latitude double, longitude double, camera_make string, thumbnail_status string, is_favorite boolean, rating int, face_scanned boolean"
@@ -234,6 +235,40 @@ def test_names(spark):
     assert one(spark, 3 * (1 << 40), text.byte_label, "long") == "3.00 TB" and one(spark, 1 << 20, text.byte_label, "long") == "1.0 MB"
 
 
+def test_pyramid_is_clusters_at_every_zoom(spark):
+    rng = np.random.default_rng(6)
+    towns = rng.uniform([-80, -180], [80, 180], (30, 2))
+    at = towns[rng.integers(0, 30, 900)] + rng.normal(scale=1, size=(900, 2)) * rng.choice([1e-6, 1e-3, 0.5], (900, 1))
+    rows = [(i, float(np.clip(a, -90, 90)), float(np.clip(b, -180, 180))) for i, (a, b) in enumerate(at)] + [(1000, None, 1.0), (1001, 90.0, 180.0), (1002, -90.0, -180.0)]
+    points = spark.createDataFrame(rows, "id long, latitude double, longitude double")
+    got = {}
+    for r in spatial.pyramid(points).collect():
+        got.setdefault(r["zoom"], {})[r["cell_x"], r["cell_y"]] = r
+    assert sorted(got) == list(range(17))
+    for z in (0, 3, 9, 16):
+        want = {(r["cell_x"], r["cell_y"]): r for r in spatial.clusters(points, z).collect()}
+        assert set(want) == set(got[z]) and all(got[z][c][k] == pytest.approx(w[k], abs=2e-6) for c, w in want.items() for k in ("count", "latitude", "longitude", "first_id"))
+    apart = {(r["cell_x"], r["cell_y"]): r["expansion_zoom"] for r in spatial.expansion_zoom(points, 3).collect()}
+    assert apart == {c: r["expansion_zoom"] for c, r in got[3].items() if r["count"] > 1} and len(set(apart.values())) > 3
+    text = spatial.pyramid(points, 2, 5)._jdf.queryExecution().executedPlan().toString()
+    assert sorted({r["zoom"] for r in spatial.pyramid(points, 2, 5).collect()}) == [2, 3, 4, 5] and "Window" not in text
+
+
+def test_nearest_place_by_cover(spark):
+    """Points everywhere, on edges of cells and on no globe, against all places."""
+    rng = np.random.default_rng(2)
+    at = [(float(a), float(b)) for a, b in rng.uniform([-90, -180], [90, 180], (3000, 2))] + [(float(a), float(b)) for a in range(-90, 91, 6) for b in range(-180, 181, 10)] + [(95.0, 200.0), (-91.0, 0.0)]
+    points = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(at)], "id long, latitude double, longitude double")
+    table = np.radians([[p[4], p[5]] for p in places.PLACES])
+    got = {r["id"]: r for r in spatial.nearest_place(points).collect()}
+    for i, (a, b) in enumerate(at):
+        lat, lon = np.radians(a), np.radians(b)
+        h = np.sin((table[:, 0] - lat) / 2) ** 2 + np.cos(lat) * np.cos(table[:, 0]) * np.sin((table[:, 1] - lon) / 2) ** 2
+        if abs(a) <= 90:
+            assert got[i]["distance_km"] == pytest.approx(float((2 * 6371 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))).min()), abs=0.002)
+    assert len(got) == len(at) and sum(map(len, places.cover())) < 8 * len(places.cover()) and min(map(len, places.cover())) == 1
+
+
 def test_content_hash(spark):
     small, large = b"abc", bytes(range(256)) * 8192
     assert ingest.fast_hash(small) == xxhash.xxh64(small).hexdigest() and len(ingest.fast_hash(large)) == 16
