@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, text, times, vectors
-from ..operators import curation, duplicates, ingest, libraries, ops, people, point_index, search, spatial, timeline
+from ..operators import curation, duplicates, ingest, libraries, ops, people, point_index, search, spatial, text_index, timeline
 from ..sources.places import oracle_rows
 from ..sources.shared import shared_folder
 from ..sources.tables import Library, oracle_with
@@ -91,6 +91,21 @@ def timeline_positions(lib: Library) -> DataFrame:
 # search and pages
 
 
+_TERMS = ("vid_", "img_77", "/lib2/d1", "ONY", "7.jp", "g_%9.cr2", "no such name")
+
+
+@query(
+    " union all ".join(
+        f"select '{t}' as term, id from media_files where lower(file_name) like '%{t.lower()}%' or lower(directory) like '%{t.lower()}%' or lower(coalesce(camera_make, '')) like '%{t.lower()}%'" for t in _TERMS
+    ),
+    "media_files",
+)
+def search_text_index(lib: Library) -> DataFrame:
+    index = text_index.TextIndex(lib.spark, shared_folder(lib.spark, "grams"))
+    index.add(lib.media_files)
+    return reduce(DataFrame.unionByName, [index.search(lib.media_files, t).select(F.lit(t).alias("term"), "id") for t in _TERMS])
+
+
 @query("select id from media_files where contains(lower(file_name), 'vid_') or contains(lower(directory), 'vid_') or contains(lower(coalesce(camera_make, '')), 'vid_')", "media_files")
 def search_text(lib: Library) -> DataFrame:
     # the underscore is a wildcard; no name has other characters there
