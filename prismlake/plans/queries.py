@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, text, times, vectors
-from ..operators import curation, duplicates, ingest, libraries, ops, people, point_index, search, spatial, text_index, timeline
+from ..operators import curation, duplicates, ingest, libraries, ops, people, page_index, point_index, search, spatial, text_index, timeline
 from ..sources.places import oracle_rows
 from ..sources.shared import shared_folder
 from ..sources.tables import Library, oracle_with
@@ -166,6 +166,24 @@ def media_paged(lib: Library) -> DataFrame:
     return search.page(lib.media_files, 100, 100).select("id", times.effective_ts().alias("ts"))
 
 
+_OFFSETS = ((0, 50), (7321, 100), (14990, 100))
+
+
+@query(
+    f"with paged as (select id, row_number() over (order by {TS} desc, id desc) - 1 as place, row_number() over (order by lower(file_name), id desc) - 1 as by_name from media_files) "
+    + " union all ".join(f"select {o} as first, 'date' as by, id from paged where place >= {o} and place < {o + n} union all select {o}, 'name', id from paged where by_name >= {o} and by_name < {o + n}" for o, n in _OFFSETS)
+    + " union all select place, 'place', id from paged where id % 997 = 0",
+    "media_files",
+)
+def media_paged_index(lib: Library) -> DataFrame:
+    by_date, by_name = (page_index.PageIndex(lib.spark, shared_folder(lib.spark, "pages"), *order) for order in (("date", True), ("name", False)))
+    for index in (by_date, by_name):
+        index.write(lib.media_files, 5000)
+    pages = [index.page(o, n).select(F.lit(o).cast("long").alias("first"), F.lit(by).alias("by"), "id") for o, n in _OFFSETS for by, index in (("date", by_date), ("name", by_name))]
+    places = by_date.places(lib.media_files.filter("id % 997 = 0")).select(F.col("place").alias("first"), F.lit("place").alias("by"), "id")
+    return reduce(DataFrame.unionByName, [*pages, places])
+
+
 @query(f"select id from media_files where ({TS}, id) < (900000000000, 100000000) order by {TS} desc, id desc limit 120", "media_files")
 def media_after(lib: Library) -> DataFrame:
     return search.after(lib.media_files, 900000000000, 100000000, 120).select("id")
