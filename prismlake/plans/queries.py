@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, text, times, vectors
-from ..operators import curation, duplicates, ingest, libraries, ops, people, page_index, point_index, search, spatial, text_index, timeline
+from ..operators import curation, duplicates, folder_digests, ingest, libraries, ops, people, page_index, point_index, search, spatial, text_index, timeline
 from ..sources.places import oracle_rows
 from ..sources.shared import shared_folder
 from ..sources.tables import Library, oracle_with
@@ -646,6 +646,11 @@ def reconcile_scan(lib: Library) -> DataFrame:
     return ingest.reconcile(lib.stored, lib.discovered, F.regexp_extract("file_path", "^/lib([0-9]+)/", 1).cast("long"))
 
 
+@query(ORACLE_SQL["reconcile_scan"])
+def reconcile_by_digests(lib: Library) -> DataFrame:
+    return folder_digests.reconcile_changed(lib.stored, lib.discovered, F.regexp_extract("file_path", "^/lib([0-9]+)/", 1).cast("long"))
+
+
 @query("select d.file_path from discovered d where exists (select 1 from stored s where s.file_path = d.file_path and s.file_modified_at = d.file_modified_at and s.file_size = d.file_size)", "stored", "discovered")
 def unchanged_files(lib: Library) -> DataFrame:
     return ingest.unchanged(lib.stored, lib.discovered).select("file_path")
