@@ -25,6 +25,22 @@ def discovered(listing: DataFrame, root: str) -> DataFrame:
 FOLDERS, TASKS = 1024, 256
 
 
+def entries(folder: str) -> tuple[list[tuple[str, int, int]], list[str]]:
+    """The files (path, size, milliseconds) and the folders in a folder; none if it can't be read. Links are not followed."""
+    found, folders = [], []
+    try:
+        with os.scandir(folder) as each:
+            for e in each:
+                if e.is_dir(follow_symlinks=False):
+                    folders.append(e.path)
+                elif e.is_file(follow_symlinks=False):
+                    s = e.stat()
+                    found.append((e.path, s.st_size, s.st_mtime_ns // 1_000_000))
+    except OSError:
+        return [], []
+    return found, folders
+
+
 def walk(spark: SparkSession, root: str) -> DataFrame:
     """A listing of a folder that every executor sees, without following links, down to MOST_LEVELS.
 
@@ -37,20 +53,6 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     if not os.access(root, os.R_OK | os.X_OK):
         raise PermissionError(root)
 
-    def entries(folder: str) -> tuple[list, list[str]]:
-        found, folders = [], []
-        try:
-            with os.scandir(folder) as each:
-                for e in each:
-                    if e.is_dir(follow_symlinks=False):
-                        folders.append(e.path)
-                    elif e.is_file(follow_symlinks=False):
-                        s = e.stat()
-                        found.append((e.path, s.st_size, s.st_mtime_ns // 1_000_000))
-        except OSError:
-            return [], []
-        return found, folders
-
     level, done, depth = [root], [], 0
     while level and len(level) < FOLDERS and depth < MOST_LEVELS:
         below = [entries(f) for f in level]

@@ -163,10 +163,11 @@ class Catalogue:
                 return None
             name = "v{}.{}".format(*found[-1])
         rows = self.spark.read.parquet(f"{self.folder}/manifests/{name}").orderBy("low").collect()
-        return Manifest(name, StructType.fromJson(json.loads(rows[0]["schema"])), [Part(r["part"], r["low"], r["gen"], list(r["changes"])) for r in rows])
+        return Manifest(name, StructType.fromJson(json.loads(next(r["schema"] for r in rows if r["schema"]))), [Part(r["part"], r["low"], r["gen"], list(r["changes"])) for r in rows])
 
     def _commit(self, m: Manifest) -> None:
-        rows = [(p.part, p.low, p.gen, p.changes, m.schema.json()) for p in m.parts]
+        # the columns stand in the first row
+        rows = [(p.part, p.low, p.gen, p.changes, m.schema.json() if k == 0 else None) for k, p in enumerate(m.parts)]
         table = self.spark.createDataFrame(rows, "part int, low string, gen string, changes array<string>, schema string")
         table.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifests/{m.name}")
         self._tidy()
