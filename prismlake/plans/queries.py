@@ -6,11 +6,15 @@ from collections.abc import Callable
 from datetime import date
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import dates, geo, text, times, vectors
 from ..operators import curation, duplicates, folder_digests, ingest, libraries, ops, people, page_index, point_index, search, spatial, text_index, timeline
+from ..sources import listing, logs
 from ..sources.places import oracle_rows
 from ..sources.shared import shared_folder
 from ..sources.tables import Library, oracle_with
@@ -426,6 +430,74 @@ def nearest_city(lib: Library) -> DataFrame:
     return spatial.nearest_place(lib.media_files)
 
 
+# what stands around the catalogue: paths, listings, labels, logs, stored vectors
+
+
+@query("select id, file_path as path from media_files", "media_files")
+def clean_paths(lib: Library) -> DataFrame:
+    prefix = F.when(F.col("id") % 3 == 0, "\\\\?\\").otherwise("")
+    raw = F.concat(F.lit(' "'), prefix, F.col("file_path"), F.expr("repeat('/', cast(id % 4 as int))"), F.lit("'\t "))
+    return lib.media_files.select("id", text.clean_path(raw).alias("path"))
+
+
+@query(
+    """with listed as (select case when id % 7 = 0 then directory || '/' || id || '.txt' when id % 11 = 0 then directory || '/.git/' || file_name when id % 17 = 0 then '/.lib1' || file_path else file_path end as file_path, case when id % 13 = 0 then 0 else file_size end as file_size from media_files)
+ select file_path, file_size, regexp_replace(file_path, '/[^/]*$', '') as directory, regexp_extract(file_path, '[^/]*$') as file_name from listed where file_size > 0 and starts_with(file_path, '/lib1') and not ends_with(file_path, '.txt') and not contains(file_path, '/.git/')""",
+    "media_files",
+)
+def listing_discovered(lib: Library) -> DataFrame:
+    path = F.when(F.col("id") % 7 == 0, F.concat("directory", F.lit("/"), "id", F.lit(".txt"))).when(F.col("id") % 11 == 0, F.concat("directory", F.lit("/.git/"), "file_name")).when(F.col("id") % 17 == 0, F.concat(F.lit("/.lib1"), "file_path")).otherwise(F.col("file_path"))
+    listed = lib.media_files.select(path.alias("file_path"), F.when(F.col("id") % 13 == 0, 0).otherwise(F.col("file_size")).alias("file_size"))
+    return listing.discovered(listed, "/lib1")
+
+
+@query(
+    """select id, case when n >= 1099511627776 then printf('%.2f TB', n / 1099511627776.0) when n >= 1073741824 then printf('%.2f GB', n / 1073741824.0) else printf('%.1f MB', n / 1048576.0) end as label
+ from (select id, file_size * case id % 4 when 0 then 1 when 1 then 1000 when 2 then 1000000 else 100000000 end as n from media_files)""",
+    "media_files",
+)
+def byte_labels(lib: Library) -> DataFrame:
+    n = F.col("file_size") * F.when(F.col("id") % 4 == 0, 1).when(F.col("id") % 4 == 1, 1000).when(F.col("id") % 4 == 2, 1_000_000).otherwise(100_000_000)
+    return lib.media_files.select("id", text.byte_label(n).alias("label"))
+
+
+@query("select directory, cast(round(100.0 * count(*) filter (face_scanned) / count(*)) as bigint) as percent from media_files group by 1", "media_files")
+def scan_percent(lib: Library) -> DataFrame:
+    each = lib.media_files.groupBy("directory").agg(F.count_if("face_scanned").alias("done"), F.count(F.lit(1)).alias("total"))
+    return each.select("directory", ops.percent_done(F.col("done"), F.col("total")).alias("percent"))
+
+
+@query(f"select cell_x, cell_y, case when n >= 1000 then cast(round(n / 1000.0, 1) as double) || 'k' else n || '' end as badge from (select cell_x, cell_y, count(*) as n from (select *, {_cell_sql(0)} from media_files where latitude is not null) group by 1, 2)", "media_files")
+def cluster_badges(lib: Library) -> DataFrame:
+    return spatial.clusters(lib.media_files, 0).select("cell_x", "cell_y", spatial.badge(F.col("count")).alias("badge"))
+
+
+@query("select id, name from albums order by name, id limit 11 offset 5", "albums")
+def albums_page(lib: Library) -> DataFrame:
+    return libraries.page(lib.albums, ["name", "id"], 10, 5).select("id", "name")
+
+
+@query("select id, round(list_sum(list_transform(embedding[1:40], lambda x: cast(x as double))), 5) as total, 40 as numbers from media_faces", "media_faces")
+def stored_vectors(lib: Library) -> DataFrame:
+    """Vectors as they are stored, little-endian floats, read back, the first 40 numbers of each."""
+
+    @F.pandas_udf("binary")
+    def as_bytes(vectors_: pd.Series) -> pd.Series:
+        return vectors_.map(lambda v: np.asarray(v, dtype="<f4").tobytes())
+
+    read = vectors.from_bytes(as_bytes("embedding"), 40)
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return lib.media_faces.select("id", read.alias("v")).select("id", F.round(total, 5).alias("total"), F.size("v").alias("numbers"))
+
+
+@query("select props as line, 200 - row_number() over (order by event_id desc) as place from events qualify row_number() over (order by event_id desc) <= 200")
+def log_written_and_read(lib: Library) -> DataFrame:
+    folder = shared_folder(lib.spark, "log")
+    logs.write(lib.base("events").select(F.col("event_id").alias("seq"), F.col("props").alias("line")), folder)
+    last = ops.tail(logs.read(lib.spark, folder), 200)
+    return last.select("line", (F.row_number().over(Window.orderBy("seq")) - 1).cast("long").alias("place"))
+
+
 # albums, tags and changes
 
 
