@@ -150,10 +150,16 @@ def merge(persons: DataFrame, faces: DataFrame, target: int, sources: list[int])
     return persons.filter(~F.col("id").isin(others)) if others else persons, faces.withColumn("person_id", moved)
 
 
+def merge_choice(people_: DataFrame, selected: list[int]) -> DataFrame:
+    """target, one row: the first of the selected in the list's order (most files first, then smaller id) that has a name, else the first selected."""
+    named_ = F.col("id").isin(selected) & (F.coalesce("name", F.lit("")) != "")
+    first = F.min_by("id", F.when(named_, F.struct(-F.col("face_count"), F.col("id"))))
+    return people_.filter(named_).agg(F.coalesce(first, F.lit(selected[0]).cast("long")).alias("target"))
+
+
 def merge_target(people_: DataFrame, selected: list[int]) -> int:
-    """The first of the selected in the list's order (most files first, then smaller id) that has a name, else the first selected."""
-    chosen = people_.filter(F.col("id").isin(selected) & (F.coalesce("name", F.lit("")) != "")).orderBy(F.desc("face_count"), "id").select("id").first()
-    return chosen["id"] if chosen else selected[0]
+    """merge_choice as a number."""
+    return merge_choice(people_, selected).first()["target"]
 
 
 def plausible(candidates: DataFrame) -> DataFrame:

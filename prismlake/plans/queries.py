@@ -1065,8 +1065,7 @@ def album_changes(lib: Library) -> DataFrame:
 
 @query("select case when count(*) filter (name is not null and id in (4, 3, 7)) > 0 then (select id from (select p.id, p.name, count(distinct f.media_id) as n from persons p left join media_faces f on f.person_id = p.id where p.id in (4, 3, 7) group by 1, 2) where name is not null order by n desc, id limit 1) else 4 end as target from persons", "persons", "media_faces")
 def merge_choice(lib: Library) -> DataFrame:
-    chosen = people.merge_target(people.people(lib.persons, lib.media_faces, lib.media_files), [4, 3, 7])
-    return lib.spark.createDataFrame([(chosen,)], "target long")
+    return people.merge_choice(people.people(lib.persons, lib.media_faces, lib.media_files), [4, 3, 7])
 
 
 @query("select id, 'none' as lens_model, rating from media_files", "media_files")
