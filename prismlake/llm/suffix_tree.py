@@ -22,7 +22,8 @@ asked, and blocks are scored from the answers. No task holds more than a bucket
 buckets get the counts of those words that make up FREQUENT of all tokens (so at most 1 / FREQUENT words), and use
 FREQUENT as the count of the others in the test of one-word contexts, which makes it stricter, never laxer.
 
-Words are known by 64-bit hashes, and by PRINT_BITS of them next to a word that is known.
+Words are known by 64-bit hashes. Next to a known word, a frequent one is named by its place in the list of the frequent words
+(the most frequent first), any other by 63 bits of its hash.
 
 The score of a text is the log10 of a probability over all token sequences.
 
@@ -56,30 +57,42 @@ END = np.uint64(0x243F6A8885A308D3)
 EDGE = 32
 #: The bucket of rows that are no answers: after all others.
 DOCUMENTS = (1 << 31) - 1
-#: Bits by which a word is known next to a known one.
-PRINT_BITS = 28
-_LOW, _PRINT = np.uint64(0xFFFFFFFF), np.uint64((1 << PRINT_BITS) - 1)
+_LOW = np.uint64(0xFFFFFFFF)
+#: Set in the codes of words that are not frequent.
+_RARE = np.uint64(1 << 63)
 
 
 @dataclass
 class Words:
-    """The counts of frequent words, by sorted hashes, and of all training tokens and distinct words."""
+    """The counts of frequent words, by sorted hashes, and of all training tokens and distinct words.
+
+    A frequent word's code is its place by count, any other's its hash with the bit _RARE.
+    """
 
     hashes: np.ndarray
     counts: np.ndarray
     n: int
     v: int
 
-    def among(self, wanted: np.ndarray, keys: np.ndarray, other: float) -> np.ndarray:
-        if not len(keys):
-            return np.full(len(wanted), other)
-        at = np.searchsorted(keys, wanted)
-        at[at == len(keys)] = 0
-        return np.where(keys[at] == wanted, self.counts[at], other)
+    def __post_init__(self):
+        order = np.lexsort((self.hashes, -self.counts))
+        self.by_code = self.counts[order]
+        self.codes = np.empty(len(order), dtype=np.uint64)
+        self.codes[order] = np.arange(len(order), dtype=np.uint64)
+
+    def _find(self, wanted: np.ndarray, values: np.ndarray, other) -> np.ndarray:
+        if not len(self.hashes):
+            return np.broadcast_to(other, wanted.shape).copy()
+        at = np.searchsorted(self.hashes, wanted)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == wanted, values[at], other)
 
+    def count(self, wanted: np.ndarray) -> np.ndarray:
+        """How often words occur, 0 for those that are not frequent."""
+        return self._find(wanted, self.counts, 0.0)
 
-def fingerprints(words: np.ndarray) -> np.ndarray:
-    return words & _PRINT
+    def code(self, wanted: np.ndarray) -> np.ndarray:
+        return self._find(wanted, self.codes, wanted | _RARE)
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -122,6 +135,23 @@ def _sums(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out - np.repeat(out[first] - steps[first], sizes[sizes > 0])
 
 
+def _pack_codes(codes: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Rising codes of groups: how many of each group are rare, then places as differences, then the rare ones' hashes."""
+    rare = codes >= _RARE
+    so_far, cuts = _firsts(rare), _firsts(sizes)
+    of_group = so_far[cuts[1:]] - so_far[cuts[:-1]]
+    return join([pack(of_group.astype("<u4")), pack(_steps(codes[~rare], sizes - of_group).astype("<u4")), pack(codes[rare])])
+
+
+def _unpack_codes(payload: bytes, sizes: np.ndarray) -> np.ndarray:
+    of_group, places, rare = (unpack(p, t) for p, t in zip(parts_of(payload), ("<u4", "<u4", "<u8"), strict=True))
+    of_group = of_group.astype(np.int64)
+    out, last = np.empty(int(sizes.sum()), dtype=np.uint64), np.zeros(int(sizes.sum()), dtype=bool)
+    last[_ranges(_firsts(sizes)[1:] - of_group, of_group)] = True
+    out[last], out[~last] = rare, _sums(places.astype(np.int64), sizes - of_group).astype(np.uint64)
+    return out
+
+
 class Block:
     """Documents of one task, until they have MOST_TOKENS."""
 
@@ -199,9 +229,16 @@ def contexts(tokens: np.ndarray, sizes: np.ndarray, trains: np.ndarray, frequent
     place = np.arange(n) - np.repeat(_firsts(sizes)[:-1], sizes)
     weight = np.repeat(trains, sizes).astype(np.float64)
     at = np.flatnonzero(place >= 1)
-    last = tokens[at - 1]
-    v, of_v = np.unique(last, return_inverse=True)
-    parts = np.maximum(1, frequent.among(v, frequent.hashes, 0) // TOKENS_A_PART).astype(np.int64)
+    # words as numbers that rise with their codes
+    words, local = np.unique(tokens, return_inverse=True)
+    codes = frequent.code(words)
+    by_code = np.argsort(codes)
+    rank = np.empty(len(words), dtype=np.uint64)
+    rank[by_code] = np.arange(len(words), dtype=np.uint64)
+    last, local, codes = local[at - 1], rank[local], codes[by_code]
+    is_last = np.bincount(last, minlength=len(words)) > 0
+    v, of_v = words[is_last], (np.cumsum(is_last) - 1)[last]
+    parts = np.maximum(1, frequent.count(v) // TOKENS_A_PART).astype(np.int64)
     part = np.where(place[at] >= 2, (mix(tokens[at - 2]) % parts[of_v].astype(np.uint64)).astype(np.int64), 0)
     # a word of several parts is as many contexts
     names = mix(np.repeat(v, parts) + _ranges(np.zeros(len(v), np.int64), parts).astype(np.uint64))
@@ -211,7 +248,7 @@ def contexts(tokens: np.ndarray, sizes: np.ndarray, trains: np.ndarray, frequent
     rank[order] = np.arange(len(order))
     here = rank[_firsts(parts)[:-1][of_v] + part]
 
-    keys, token = np.unique((of_v.astype(np.uint64) << np.uint64(32)) | fingerprints(tokens[at]), return_inverse=True)
+    keys, token = np.unique((of_v.astype(np.uint64) << np.uint64(32)) | local[at], return_inverse=True)
     counts = np.bincount(token, weights=weight[at], minlength=len(keys)).astype(np.int64)
     of_key = (keys >> np.uint64(32)).astype(np.int64)
     follows = np.bincount(of_key, minlength=len(v))
@@ -219,7 +256,7 @@ def contexts(tokens: np.ndarray, sizes: np.ndarray, trains: np.ndarray, frequent
     which = token - first[of_v]
     v_of = np.repeat(np.arange(len(v)), parts)[order]
     whole = _ranges(first[v_of], follows[v_of])
-    level = Level(np.ones(1, np.int64) * len(order), names[order], follows[v_of], fingerprints(keys)[whole], counts[whole])
+    level = Level(np.ones(1, np.int64) * len(order), names[order], follows[v_of], codes[keys & _LOW][whole], counts[whole])
     levels, context, tokens_of = [level], [np.full(n, -1)], [np.full(n, -1)]
     starts = _firsts(level.follows)[:-1]
     context[0][at], tokens_of[0][at] = here, starts[here] + which
@@ -228,12 +265,12 @@ def contexts(tokens: np.ndarray, sizes: np.ndarray, trains: np.ndarray, frequent
         deep = np.flatnonzero(place[at] >= k)
         at, here, which = at[deep], here[deep], which[deep]
         parents = len(levels[-1].names)
-        keys, now = np.unique((here.astype(np.uint64) << np.uint64(32)) | fingerprints(tokens[at - k]), return_inverse=True)
+        keys, now = np.unique((here.astype(np.uint64) << np.uint64(32)) | local[at - k], return_inverse=True)
         children = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=parents)
         grams, token = np.unique((now.astype(np.uint64) << np.uint64(32)) | which.astype(np.uint64), return_inverse=True)
         of_gram = (grams >> np.uint64(32)).astype(np.int64)
         follows = np.bincount(of_gram, minlength=len(keys))
-        levels.append(Level(children, fingerprints(keys), follows, grams & _LOW, np.bincount(token, weights=weight[at], minlength=len(grams)).astype(np.int64)))
+        levels.append(Level(children, codes[keys & _LOW], follows, grams & _LOW, np.bincount(token, weights=weight[at], minlength=len(grams)).astype(np.int64)))
         here, which = now, token - _firsts(follows)[:-1][now]
         for target, values in ((context, now), (tokens_of, token)):
             target.append(np.full(n, -1))
@@ -251,11 +288,12 @@ def questions(c: Contexts):
             if k:
                 children = level.children[a:b]
                 a, b = int(edges[k][a]), int(edges[k][b])
-                parts += [pack(children.astype("<u4")), pack(_steps(level.names[a:b], children).astype("<u4"))]
+                parts += [pack(children.astype("<u4")), _pack_codes(level.names[a:b], children)]
             else:
                 parts.append(_pack_rising(level.names[a:b]))
             c0, c1 = int(ends[k][a]), int(ends[k][b])
-            parts += [pack(level.follows[a:b].astype("<u4")), pack(_steps(level.which[c0:c1], level.follows[a:b]).astype("<u4")), pack(level.counts[c0:c1].astype("<u4"))]
+            follows, which = level.follows[a:b], level.which[c0:c1]
+            parts += [pack(follows.astype("<u4")), pack(_steps(which, follows).astype("<u4")) if k else _pack_codes(which, follows), pack(level.counts[c0:c1].astype("<u4"))]
         yield bucket, join(parts)
 
 
@@ -264,15 +302,31 @@ def _read_question(payload: bytes, depth: int) -> list[Level]:
     for k in range(depth):
         number = lambda: unpack(next(parts), "<u4").astype(np.int64)
         children = number() if k else None
-        names = _sums(number(), children).astype(np.uint64) if k else _unpack_rising(next(parts))
+        names = _unpack_codes(next(parts), children) if k else _unpack_rising(next(parts))
         follows = number()
-        out.append(Level(children, names, follows, _sums(number(), follows), number()))
+        which = _sums(number(), follows) if k else _unpack_codes(next(parts), follows)
+        out.append(Level(children, names, follows, which, number()))
     return out
 
 
+def _number_rare(asked: list[list[Level]], first: int) -> None:
+    """Replace, in what a bucket is asked, the codes of rare words by numbers from `first`, so that codes have 32 bits."""
+    lists = [q[0].which for q in asked] + [level.names for q in asked for level in q[1:]]
+    rare = [x >= _RARE for x in lists]
+    numbers = np.unique(np.concatenate([x[r] for x, r in zip(lists, rare, strict=True)]), return_inverse=True)[1].astype(np.uint64) + np.uint64(first)
+    at = 0
+    for x, r in zip(lists, rare, strict=True):
+        k = int(r.sum())
+        x[r] = numbers[at : at + k]
+        at += k
+
+
 def answers(payloads: list[bytes], frequent: Words, depth: int = DEPTH, divergence: float = DIVERGENCE) -> list[bytes]:
     """What a bucket says to each of those that ask it: by level, for each context how many tokens follow it in training and how many distinct ones (0 if it is not retained), and for each token after a retained context how often it follows."""
     asked = [_read_question(p, depth) for p in payloads]
+    often = len(frequent.by_code)
+    _number_rare(asked, often)
+    seen = np.append(frequent.by_code, FREQUENT * frequent.n)
     context: list[list[np.ndarray]] = []  # by level, and for each that asks, the contexts' numbers in the bucket
     gram: list[list[np.ndarray]] = []
     alls, distincts, ns, tests, parents, loo = [], [], [], [], [], []
@@ -301,9 +355,7 @@ def answers(payloads: list[bytes], frequent: Words, depth: int = DEPTH, divergen
             every = np.bincount(of, weights=n, minlength=len(own))
             distinct = np.bincount(of, weights=n > 0, minlength=len(own))
             if k == 0:
-                by_print = np.argsort(fingerprints(frequent.hashes), kind="stable")
-                known = Words(frequent.hashes, frequent.counts[by_print], frequent.n, frequent.v)
-                c = known.among(below, fingerprints(frequent.hashes)[by_print], FREQUENT * frequent.n)
+                c = seen[np.minimum(below, np.uint64(often)).astype(np.int64)]
                 shorter = np.maximum(c - 1, 0.5) / max(1, frequent.n + frequent.v)
             else:
                 shorter = loo[-1][below.astype(np.int64)]

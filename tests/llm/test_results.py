@@ -496,6 +496,23 @@ def test_suffix_tree_learns_order(written):
     assert all(got[i] < -30 * math.log10(10) for i in shuffled if i in got)
 
 
+@pytest.mark.parametrize("frequent", [1e-6, 0.02])
+def test_suffix_tree_tells_words_apart(written, monkeypatch, frequent):
+    # the hashes of the two words agree in their lower 28 bits; words beside a known one are frequent ones and others
+    a, b = (shingles.word_hashes(w)[0] for w in (b"w1335", b"w26910"))
+    assert a != b and (a ^ b) & np.uint64((1 << 28) - 1) == 0
+    monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)
+    trains = lambda d: zlib.crc32(str(d).encode()) % 7 != 2
+    held = [i for i in range(200) if not trains(i)]
+    rng = random.Random(25)
+    texts = {i: f"ctx w1335 of ctx {rng.choice(['w1335', 'of', f'x{i}'])} y{i % 9} w1335" for i in range(200)}
+    texts |= dict(zip(held, ["ctx w26910", "ctx w26911", "ctx w1335", "of ctx w26910", "of ctx w1335", "w26910 ctx w1335", "w1335 ctx w1335"], strict=False))
+    want, _ = plain_tree(texts, trains, least=-math.inf)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(written(list(texts.items())), (2, 7), divergence=-math.inf).collect()}
+    assert got == pytest.approx(want, rel=1e-5)
+    assert got[held[0]] < -10 < -4 < got[held[2]]
+
+
 @pytest.mark.parametrize("depth", [1, 2, 3])
 def test_suffix_tree_in_many_buckets(monkeypatch, depth):
     monkeypatch.setattr(suffix_tree, "TOKENS_A_PART", 30)  # frequent words are in several parts
