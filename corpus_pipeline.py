@@ -15,17 +15,18 @@ in the shared folder.
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable
 from functools import reduce, wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from prismlake.llm import bpe, common, langid, minhash_forest, mixing, pii
 
+#: Files of which a row each is broadcast, about 100 bytes a row.
+FEW_FILES = 100_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -62,14 +63,17 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def placed(docs: DataFrame) -> DataFrame:
     """position, doc_id and text of every row of `docs`, a scan of files: the row's number, from 0, in the order in which the files were written."""
-    name = F.col("_metadata.file_name")
-    files = docs.groupBy(name.alias("name")).agg(F.max("_metadata.row_index").alias("last")).collect()
-    before, n = {}, 0
-    for f in sorted(files, key=lambda f: ([int(x) for x in re.findall(r"part-(\d+)|-c(\d+)", f["name"]) for x in x if x], f["name"])):
-        before[f["name"]] = n
-        n += f["last"] + 1
-    start = F.element_at(F.from_json(F.lit(json.dumps(before)), "map<string,long>"), name)
-    return docs.select((start + F.col("_metadata.row_index")).alias("position"), "doc_id", "text")
+    name = F.col("_metadata.file_name").alias("name")
+    # a row a file; numbers of tasks and of their files as numbers, since names are no longer in order beyond 99,999 tasks
+    number = lambda pattern: F.regexp_extract("name", pattern, 1).try_cast("int")
+    order = Window.orderBy(number(r"part-(\d+)"), number(r"-c(\d+)\."), "name").rowsBetween(Window.unboundedPreceding, -1)
+    files = docs.groupBy(name).agg((F.max("_metadata.row_index") + 1).alias("rows"))
+    starts = common.materialize(files.select("name", F.coalesce(F.sum("rows").over(order), F.lit(0)).alias("start")), "starts")
+    few = starts.count() <= FEW_FILES
+    rows = docs.select(name, F.col("_metadata.row_index").alias("row"), "doc_id", "text")
+    rows = rows.join(F.broadcast(starts) if few else starts, "name").select((F.col("start") + F.col("row")).alias("position"), "doc_id", "text")
+    # what follows needs a scan of files, which a join that shuffles is not
+    return rows if few else common.materialize(rows, "placed")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
