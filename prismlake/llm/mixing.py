@@ -10,10 +10,12 @@ and any block's slot follows from its number.
 A source's documents stand in the order of a hash of their ids and are cut into blocks of `block_rows`. When a source has
 no blocks left its slots are skipped and the others go on in their proportions, so that no document is left out; up to
 the slot at which the first source ends, the mix follows the weights. A block's place counts the blocks that are really
-there, which for every source is a closed form, so that no global sort is needed.
+there: sums over the periods and, in a period, over its slots, so that no global sort is needed.
 
 Numbering rows in a source takes no task more than a cell of it: cells are equal parts of the range of hashes, as many
-as the source's rows ask for.
+as the source's rows ask for. Sources, the slots of a period and the blocks of each cell are tables that rows are joined with,
+the blocks by the cells that rows have been shuffled by already. Only the sums over periods, of which there is one for some
+PERIOD * BLOCK_ROWS rows, pass through one task.
 
 Defined cases: a null source is one of its own, named by NO_SOURCE; a null text is kept; rows of equal id follow each other by a
 hash of their text; a source without a weight raises, a weight without rows is left out; an empty table gives no rows; extra columns
@@ -74,10 +76,27 @@ def schedule(shares_: Column, period: int) -> Column:
 
 
 def _plan(counts: DataFrame, weights: DataFrame, period: int, block_rows: int) -> DataFrame:
-    """One row: names, shares and numbers of blocks of the sources in the order of names, and the runs of one period."""
+    """One row: the sources in the order of names with their shares, blocks and rows, and the runs of one period."""
     by_source = counts.join(shares(weights.join(counts, "source", "left_semi"), period), "source", "left")
-    each = F.array_sort(F.collect_list(F.struct("source", "share", F.ceil(F.col("n") / block_rows).alias("blocks"))))
-    return by_source.agg(each.alias("x")).select(F.col("x.source").alias("names"), F.col("x.share").alias("shares"), F.col("x.blocks").alias("blocks")).withColumn("runs", schedule(F.col("shares"), period))
+    each = F.array_sort(F.collect_list(F.struct("source", "share", F.ceil(F.col("n") / block_rows).alias("blocks"), "n")))
+    return by_source.agg(each.alias("sources")).withColumn("runs", schedule(F.col("sources.share"), period))
+
+
+def _placed_blocks(cells: DataFrame, sources: DataFrame, slots: DataFrame, period: int, block_rows: int) -> DataFrame:
+    """number, cell, before and the blocks of which a cell (number, cell, n, before) has rows, in their order: block, slot, place, and start, the rows of the mix before it."""
+    reach = F.sequence(F.floor(F.col("before") / block_rows), F.floor((F.col("before") + F.col("n") - 1) / block_rows))
+    blocks = cells.select("number", "cell", "before", F.explode(reach).alias("block")).join(sources.select("number", "share", F.col("n").alias("rows")), "number")
+    # a block of several cells counts where it begins
+    begins = (F.col("block") * block_rows >= F.col("before")).cast("long")
+    blocks = blocks.withColumns({"turn": F.floor(F.col("block") / F.col("share")), "nth": F.col("block") % F.col("share"), "begins": begins, "size": begins * F.least(F.lit(block_rows), F.col("rows") - F.col("block") * block_rows)})
+    blocks = materialize(blocks.join(slots, ["number", "nth"]).select("number", "cell", "before", "block", "turn", "t", "begins", "size"), "blocks")
+    earlier = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    turns = blocks.groupBy("turn").agg(F.sum("begins").alias("begun"), F.sum("size").alias("filled"))
+    turns = turns.select("turn", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("begun", "filled")])
+    in_turn = Window.partitionBy("turn").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, e: (F.col(c) + F.coalesce(F.sum(e).over(in_turn), F.lit(0))).cast("long")
+    placed = blocks.join(turns, "turn").withColumns({"place": so_far("begun", "begins"), "start": so_far("filled", "size"), "slot": (F.col("turn") * period + F.col("t")).cast("long")})
+    return placed.groupBy("number", "cell", "before").agg(F.array_sort(F.collect_list(F.struct("block", "slot", "place", "start"))).alias("blocks"))
 
 
 def interleave(docs: DataFrame, weights: DataFrame | None = None, period: int | None = None, block_rows: int = BLOCK_ROWS, keep: list[str] | None = None) -> DataFrame:
@@ -97,49 +116,33 @@ def interleave(docs: DataFrame, weights: DataFrame | None = None, period: int |
     period = period or PERIOD * max(1, -(-many // SOURCES_A_PERIOD))
     if many > period:
         raise ValueError(f"{many} sources don't fit in a period of {period}")
-    plan = _plan(counts, tempered(counts) if weights is None else weights, period, block_rows).first()
-    names, parts, blocks, runs = (list(plan[k] or []) for k in ("names", "shares", "blocks", "runs"))
-    if any(p is None for p in parts):
-        raise ValueError(f"no weight for {[s for s, p in zip(names, parts, strict=True) if p is None][:5]}")
-
-    # what the schedule has in store for each source: the slots of its blocks in a period, and its blocks before each slot
-    slots = [[t for t, r in enumerate(runs) if r == i] for i in range(len(names))]
-    number = F.array_position(_text_array(names), name).cast("int") - 1
+    plan = materialize(_plan(counts, tempered(counts) if weights is None else weights, period, block_rows), "plan")
+    sources = materialize(plan.select(F.posexplode("sources").alias("number", "s")).select("number", "s.*"), "sources")
+    missing = [r["source"] for r in sources.filter("share is null").select("source").take(5)]
+    if missing:
+        raise ValueError(f"no weight for {missing}")
+    # the slot of each source's n-th block of a period
+    slots = plan.select(F.posexplode("runs").alias("t", "number")).withColumn("nth", (F.row_number().over(Window.partitionBy("number").orderBy("t")) - 1).cast("long"))
+
     keep = [c for c in keep or docs.columns if c != "mix"]
     tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id").alias("id"), tie.alias("tie"), number.alias("number"), hash52(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"))
-    cells = F.transform(_array(blocks), lambda b: F.greatest(F.lit(1), F.ceil(b * block_rows / CELL_ROWS)))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id").alias("id"), tie.alias("tie"), name.alias("source"), hash52(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("blocks") * block_rows / CELL_ROWS))
+    rows = rows.join(sources.select("source", "number", parts.alias("cells")), "source")
     share = F.col("order").cast("double") / float(1 << BITS)
-    rows = rows.withColumn("cell", F.least(F.floor(share * F.get(cells, F.col("number"))), F.get(cells, F.col("number")) - 1))
-    sums = rows.groupBy("number", "cell").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("cell", F.least(F.floor(share * F.col("cells")), F.col("cells") - 1)).drop("source", "cells")
+    cells = rows.groupBy("number", "cell").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("number").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("number", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    blocks = materialize(_placed_blocks(cells, sources, slots, period, block_rows), "places")
     in_cell = Window.partitionBy("number", "cell").orderBy("order", "id", "tie")
-    ranked = rows.withColumn("k", F.row_number().over(in_cell) - 1).join(sums, ["number", "cell"])
-
+    ranked = rows.withColumn("k", F.row_number().over(in_cell) - 1).join(blocks, ["number", "cell"])
     source_row = F.col("before") + F.col("k")
-    ranked = ranked.select("row", "number", source_row.alias("source_row"), F.floor(source_row / block_rows).alias("block"))
-    share_of = lambda i: F.get(_array(parts), i)
-    in_period = F.get(F.get(_array(slots, "array<array<int>>"), F.col("number")), (F.col("block") % share_of(F.col("number"))).cast("int"))
-    ranked = ranked.withColumn("slot", F.floor(F.col("block") / share_of(F.col("number"))) * period + in_period)
-    # how many of each source's blocks are before this slot, and how many rows are in them
-    passed = F.transform(_array(slots, "array<array<int>>"), lambda s, i: F.floor(F.col("slot") / period) * F.size(s) + F.size(F.filter(s, lambda t: t < F.col("slot") % period)))
-    ranked = ranked.withColumn("passed", F.zip_with(passed, _array(blocks), lambda a, b: F.least(a, b)))
-    sizes = {r["source"]: r["n"] for r in counts.collect()}
-    before = F.zip_with("passed", _array([sizes[s] for s in names]), lambda b, n: F.least(b * block_rows, n))
-    add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
-    mix = F.struct("source_row", "block", "slot", add("passed").alias("place"), (add(before) + F.col("source_row") % block_rows).alias("position"))
+    ranked = ranked.withColumns({"source_row": source_row, "its": F.get("blocks", (F.floor(source_row / block_rows) - F.floor(F.col("before") / block_rows)).cast("int"))})
+    mix = F.struct("source_row", "its.block", "its.slot", "its.place", (F.col("its.start") + F.col("source_row") % block_rows).alias("position"))
     return ranked.select(*[F.col(f"row.`{c}`") for c in keep], mix.alias("mix"))
 
 
-def _array(values: list, kind: str = "array<long>") -> Column:
-    return F.from_json(F.lit(str(values)), kind)
-
-
-def _text_array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-
 def in_order(mixed: DataFrame) -> DataFrame:
     """The rows of interleave() in the order of the mix, without `mix`."""
     return mixed.orderBy("mix.position").drop("mix")

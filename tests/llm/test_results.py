@@ -609,6 +609,22 @@ def test_more_sources_than_slots(written, monkeypatch):
         mixing.interleave(docs, period=20)
 
 
+def test_many_sources_against_slots_in_order(written):
+    rng = random.Random(26)
+    rows = [(i, f"t{i}", f"site{i if i < 150 else int(150 * rng.random() ** 3)}") for i in range(6000)]
+    got = mixing.interleave(written(rows, "doc_id long, text string, source string"), block_rows=4).select("doc_id", "source", "mix.*").collect()
+    # places and positions, from the slots of the blocks
+    size = collections.Counter((r["slot"], r["source"], r["block"]) for r in got)
+    assert len({k[0] for k in size}) == len(size)
+    place, start, at = {}, {}, 0
+    for k, (slot, source, block) in enumerate(sorted(size)):
+        place[source, block], start[source, block] = k, at
+        at += size[slot, source, block]
+    for r in got:
+        key = r["source"], r["block"]
+        assert (r["place"], r["position"]) == (place[key], start[key] + r["source_row"] % 4)
+
+
 def test_shares_add_up(spark):
     w = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0), ("d", 1e-9)], "source string, weight double")
     got = {r["source"]: r["share"] for r in mixing.shares(w, 100).collect()}
@@ -779,7 +795,9 @@ def test_mixed_files_are_in_order(spark, sf_dir):
     assert [r["doc_id"] for r in corpus_pipeline.mixed(spark, docs, sf_dir).collect()] == want
 
 
-def test_the_mix_is_the_order_of_the_result(spark, sf_dir):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_the_mix_is_the_order_of_the_result(spark, sf_dir, monkeypatch, few):
+    monkeypatch.setattr(corpus_pipeline, "FEW_FILES", few)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
     try:
         got = {r["position"]: r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
