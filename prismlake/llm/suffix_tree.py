@@ -28,7 +28,7 @@ Words are known by 64-bit hashes. Next to a known word, a frequent one is named
 The score of a text is the log10 of a probability over all token sequences.
 
 Defined cases: a null or empty text has one token, the end; without training documents counts are 0, the base score is
-log10(1 / (N + 1) / (V + 1)) for N = V = 0, and every byte is even; repeated rows count each; a null id trains as any other
+log10(1 / (N + V + 1)) for N = V = 0, and every byte is even; repeated rows count each; a null id trains as any other
 that the split leaves to training; extra columns are ignored.
 """
 
@@ -548,7 +548,7 @@ def score(docs: DataFrame, train: tuple[int, int], depth: int = DEPTH, divergenc
             spread = max(v, 1)
             root = (c + spread * 10 ** spelt.astype(np.float64)) / (n + spread)
             scores = log_scores(found, root[at], got)
-            base = np.log10((c + 1) / ((n + 1) * (v + 1)))
+            base = np.log10((c + 1) / (n + v + 1))
             edge = _firsts(sizes)[:-1]
             columns = [ids, sizes, np.add.reduceat((c > 0)[at].astype(np.int64), edge), np.full(len(ids), n, np.int64), np.add.reduceat(base[at], edge), np.add.reduceat(scores, edge)]
             arrays = [pa.array(ids, pa.int64(), mask=has_id == 0), *(pa.array(x) for x in columns[1:])]

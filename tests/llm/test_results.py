@@ -430,6 +430,18 @@ def test_suffix_tree_counts_and_scores(spark, sf_dir, texts):
     assert better > 0.95 * held
 
 
+def test_suffix_tree_base_adds_one_to_each_count(written):
+    """The contract's (c + 1) / (N + 1 * (V + 1)): one is added to the count of every distinct token and of one unknown, so these sum to 1."""
+    rows = {i: t for i, t in enumerate(["a b a", "B\u00a0c  d", "", None, "a", "zz a\x1fb", "b b", "q", "a b c"])}
+    trains = {i for i in rows if zlib.crc32(str(i).encode()) % 7 != 2}
+    rows[next(i for i in range(9, 99) if zlib.crc32(str(i).encode()) % 7 == 2)] = "a never seen"
+    tokens = {i: [*words(t or ""), "\n"] for i, t in rows.items()}
+    counts = collections.Counter(w for i in trains for w in tokens[i])
+    n, v = sum(counts.values()), len(counts)
+    got = {r["doc_id"]: r["base_score"] for r in suffix_tree.score(written(list(rows.items())), (2, 7)).collect()}
+    assert got == {i: pytest.approx(sum(math.log10((counts[w] + 1) / (n + 1 * (v + 1))) for w in x)) for i, x in tokens.items()}
+
+
 def plain_tree(docs, trains, depth=suffix_tree.DEPTH, least=suffix_tree.DIVERGENCE):
     """The score of each token sequence, from dictionaries of whole contexts; and the contexts that are kept."""
     counts, follow, pairs = collections.Counter(), collections.defaultdict(collections.Counter), np.full((256, 256), 0.01)
