@@ -60,6 +60,24 @@ def test_logs(spark, tmp_path):
     assert [r["line"] for r in logs.read(spark, str(tmp_path / "out")).collect()][:3] == ["[INFO ] fine", "[WARN ] hm", "[ERROR] bad"]
 
 
+def test_lines_rise_with_file_names_whatever_the_sizes(spark, tmp_path):
+    wanted = []
+    for name, n in (("a", 2), ("b", 4000), ("c", 300), ("d", 1)):
+        lines = [f"{name} {k}" for k in range(n)]
+        (tmp_path / f"{name}.log").write_text("\n".join(lines) + "\n")
+        wanted += lines
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for c, v in zip(before, ("8k", "1"), strict=True):  # long files are read in pieces, short ones together
+        spark.conf.set(c, v)
+    try:
+        lines = logs.read(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 2
+        assert [r["line"] for r in lines.orderBy("seq").collect()] == wanted
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def test_export(spark, tmp_path):
     for d in ("p", "q"):
         (tmp_path / d).mkdir()
