@@ -83,7 +83,9 @@ def add_to_album(albums_: DataFrame, album_media: DataFrame, album_id: int, medi
         return albums_, album_media
     spark = albums_.sparkSession
     new = spark.createDataFrame([(album_id, m, as_of) for m in dict.fromkeys(media_ids)], "album_id long, media_id long, added_at long")
-    new = new.join(album_media, ["album_id", "media_id"], "left_anti")
+    # the album's own links, not those of all albums, tell what is there already
+    there = album_media.filter(F.col("album_id") == album_id)
+    new = new.join(there, ["album_id", "media_id"], "left_anti")
     bare = (F.col("id") == album_id) & F.col("cover_media_id").isNull()
     covered = albums_.withColumn("cover_media_id", F.when(bare, F.lit(media_ids[0]).cast("long")).otherwise(F.col("cover_media_id")))
     return covered, album_media.unionByName(new)

@@ -207,6 +207,14 @@ def test_albums(spark, media):
     assert [(r["media_count"], r["cover_file_path"]) for r in counted] == [(0, None), (3, "/lib/a.jpg")]
 
 
+def test_adding_to_an_album_compares_its_own_links_only(spark, tmp_path):
+    spark.createDataFrame([(a, m, 5) for a in range(20) for m in range(10)], "album_id long, media_id long, added_at long").write.parquet(str(tmp_path / "links"))
+    links = spark.read.parquet(str(tmp_path / "links"))
+    added = curation.add_to_album(spark.createDataFrame([(3, None)], "id long, cover_media_id long"), links, 3, [9, 10, 11, 10], 7)[1]
+    assert sorted((r["album_id"], r["media_id"], r["added_at"]) for r in added.exceptAll(links).collect()) == [(3, 10, 7), (3, 11, 7)]
+    assert "EqualTo(album_id,3)" in added._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tags(spark):
     tags = spark.createDataFrame([(1, "sun", "#111111")], "id long, name string, color string")
     again = curation.upsert_tag(tags, 2, "sun")
