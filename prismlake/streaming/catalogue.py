@@ -76,14 +76,18 @@ def folded(stored: DataFrame, events: DataFrame) -> DataFrame:
     each = puts.select("file_path", entry(False, F.struct(*cols)))
     removed = last.filter("kind = 'remove'").select(F.col("file_path").alias("root"), "version", "seq")
     known = stored.select("file_path").unionByName(puts.select("file_path").distinct())
-    below = known.select("file_path", F.explode(folders_of(F.col("file_path"))).alias("root")).join(removed, "root")
-    each = each.unionByName(below.select("file_path", entry(True, F.lit(None))).distinct())
+    # folders, not files, are looked up by all that is above them: the topmost are above every file
+    folder = F.regexp_extract("file_path", "(?s)^(.*)/", 1)
+    known = known.select("file_path", F.when(F.contains("file_path", F.lit("/")), folder).alias("folder"))
+    above = known.filter("folder is not null").select("folder").distinct().select("folder", F.explode(folders_of(F.col("folder"))).alias("root"))
+    below = known.join(above.join(removed, "root").select("folder", "version", "seq"), "folder").select("file_path", "version", "seq")
+    own = known.join(removed, F.col("file_path") == F.col("root")).select("file_path", "version", "seq")
+    each = each.unionByName(own.unionByName(below).distinct().select("file_path", entry(True, F.lit(None))))
     by_path = each.groupBy("file_path").agg(F.array_sort(F.collect_list("event")).alias("_events"))
     after = lambda first: F.aggregate("_events", first, lambda s, e: _after(s, e, schema))
-    met = stored.join(by_path, "file_path", "left").select(F.when(F.col("_events").isNull(), F.struct(*cols).cast(schema)).otherwise(after(F.struct(*cols).cast(schema))).alias("_row"))
-    there = stored.select("file_path").join(by_path.select("file_path"), "file_path", "left_semi")
-    fresh = by_path.join(there, "file_path", "left_anti").select(after(F.lit(None).cast(schema)).alias("_row"))
-    return met.unionByName(fresh).filter("_row is not null").select("_row.*")
+    row = F.when(F.col("_stored"), F.struct(*cols).cast(schema))
+    met = stored.withColumn("_stored", F.lit(True)).join(by_path, "file_path", "full_outer")
+    return met.select(F.when(F.col("_events").isNull(), row).otherwise(after(row)).alias("_row")).filter("_row is not null").select("_row.*")
 
 
 def replace_nullable(f):

@@ -148,3 +148,20 @@ def test_partitions_without_changes_are_scanned_alone(spark, sf_dir, tmp_path):
     c.write(stored, 0)
     assert c.read().count() == stored.count() and "Join" not in c.read()._jdf.queryExecution().executedPlan().toString()
     assert catalogue.KEEP == 2 and Catalogue(spark, str(tmp_path / "none")).read() is None and Catalogue(spark, str(tmp_path / "none")).compact() == []
+
+
+def test_folders_and_not_files_are_looked_up_by_what_is_above_them(spark, frame):
+    schema = "file_path string, directory string, file_name string, file_size long, file_hash string, file_modified_at long, orientation int, thumbnail_status string"
+    row = lambda p: (p, p.rpartition("/")[0], p.rpartition("/")[2], 1, "h", 1, 1, "ready")
+    paths = ["/a/b/1.jpg", "/a/b/2.jpg", "/a/b.jpg", "/a/bb/1.jpg", "c/1.jpg", "2.jpg", "/a/x\ny/3.jpg", "/d.jpg"]
+    stored = spark.createDataFrame([row(p) for p in paths], schema)
+
+    def after(*removed):
+        events = spark.createDataFrame([(1, "remove", k, *row(p)) for k, p in enumerate(removed)], "version long, kind string, seq long, " + schema)
+        return catalogue.folded(stored, events)
+
+    left = lambda *removed: sorted({r["file_path"] for r in after(*removed).collect()} ^ set(paths))
+    assert left("/a/b") == ["/a/b/1.jpg", "/a/b/2.jpg"] and left("2.jpg", "c") == ["2.jpg", "c/1.jpg"] and left("/a/x\ny", "/a/x\ny/3.jpg") == ["/a/x\ny/3.jpg"]
+    assert left("") == sorted(p for p in paths if p.startswith("/")) and left("/d.jpg/e", "/e") == []
+    plan = after("/a")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and all("Aggregate [folder" in below for below in plan.split("Generate explode")[1:])
