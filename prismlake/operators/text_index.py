@@ -15,13 +15,17 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LOWER, UPPER, contains_like, fold
 from .search import TEXT_COLUMNS
 
 GRAM, BLOCK = 3, 1 << 16
+#: Rows whose postings are made together.
+ROWS_A_STEP = 10_000
 #: A search intersects at most so many grams, evenly out of the term's: each candidate is tested on its row anyway.
 MOST_GRAMS = 8
 #: A search that finds so few blocks tells the scan which ids they have.
@@ -30,10 +34,30 @@ FEW_BLOCKS = 64
 BETWEEN = "\x00"
 
 
-def grams_of(text: Column) -> Column:
-    """The distinct grams of a text."""
-    n = F.length(text) - (GRAM - 1)
-    return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(text, k, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+def _postings(batches):
+    """Postings of each batch's rows (id, text): gram, block, ids. Grams are numbers of three characters until they are told."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_A_STEP):
+            part = batch.slice(at, ROWS_A_STEP)
+            ids, texts = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), part.column(1).to_pylist()
+            sizes = np.array([len(t) + GRAM for t in texts])
+            # between texts stands what no gram has
+            chars = np.frombuffer((BETWEEN * GRAM).join([*texts, ""]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+            key = (chars[:-2] << np.uint64(42)) | (chars[1:-1] << np.uint64(21)) | chars[2:]
+            whole = np.flatnonzero((chars[:-2] > 0) & (chars[1:-1] > 0) & (chars[2:] > 0))
+            key, owner = key[whole], ids[np.repeat(np.arange(len(ids)), sizes)[whole]]
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            again = np.zeros(len(key), dtype=bool)
+            again[1:] = (key[1:] == key[:-1]) & (owner[1:] == owner[:-1])
+            key, owner = key[~again], owner[~again]
+            block = owner // BLOCK
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])) if len(key) else np.zeros(0, np.int64)
+            low = np.uint64((1 << 21) - 1)
+            spelt = np.stack([key[first] >> np.uint64(42), key[first] >> np.uint64(21) & low, key[first] & low], axis=1).astype("<u4")
+            text = spelt.tobytes().decode("utf-32-le")
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array((owner - block * BLOCK).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([text[k : k + GRAM] for k in range(0, len(text), GRAM)], pa.string()), pa.array(block[first]), lists], names=["gram", "block", "ids"])
 
 
 def grams_of_term(term: str) -> list[str]:
@@ -53,10 +77,9 @@ class TextIndex:
     def add(self, rows: DataFrame) -> None:
         """Take in rows (id and the columns)."""
         text = F.concat_ws(BETWEEN, *[fold(F.col(c)) for c in self.columns if c in rows.columns])
-        each = rows.select("id", F.explode(grams_of(text)).alias("gram")).filter(~F.contains("gram", F.lit(BETWEEN)))
-        block = F.floor(F.col("id") / BLOCK)
+        each = rows.filter("id is not null").select(F.col("id").cast("long"), text.alias("text")).mapInArrow(_postings, "gram string, block long, ids array<int>")
         # a posting has as many ids as a block at most
-        postings = each.groupBy("gram", block.alias("block")).agg(F.array_sort(F.collect_list((F.col("id") - block * BLOCK).cast("int"))).alias("ids"))
+        postings = each.groupBy("gram", "block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
         postings.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.mode("append").option("parquet.block.size", self.group_bytes).parquet(self.folder)
 
     def postings(self, grams: list[str]) -> DataFrame:

@@ -68,3 +68,18 @@ def test_a_search_reads_its_own_grams(spark, tmp_path):
 def test_grams_of_terms():
     assert grams_of_term("Ab_cde%FGHI") == ["cde", "fgh", "ghi"] and grams_of_term("ab") == [] == grams_of_term("a_b%c")
     assert len(grams_of_term("abcdefghijklmnopqrstuvwxyz")) == text_index.MOST_GRAMS and grams_of_term("aaaaaa") == ["aaa"]
+
+
+def test_postings_against_plain_ones(spark, tmp_path):
+    """A row that comes twice is in a posting once; characters of four bytes are one; grams end with a column; no gram holds NUL."""
+    rows = [(5, "aaaa😀b", "/d", None), (5, "aaaa😀b", "/d", None), (70_000, "ab", None, "Son"), (3, None, "", None), (6, "x\x00yzzz", "AAA", "é"), (None, "abc", "/d", None)]
+    index = TextIndex(spark, str(tmp_path / "g"))
+    index.add(spark.createDataFrame(rows, NAMES))
+    want = {}
+    for i, *texts in rows:
+        for t in (t.lower() for t in texts if i is not None and t):
+            for g in {t[k : k + 3] for k in range(len(t) - 2)}:
+                if "\x00" not in g:
+                    want.setdefault((g, i // text_index.BLOCK), set()).add(i % text_index.BLOCK)
+    got = spark.read.parquet(str(tmp_path / "g")).collect()
+    assert {(r["gram"], r["block"]): r["ids"] for r in got} == {k: sorted(v) for k, v in want.items()} and len(got) == len(want)
