@@ -30,7 +30,8 @@ class PageIndex:
         """Store `rows`, about so many in a partition."""
         n = max(1, -(-rows.count() // rows_a_part))
         dealt = rows.repartitionByRange(n, *self.order).withColumn("_part", F.spark_partition_id())
-        dealt.write.mode("overwrite").partitionBy("_part").parquet(f"{self.folder}/rows")
+        # small partitions that follow each other are one task's work
+        dealt.coalesce(max(1, n * rows_a_part // ROWS_A_PART)).write.mode("overwrite").partitionBy("_part").parquet(f"{self.folder}/rows")
         schema = StructType([*rows.schema.fields, StructField("_part", IntegerType())])
         counts = self.spark.read.schema(schema).parquet(f"{self.folder}/rows").groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
         # a row without a partition tells the columns, whether there are rows or not
@@ -40,10 +41,12 @@ class PageIndex:
     def _counts(self) -> DataFrame:
         return self.spark.read.schema("_part int, n long, schema string").parquet(f"{self.folder}/counts")
 
+    def _schema(self) -> StructType:
+        return StructType.fromJson(json.loads(self._counts().filter("_part is null").first()["schema"]))
+
     def rows(self) -> DataFrame:
         """All rows, with the partition of each (`_part`)."""
-        schema = StructType.fromJson(json.loads(self._counts().filter("_part is null").first()["schema"]))
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/rows")
+        return self.spark.read.schema(self._schema()).parquet(f"{self.folder}/rows")
 
     def counts(self) -> list[tuple[int, int, int]]:
         """Of each partition in order its number, the rows before it and its rows; as many as there are partitions."""
@@ -54,8 +57,11 @@ class PageIndex:
         return out
 
     def _read(self, parts: list[int]) -> DataFrame:
-        rows = self.rows()
-        return rows.filter(F.col("_part").isin(*parts)) if parts else rows.limit(0)
+        if not parts:
+            return self.rows().limit(0)
+        # their folders alone are listed
+        rows = self.spark.read.schema(self._schema()).option("basePath", f"{self.folder}/rows").parquet(*[f"{self.folder}/rows/_part={p}" for p in parts])
+        return rows.filter(F.col("_part").isin(*parts))
 
     def page(self, offset: int, limit: int) -> DataFrame:
         """`limit` rows from place `offset` on, in order; fewer at the end."""
@@ -71,8 +77,7 @@ class PageIndex:
         rows = self.rows()
         wanted = rows.join(found.select("id"), "id", "left_semi").select("_part").distinct()
         inside = F.row_number().over(Window.partitionBy("_part").orderBy(*self.order)) - 1
-        # one number for each partition
-        numbers = F.from_json(F.lit(json.dumps({str(p): b for p, b, _ in counts})), "map<string,long>")
-        before = F.try_element_at(numbers, F.col("_part").cast("string"))
-        placed = rows.join(wanted, "_part", "left_semi").withColumn("place", inside + before)
+        # a row for each partition, which the rows meet by its number: looked up in one map, each would cost as much as there are partitions
+        before = self.spark.createDataFrame([(p, b) for p, b, _ in counts], "_part int, _before long")
+        placed = rows.join(wanted, "_part", "left_semi").withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn("place", F.col("_inside") + F.col("_before"))
         return placed.join(found.select("id"), "id", "left_semi").select("id", F.col("place").cast("long"))

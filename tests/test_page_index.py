@@ -50,3 +50,13 @@ def test_no_rows(spark, rows, tmp_path):
     index = PageIndex(spark, str(tmp_path))
     index.write(rows.limit(0))
     assert index.page(0, 10).collect() == [] and index.places(rows).collect() == []
+
+
+def test_pages_and_places_cost_no_more_for_many_partitions(spark, rows, tmp_path):
+    """A page lists the folders that hold it, and where partitions begin is a table that rows meet by its number."""
+    index = PageIndex(spark, str(tmp_path))
+    index.write(rows, 100)
+    held = {p for p, before, n in index.counts() if before < 1225 and before + n > 1205}
+    assert {int(re.search(r"_part=(\d+)", f)[1]) for f in index.page(1205, 20).inputFiles()} == held
+    plan = index.places(rows.filter("id % 101 = 3"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_element_at" not in plan and "element_at" not in plan and "_before" in plan
