@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import LEAST_NORM, dot, iou
-from .best_person import FACES_A_STEP, best_person
+from . import online_clusters
+from .best_person import FACES_A_STEP, _usable, best_person
 
 #: Least likeness of a face to a person, and least overlap that makes two boxes one.
 MATCH, OVERLAP = 0.60, 0.35
@@ -179,65 +179,23 @@ def suppress(boxes: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     return boxes.join(each.select(F.explode(keep).alias("k")).select("k.id"), "id", "left_semi").select(*boxes.columns)
 
 
-class _Running:
-    """Running centroids of clusters, in the order in which they begin."""
-
-    def __init__(self, width: int, least: float):
-        self.least, self.n = least, 0
-        self.centroids, self.counts = np.zeros((64, width)), np.zeros(64)
-
-    def meet(self, vector: np.ndarray, count: float = 1.0) -> int:
-        """The cluster that a vector of so many faces joins or begins."""
-        like = self.centroids[: self.n] @ vector
-        k = int(like.argmax()) if self.n else -1
-        if k >= 0 and like[k] >= self.least:
-            v = self.centroids[k] * self.counts[k] + vector * count
-            n = np.linalg.norm(v)
-            self.centroids[k], self.counts[k] = (v / n if n > LEAST_NORM else v), self.counts[k] + count
-            return k
-        if self.n == len(self.counts):
-            self.centroids, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.centroids, self.counts))
-        self.centroids[self.n], self.counts[self.n] = vector, count
-        self.n += 1
-        return self.n - 1
-
-
 def cluster_online(faces: DataFrame, least: float = MATCH, group: str | None = None) -> DataFrame:
     """id, scope and cluster (its first face) of every face, met in the order of ids: it joins the most alike running centroid if that is enough (ties to the older one), else begins a cluster.
 
-    The order makes the result, so what is met in order is one task's work. `group` names a column (a library, an event)
-    within which clusters form. Without one, faces first meet those of the same largest component, and then the clusters
-    that have formed meet each other in the same way, in the order of their first faces and each with the weight of its
-    faces; one task gets a row for each cluster, not for each face.
+    The order makes the result, so what is met in order is one task's work, but of large scopes only faces that are like
+    another one (online_clusters). `group` names a column (a library, an event) within which clusters form. Without one,
+    faces first meet those of the same largest component, and then the clusters that have formed meet each other in the
+    same way, in the order of their first faces and each with the weight of its faces. Only vectors of one length meet; a face
+    whose vector is null, empty or holds nulls or no numbers is a cluster of its own.
     """
     largest = F.array_position("embedding", F.array_max("embedding"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        running, ids, first, out = _Running(len(pdf["embedding"].iloc[0]), least), pdf["id"].tolist(), [], []
-        for i, e in zip(ids, pdf["embedding"], strict=True):
-            k = running.meet(np.asarray(e, dtype=float))
-            if k == len(first):
-                first.append(i)
-            out.append(first[k])
-        at = {i: k for k, i in enumerate(first)}
-        tops = [(running.centroids[at[i]], running.counts[at[i]]) if i in at else (None, None) for i in ids]
-        return pd.DataFrame({"id": ids, "scope": pdf["scope"].to_numpy(), "cluster": out, "centroid": [t[0] for t in tops], "faces": [t[1] for t in tops]})
-
-    def merge_(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cluster")
-        running, first, out = _Running(len(pdf["centroid"].iloc[0]), least), [], []
-        for c, v, n in zip(pdf["cluster"], pdf["centroid"], pdf["faces"], strict=True):
-            k = running.meet(np.asarray(v, dtype=float), n)
-            if k == len(first):
-                first.append(c)
-            out.append(first[k])
-        return pd.DataFrame({"cluster": pdf["cluster"], "merged": out})
-
-    scoped = faces.select("id", "embedding", (F.col(group) if group else largest).cast("string").alias("scope"))
-    found = scoped.groupBy("scope").applyInPandas(run, "id long, scope string, cluster long, centroid array<double>, faces double")
+    rows = faces.select("id", F.col("embedding").cast("array<double>").alias("vector"), (F.col(group) if group else largest).cast("string").alias("scope"), _usable("embedding").alias("usable"))
+    able = rows.filter("usable").select(F.concat_ws(":", F.size("vector").cast("string"), "scope").alias("at"), "scope", "id", "vector", F.lit(1.0).alias("faces"))
+    alone = rows.filter(~F.col("usable")).select("id", "scope", F.col("id").alias("cluster"))
+    found = online_clusters.met(able, least)
+    of_face = found.filter("id is not null").select("id", "scope", "cluster")
     if group:
-        return found.select("id", "scope", "cluster")
-    tops = found.filter("centroid is not null").select("cluster", "centroid", "faces")
-    merged = tops.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(merge_, "cluster long, merged long")
-    return found.select("id", "scope", "cluster").join(merged, "cluster").select("id", "scope", F.col("merged").alias("cluster"))
+        return of_face.unionByName(alone)
+    tops = found.filter("id is null").select(F.size("centroid").cast("string").alias("at"), F.lit(None).cast("string").alias("scope"), F.col("cluster").alias("id"), F.col("centroid").alias("vector"), "faces")
+    merged = online_clusters.met(tops, least).filter("id is not null").select(F.col("id").alias("cluster"), F.col("cluster").alias("merged"))
+    return of_face.join(merged, "cluster").select("id", "scope", F.col("merged").alias("cluster")).unionByName(alone)

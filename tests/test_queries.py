@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from compare import plain
 
+from prismlake.operators import online_clusters, people
 from prismlake.plans import queries
 from prismlake.sources.tables import Library
 
@@ -61,6 +62,33 @@ def test_online_clusters(spark, sf_dir):
     assert got == {i: merged[c] for i, c in of.items()} and len(set(got.values())) > 1
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_scopes_are_met_by_blocks(spark, monkeypatch, seed):
+    """Faces that are like nobody don't go through the one task, and clusters are those of meeting all in order."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, 12))
+    x = np.concatenate([rng.normal(size=(300, 12)), centres[rng.integers(0, 40, 150)] + rng.normal(size=(150, 12)) * 0.8, np.eye(1, 12) * np.ones((5, 1))])
+    x = rng.permutation(x / np.linalg.norm(x, axis=1, keepdims=True))
+    for module, name, value in ((online_clusters, "FEW", 20), (online_clusters, "BLOCK", 64)):
+        monkeypatch.setattr(module, name, value)
+    in_order, met = online_clusters.in_order, []
+    monkeypatch.setattr(online_clusters, "in_order", lambda nodes, least: (met.append(nodes.count()), in_order(nodes, least))[1])
+    faces = spark.createDataFrame([(i, v.tolist(), "one") for i, v in enumerate(x)] + [(900, None, "one"), (901, [float("nan")] * 12, "one")], "id long, embedding array<double>, of string")
+    got = {r["id"]: r["cluster"] for r in people.cluster_online(faces, 0.8, "of").collect()}
+    clusters, want = [], {900: 900, 901: 901}
+    for i, v in enumerate(x):
+        likeness, k = max(((float(c[1] @ v), -k) for k, c in enumerate(clusters)), default=(0.0, 0))
+        if likeness >= 0.8:
+            name, c, n = clusters[-k]
+            clusters[-k] = (name, (c * n + v) / np.linalg.norm(c * n + v), n + 1)
+            want[i] = name
+        else:
+            clusters.append((i, v, 1))
+            want[i] = i
+    assert got == want and len(clusters) < 400
+    assert max(met) < len(x)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
