@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 512
+#: Bits of a sieve at most, 8 MB; more ids let more others pass.
+SIEVE_BITS = 1 << 26
 #: What materialize has written and clear has not deleted.
 _written: dict[str, DataFrame] = {}
 #: Set once a session names no shared folder (tests, a laptop).
@@ -82,6 +87,30 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def sieve(ids: DataFrame, rows: int) -> Callable[[Column], Column]:
+    """A test for ids: true for all of `ids` (one column of longs, about `rows` of them), false for nearly all others.
+
+    Tasks get it as a bit for each hash, so long rows that would have to be shuffled to meet `ids` can be told apart where they
+    are read. What has to be exact is joined afterwards.
+    """
+    bits = min(SIEVE_BITS, 1 << max(15, (16 * max(rows, 1) - 1).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    # bitmaps of Spark count from 1 and have 32,768 bits each
+    number = place(F.col(ids.columns[0])) + 1
+    maps = ids.groupBy(F.bitmap_bucket_number(number).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bitmap"))
+    held = np.zeros((bits >> 15, 4096), dtype=np.uint8)
+    for row in maps.toLocalIterator():
+        held[row["bucket"] - 1] = np.frombuffer(row["bitmap"], np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(held.reshape(-1))
+
+    @F.pandas_udf("boolean")
+    def passes(at: pd.Series) -> pd.Series:
+        k = at.to_numpy()
+        return pd.Series((shared.value[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda c: passes(place(c))
+
+
 def split_of(remainder: int, mod: int, column: str = "doc_id") -> Column:
     """True where crc32(id as text) mod `mod` is `remainder`; a null id is on no side, so false."""
     return F.coalesce(id_crc(column) % mod == remainder, F.lit(False))

@@ -11,8 +11,9 @@ longest common prefix reaches DEPTH stand side by side and form a region.
 the full sets. A region of up to PAIRS_A_ROW such pairs for each of its rows, and of REGION_BYTES, is one task's work. The
 classes of all larger regions are joined by prefixes instead: under one order of all shingles, rare ones first, two sets
 of similarity 0.75 share a shingle among the first quarter of the larger and the first seventh of the smaller, and where
-their first common one stands bounds how many they can share. Pairs that meet so are confirmed on the full sets. What
-thousands share (a template) is late in the order, so few pairs meet by it.
+their first common one stands bounds how many they can share. Pairs that meet so are confirmed on the full sets, first those
+of each two components that share most, then those of components that are still apart. What thousands share (a template)
+is late in the order, so few pairs meet by it.
 
 So a link is missed only if no tree has the two documents in one region: with J = 0.75 once in (1 - 0.75**4)**-32, about
 190,000 times, and a component only if that happens to all links that hold it; or if their sketches fall short (SPARE).
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, sieve
 from .components import components
 from .shingles import WORDS, mix, shingle_set
 
@@ -43,6 +44,8 @@ SIGNATURE = TREES * DEPTH
 PAIRS_A_ROW = 64
 #: Candidates of a class that are confirmed before regions are compared in full.
 FIRST_TRIES = 3
+#: Pairs of two components that are confirmed before the others of those that are still apart, and how many times as many each time after.
+PAIR_TRIES, MORE_TRIES = 4, 8
 #: Agreeing components that a pair at the threshold falls short of less than once in ten million times.
 SPARE = 5.5
 REGION_BYTES = 64 << 20
@@ -221,7 +224,7 @@ def _prefixes(percent: int, shared):
 
 
 def _by_prefixes(crowd: DataFrame, percent: int) -> DataFrame:
-    """a, b: all pairs of `crowd` (rep, component, shingles) from different components that can reach the threshold."""
+    """a, b, low, high, n: all pairs of `crowd` (rep, component, shingles) from different components (low, high) that can reach the threshold, and how many prefix shingles they share."""
     counted = crowd.select("shingles").mapInArrow(_occurrences, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     often = np.zeros(BUCKETS, dtype=np.int64)
     often[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
@@ -234,7 +237,31 @@ def _by_prefixes(crowd: DataFrame, percent: int) -> DataFrame:
     met &= (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
     left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     met &= (100 * F.col("x.n") >= percent * F.col("y.n")) & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
-    return x.join(y, met).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    pairs = x.join(y, met).groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    low, high = F.least("x.component", "y.component"), F.greatest("x.component", "y.component")
+    return pairs.agg(F.min(low).alias("low"), F.min(high).alias("high"), F.count(F.lit(1)).alias("n"))
+
+
+def _joined(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: links that join all components that `pairs` (as _by_prefixes has them) can join. Pairs of components that have been joined by then are left out, so a group of near copies is not compared with each of its stragglers in full."""
+    order = Window.partitionBy("low", "high").orderBy(F.desc("n"), "a", "b")
+    left = materialize(pairs.withColumn("k", F.row_number().over(order)), "pairs")
+    upto, links = PAIR_TRIES, None
+    while True:
+        now = left.filter(F.col("k") <= upto).select("a", "b")
+        # of all sets, only those of these pairs (and of a few others) are shuffled
+        asked = sieve(now.select(F.explode(F.array("a", "b")).alias("rep")), 2 * now.count())
+        found = materialize(_confirmed(now, sets.filter(asked(F.col("rep"))), percent), "links")
+        links = found if links is None else links.unionByName(found)
+        rest = left.filter(F.col("k") > upto)
+        if rest.isEmpty():
+            return links
+        tried = left.select(F.col("a").alias("u"), F.col("b").alias("v"), "low", "high")
+        whole = components(found.join(tried, ["u", "v"]).select(F.col("low").alias("u"), F.col("high").alias("v")))
+        for side in ("low", "high"):
+            moved = whole.select(F.col("node").alias(side), F.col("component").alias("now"))
+            rest = rest.join(moved, side, "left").withColumn(side, F.coalesce("now", side)).drop("now")
+        left, upto = materialize(rest.filter("low != high"), "pairs"), upto * MORE_TRIES
 
 
 def _links(pairs: list) -> pa.RecordBatch:
@@ -262,8 +289,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, pair
     regions = materialize(planted.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "key long, deeper long, rep long, first long, before long"), "regions")
 
     # the sets of the classes that have company, from their texts
-    met = regions.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    # (and of a few others, which the sieve lets pass and nothing asks for)
+    met = sieve(regions.select("rep"), regions.count())
+    texts = docs.filter(F.col("doc_id").isNotNull() & met(F.col("doc_id"))).dropDuplicates(["doc_id", "text"])
     sets = materialize(texts.mapInArrow(lambda b: _sets(b, words), "rep long, n long, shingles binary, sketch binary"), "sets")
 
     tries = regions.select("rep", F.explode(F.array("first", "before")).alias("other")).filter("rep != other")
@@ -284,7 +312,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, pair
     if not crowded.isEmpty():
         crowd = rows.join(crowded, "key", "left_semi").select("rep", "component").distinct()
         crowd = materialize(crowd.join(sets, "rep").select("rep", "component", "shingles"), "crowd")
-        more = more.unionByName(_confirmed(_by_prefixes(crowd, percent), sets, percent))
+        more = more.unionByName(_joined(_by_prefixes(crowd, percent), sets, percent))
     of_rep = components(first.unionByName(more)).withColumnRenamed("node", "rep")
 
     of_class = classes.select("low", "high", "rep").join(of_rep, "rep", "left").select("low", "high", F.coalesce("component", "rep").alias("class_component"))

@@ -712,6 +712,38 @@ def test_links_in_a_crowd_of_one_template(written):
     assert got == want
 
 
+def test_a_group_is_not_compared_with_each_of_its_stragglers_in_full(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    group, near, far = range(60), range(100, 130), range(200, 205)
+    own = lambda i, n: np.concatenate([base[:n], np.uint64(1 << 63) + np.uint64(100 * i) + np.arange(62 - n, dtype=np.uint64)])
+    sets = {i: np.sort(own(i, 40 if i in far else 60)) for i in (*group, *near, *far)}
+    rows = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "rep long, shingles binary")
+    # the group is one component, of which only a few are near one more
+    one = {130: np.sort(np.concatenate([sets[7][:56], own(130, 0)[:6]]))}
+    rows = rows.unionByName(spark.createDataFrame([(i, s.tobytes()) for i, s in one.items()], "rep long, shingles binary"))
+    sets |= one
+    pairs = spark.createDataFrame([(g, i, 0, i, 1) for g in group for i in (*near, *far, 130)], "a long, b long, low long, high long, n long")
+    seen, confirmed = [], minhash_forest._confirmed
+    monkeypatch.setattr(minhash_forest, "_confirmed", lambda p, s, percent: (seen.append(p.count()), confirmed(p, s, percent))[1])
+    links = {(r["u"], r["v"]) for r in minhash_forest._joined(pairs, rows, 75).collect()}
+    assert all(minhash_forest.linked(sets[a], sets[b], 75) for a, b in links)
+    want = {i for i in sets if any(g != i and minhash_forest.linked(sets[g], sets[i], 75) for g in group)}
+    assert {b for _, b in links} == want - set(group)
+    # far ones with all of the group, near ones with a few
+    assert len(group) * len(far) < sum(seen) < len(group) * (len(far) + 1) + 4 * len(near) + 1
+
+
+def test_sieve(spark, monkeypatch):
+    ids = spark.range(-1000, 200_000, 7).toDF("doc_id")
+    for bits, most in ((common.SIEVE_BITS, 0.1), (1 << 16, 1.0)):
+        monkeypatch.setattr(common, "SIEVE_BITS", bits)
+        passes = common.sieve(ids, ids.count())
+        assert ids.filter(~passes(F.col("doc_id"))).isEmpty()
+        assert spark.range(300_000, 310_000).filter(passes(F.col("id"))).count() <= 10_000 * most
+    assert spark.range(1000).filter(common.sieve(ids.limit(0), 0)(F.col("id"))).isEmpty()
+
+
 def test_regions_that_tasks_share_are_whole():
     rows = [(k, d, rep) for k, n in ((1, 3), (2, 1), (3, 2), (4, 1), (5, 2)) for d, rep in enumerate(range(10 * k, 10 * k + n))]
     want = {(k, rep) for k, _, rep in rows if k in (1, 3, 5)}
