@@ -40,11 +40,15 @@ def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near copies the document of the smallest id. If several rows have it, the least of them stays, by text, then language, source and n_chars."""
     common.small_batches(spark)
     found = minhash_forest.near_duplicates(docs)
-    kept = common.materialize(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
-    rows = lambda which: docs.select(*COLUMNS).join(kept.filter(which).select("doc_id"), "doc_id", "left_semi")
+    kept = common.materialize(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count_if("kept").alias("rows")), "kept")
+    # most ids stay as they are; only the rows of the others, and of what the sieve can't tell from them, are shuffled
+    other = kept.filter("rows != 1").select("doc_id")
+    of_other = common.sieve(other, other.count())(F.col("doc_id"))
+    there = docs.filter("doc_id is not null").select(*COLUMNS)
+    rows = lambda which: there.filter(of_other).join(kept.filter(which).select("doc_id"), "doc_id", "left_semi")
     order = ["text", "lang", "source", "n_chars"]
     least = rows("rows > 1").groupBy("doc_id").agg(F.min(F.struct(*order)).alias("row"))
-    out = [rows("rows = 1").select(*COLUMNS), docs.filter("doc_id is null").select(*COLUMNS)]
+    out = [there.filter(~of_other), rows("rows = 1").select(*COLUMNS), docs.filter("doc_id is null").select(*COLUMNS)]
     if not kept.filter("rows > 1").isEmpty():
         out.append(least.select("doc_id", "row.*").select(*COLUMNS))
     return reduce(DataFrame.unionByName, out)
