@@ -7,13 +7,13 @@ longest common prefix reaches DEPTH stand side by side and form a region.
 1. Documents of equal sets are one class, and its smallest id stands for it. Classes go through the forest.
 2. In a region each class takes as candidates the region's first class and its neighbour in the order. Of all trees'
    candidates, those that most trees agree on are confirmed on the full sets, which joins most near copies.
-3. In regions whose classes are not all joined by then, every pair of classes from different components is confirmed on
-the full sets. A region of up to PAIRS_A_ROW such pairs for each of its rows, and of REGION_BYTES, is one task's work. The
+3. In regions whose classes are not all joined by then, every pair of classes from different components is looked at by
+sizes and sketches. A region of up to PAIRS_A_ROW such pairs for each of its rows, and of REGION_BYTES, is one task's work. The
 classes of all larger regions are joined by prefixes instead: under one order of all shingles, rare ones first, two sets
 of similarity 0.75 share a shingle among the first quarter of the larger and the first seventh of the smaller, and where
-their first common one stands bounds how many they can share. Pairs that meet so are confirmed on the full sets, first those
-of each two components that share most, then those of components that are still apart. What thousands share (a template)
-is late in the order, so few pairs meet by it.
+their first common one stands bounds how many they can share. What thousands share (a template) is late in the order, so
+few pairs meet by it. Pairs that meet either way are confirmed on the full sets, first those of each two components that
+share most, then those of components that are still apart.
 
 So a link is missed only if no tree has the two documents in one region: with J = 0.75 once in (1 - 0.75**4)**-32, about
 190,000 times, and a component only if that happens to all links that hold it; or if their sketches fall short (SPARE).
@@ -49,6 +49,8 @@ PAIR_TRIES, MORE_TRIES = 4, 8
 #: Agreeing components that a pair at the threshold falls short of less than once in ten million times.
 SPARE = 5.5
 REGION_BYTES = 64 << 20
+#: Bits of a set's parities, which stand behind its sketch.
+PARITIES = 1024
 #: Shingles are ordered by how often their bucket occurs; any number of buckets gives the same links.
 BUCKETS = 1 << 18
 
@@ -156,21 +158,67 @@ def _confirm(percent: int):
     return run
 
 
+def _least(percent: int) -> float:
+    """So many components of their sketches two sets of the threshold agree in, all but once in ten million times."""
+    j = percent / 100
+    return SIGNATURE * j - SPARE * np.sqrt(SIGNATURE * j * (1 - j))
+
+
+def _sketch(shingles: np.ndarray) -> bytes:
+    """The lowest bytes of a set's minima, then for each of PARITIES buckets whether it has an odd number of the shingles."""
+    odd = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return (signature(shingles) & np.uint32(0xFF)).astype(np.uint8).tobytes() + np.packbits(odd.astype(bool)).tobytes()
+
+
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, SIGNATURE + PARITIES // 8)
+
+
+def _open(na, nb, sa: np.ndarray, sb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of sets may reach the threshold by their sizes and sketches, and in how many components these agree.
+
+    Buckets of unlike parity are at most as many as the shingles that only one of two sets has, so no link falls short of that bound.
+    """
+    same = (sa[:, :SIGNATURE] == sb[..., :SIGNATURE]).sum(axis=1)
+    unlike = np.bitwise_count(sa[:, SIGNATURE:] ^ sb[..., SIGNATURE:]).sum(axis=1, dtype=np.int64)
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (same >= _least(percent)) & ((100 + percent) * unlike <= (100 - percent) * (na + nb)), same
+
+
+def _agree(percent: int):
+    """Of pairs (a, b, na, nb, sa, sb) those whose sizes and sketches leave it open whether they are linked."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb = (c.to_numpy() for c in batch.columns[:4])
+            sa, sb = (_sketches(c.to_pylist()) for c in batch.columns[4:])
+            keep, _ = _open(na, nb, sa, sb, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b)], names=["a", "b"])
+
+    return run
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs a, b that _agree() leaves open; sketches travel for it, not sets."""
+    joined = pairs.join(sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    joined = joined.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_agree(percent), "a long, b long")
+
+
 def _complete(percent: int):
-    """Links between classes of different components, from whole regions in order: key, rep, component, shingles, sketch."""
-
-    def links(rows: list):
-        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-        sketch = np.stack([np.frombuffer(r[4], np.uint8) for r in rows])
-        comp, n = np.array([r[2] for r in rows]), np.array([len(s) for s in sets])
-        j = percent / 100
-        least = SIGNATURE * j - SPARE * np.sqrt(SIGNATURE * j * (1 - j))
+    """a, b, low, high, n: pairs of classes of different components (low, high) that sizes and sketches leave open, and in how many components these agree; from whole regions in order: key, rep, component, n, sketch."""
+
+    def pairs(rows: list):
+        rep, comp, n = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+        sketch = _sketches([r[4] for r in rows])
         for k in range(1, len(rows)):
-            open_ = np.flatnonzero((comp[:k] != comp[k]) & (100 * np.minimum(n[:k], n[k]) >= percent * np.maximum(n[:k], n[k])))
-            for i in open_[(sketch[open_] == sketch[k]).sum(axis=1) >= least]:
-                if comp[i] != comp[k] and linked(sets[i], sets[k], percent):
-                    yield int(rows[i][1]), int(rows[k][1])
-                    comp[comp == comp[k]] = comp[i]
+            open_ = np.flatnonzero(comp[:k] != comp[k])
+            keep, same = _open(n[open_], n[k], sketch[open_], sketch[k], percent)
+            open_, same = open_[keep], same[keep]
+            if len(open_):
+                yield np.stack([np.minimum(rep[open_], rep[k]), np.maximum(rep[open_], rep[k]), np.minimum(comp[open_], comp[k]), np.maximum(comp[open_], comp[k]), same])
+
+    def told(found: list):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.concatenate(found, axis=1)], names=["a", "b", "low", "high", "n"])
 
     def run(batches):
         rows: list = []
@@ -178,13 +226,13 @@ def _complete(percent: int):
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if rows and row[0] != rows[0][0]:
-                    out += links(rows)
+                    out += pairs(rows)
                     rows = []
                 rows.append(row)
             if out:
-                yield _links(out)
-        if rows:
-            yield _links([*links(rows)])
+                yield told(out)
+        if rows and (out := [*pairs(rows)]):
+            yield told(out)
 
     return run
 
@@ -249,9 +297,7 @@ def _joined(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     upto, links = PAIR_TRIES, None
     while True:
         now = left.filter(F.col("k") <= upto).select("a", "b")
-        # of all sets, only those of these pairs (and of a few others) are shuffled
-        asked = sieve(now.select(F.explode(F.array("a", "b")).alias("rep")), 2 * now.count())
-        found = materialize(_confirmed(now, sets.filter(asked(F.col("rep"))), percent), "links")
+        found = materialize(_confirmed(now, _of_pairs(now, sets), percent), "links")
         links = found if links is None else links.unionByName(found)
         rest = left.filter(F.col("k") > upto)
         if rest.isEmpty():
@@ -264,8 +310,14 @@ def _joined(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         left, upto = materialize(rest.filter("low != high"), "pairs"), upto * MORE_TRIES
 
 
-def _links(pairs: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+def _only(sets: DataFrame, reps: DataFrame, rows: int) -> DataFrame:
+    """Of all sets, those of `reps` (one column, about `rows` of them) and of a few others, so that no more are shuffled."""
+    asked = sieve(reps, rows)
+    return sets.filter(asked(F.col("rep")))
+
+
+def _of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return _only(sets, pairs.select(F.explode(F.array("a", "b")).alias("rep")), 2 * pairs.count())
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -297,7 +349,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, pair
     tries = regions.select("rep", F.explode(F.array("first", "before")).alias("other")).filter("rep != other")
     tries = tries.groupBy(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     best = tries.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).filter(F.col("k") <= FIRST_TRIES)
-    first = materialize(_confirmed(best.select("a", "b"), sets, percent), "links")
+    likely = materialize(_alike(best.select("a", "b"), sets, percent), "likely")
+    first = materialize(_confirmed(likely, _of_pairs(likely, sets), percent), "links")
 
     labelled = regions.select("key", "rep").join(components(first).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = materialize(labelled, "labelled")
@@ -307,12 +360,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, pair
     sizes = parts_of.groupBy("key").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("same"), F.sum("bytes").alias("bytes"))
     many = (F.col("rows") * F.col("rows") - F.col("same") > 2 * pairs_a_row * F.col("rows")) | (F.col("bytes") > REGION_BYTES)
     crowded = materialize(sizes.filter(many).select("key"), "crowded")
-    small = rows.join(crowded, "key", "left_anti").select("key", "rep", "component").join(sets, "rep").select("key", "rep", "component", "shingles", "sketch")
-    more = materialize(small.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_complete(percent), "u long, v long"), "links")
+    small = rows.join(crowded, "key", "left_anti").select("key", "rep", "component").join(sets.select("rep", "n", "sketch"), "rep").select("key", "rep", "component", "n", "sketch")
+    pairs = small.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_complete(percent), "a long, b long, low long, high long, n long")
     if not crowded.isEmpty():
-        crowd = rows.join(crowded, "key", "left_semi").select("rep", "component").distinct()
-        crowd = materialize(crowd.join(sets, "rep").select("rep", "component", "shingles"), "crowd")
-        more = more.unionByName(_joined(_by_prefixes(crowd, percent), sets, percent))
+        crowd = materialize(rows.join(crowded, "key", "left_semi").select("rep", "component").distinct(), "crowded")
+        crowd = materialize(crowd.join(_only(sets, crowd.select("rep"), crowd.count()), "rep").select("rep", "component", "shingles"), "crowd")
+        pairs = pairs.unionByName(_by_prefixes(crowd, percent))
+    # trees and prefixes meet the same pairs again
+    pairs = pairs.groupBy("a", "b").agg(F.min("low").alias("low"), F.min("high").alias("high"), F.max("n").alias("n"))
+    more = _joined(pairs, sets, percent)
     of_rep = components(first.unionByName(more)).withColumnRenamed("node", "rep")
 
     of_class = classes.select("low", "high", "rep").join(of_rep, "rep", "left").select("low", "high", F.coalesce("component", "rep").alias("class_component"))
@@ -326,5 +382,5 @@ def _sets(batches, words: int):
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             found = [shingle_set(t, words) for t in batch.column(1)[at : at + 512].to_pylist()]
-            sketch = [(signature(s) & np.uint32(0xFF)).astype(np.uint8).tobytes() for s in found]
+            sketch = [_sketch(s) for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512], pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(sketch, pa.binary())], names=["rep", "n", "shingles", "sketch"])

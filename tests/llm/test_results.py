@@ -734,6 +734,38 @@ def test_a_group_is_not_compared_with_each_of_its_stragglers_in_full(spark, monk
     assert len(group) * len(far) < sum(seen) < len(group) * (len(far) + 1) + 4 * len(near) + 1
 
 
+def test_sets_travel_only_for_pairs_that_sketches_leave_open(written, monkeypatch):
+    rng = np.random.default_rng(23)
+    base = [f"w{k}" for k in range(300)]
+    # one run of new words in each text: likeness about 0.82 to the base and 0.67 to each other, or about 0.6 and 0.3
+    near, far = ([[*base[:at], *(f"{name}{at}x{k}" for k in range(n)), *base[at + n :]] for at in range(5, 290 - n, n + 3)] for name, n in (("n", 26), ("f", 70)))
+    texts = {i: " ".join(t) for i, t in enumerate([base, *near, *far])}
+    texts |= {100 + i: " ".join(f"q{w}" for w in rng.integers(0, 10_000, 50)) for i in range(20)}
+    seen, confirmed = [], minhash_forest._confirmed
+    monkeypatch.setattr(minhash_forest, "_confirmed", lambda p, s, percent: (seen.extend((r["a"], r["b"]) for r in p.collect()), confirmed(p, s, percent))[1])
+    got = {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(written(list(texts.items()))).collect()}
+    sets = {i: shingles.shingle_set(t) for i, t in texts.items()}
+    link = lambda a, b: minhash_forest.linked(sets[a], sets[b], 75)
+    assert all(link(0, i) for i in range(1, 1 + len(near))) and not any(link(0, i) for i in texts if i > len(near))
+    assert got == {i: 0 if i <= len(near) else i for i in texts}
+    assert seen and all(a <= len(near) and b <= len(near) for a, b in seen)
+
+
+def test_sketches_leave_every_link_open():
+    rng = np.random.default_rng(29)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    for n in (1, 7, 70, 700, 7000):
+        for j in (0.75, 0.8, 1.0):
+            own = int(n * (1 - j) / (1 + j))
+            for a_own, b_own in ((own, own), (2 * own, 0)):
+                both = draw(n - own)
+                a, b = (np.unique(np.concatenate([both, draw(k)])) for k in (a_own, b_own))
+                rows = [(1, rep, rep, len(s), minhash_forest._sketch(s)) for rep, s in ((5, b), (3, a))]
+                batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["key", "rep", "component", "n", "sketch"])
+                pairs = [tuple(r.values())[:4] for x in minhash_forest._complete(75)(iter([batch])) for r in x.to_pylist()]
+                assert minhash_forest.linked(a, b, 75) and pairs == [(3, 5, 3, 5)]
+
+
 def test_sieve(spark, monkeypatch):
     ids = spark.range(-1000, 200_000, 7).toDF("doc_id")
     for bits, most in ((common.SIEVE_BITS, 0.1), (1 << 16, 1.0)):
