@@ -100,6 +100,42 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with its inverse, of 64-bit numbers: their places stand in their lowest bits, so that numbers are sorted and no index."""
+    mask = np.uint64((1 << len(hashes).bit_length()) - 1)
+    order = np.sort((hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64))
+    order &= mask
+    order = order.astype(np.int64)
+    rising = hashes[order]
+    if (rising[1:] < rising[:-1]).any():  # some differ in these bits alone
+        return np.unique(hashes, return_inverse=True)
+    new = np.ones(len(rising), dtype=bool)
+    new[1:] = rising[1:] != rising[:-1]
+    at = np.empty(len(rising), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    return rising[new], at
+
+
+def _distinct_pairs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of numbers under 2**32 in order, their halves apart, and for each of the given ones which it is."""
+    high, low, n = high.astype(np.uint64), low.astype(np.uint64), len(high)
+    most = lambda x: int(x.max()).bit_length() if n else 0
+    place, lower = n.bit_length(), most(low)
+    if place + lower + most(high) > 64:
+        keys, at = np.unique((high << np.uint64(32)) | low, return_inverse=True)
+        return (keys >> np.uint64(32)).astype(np.int64), keys & _LOW, at
+    keys = (((high << np.uint64(lower)) | low) << np.uint64(place)) | np.arange(n, dtype=np.uint64)
+    keys.sort()
+    order = (keys & np.uint64((1 << place) - 1)).astype(np.int64)
+    keys >>= np.uint64(place)
+    new = np.ones(n, dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    at = np.empty(n, dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    keys = keys[new]
+    return (keys >> np.uint64(lower)).astype(np.int64), keys & np.uint64((1 << lower) - 1), at
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for each start as many as its size."""
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
@@ -179,7 +215,7 @@ class Block:
     def seal(self) -> None:
         self.sizes = np.array([len(h) for h in self.hashes], dtype=np.int64)
         self.tokens = np.concatenate(self.hashes)
-        self.words, self.at = np.unique(self.tokens, return_inverse=True)
+        self.words, self.at = _distinct(self.tokens)
         # another scan of other documents has other blocks, whose answers are then missing
         self.key = xxhash.xxh3_64_intdigest(self.words.tobytes() + self.sizes.tobytes(), seed=(self.task << 16) + self.number) >> 1
 
@@ -223,14 +259,14 @@ class Contexts:
     buckets: np.ndarray
 
 
-def contexts(tokens: np.ndarray, sizes: np.ndarray, trains: np.ndarray, frequent: Words, buckets: int, depth: int) -> Contexts:
-    """The contexts of documents that follow each other in `tokens`; `trains` says which documents count."""
+def contexts(tokens: np.ndarray, sizes: np.ndarray, trains: np.ndarray, frequent: Words, buckets: int, depth: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> Contexts:
+    """The contexts of documents that follow each other in `tokens`; `trains` says which documents count; `known`: the distinct words, rising, and each token's place among them, if they are known."""
     n = len(tokens)
     place = np.arange(n) - np.repeat(_firsts(sizes)[:-1], sizes)
     weight = np.repeat(trains, sizes).astype(np.float64)
     at = np.flatnonzero(place >= 1)
     # words as numbers that rise with their codes
-    words, local = np.unique(tokens, return_inverse=True)
+    words, local = _distinct(tokens) if known is None else known
     codes = frequent.code(words)
     by_code = np.argsort(codes)
     rank = np.empty(len(words), dtype=np.uint64)
@@ -248,15 +284,14 @@ def contexts(tokens: np.ndarray, sizes: np.ndarray, trains: np.ndarray, frequent
     rank[order] = np.arange(len(order))
     here = rank[_firsts(parts)[:-1][of_v] + part]
 
-    keys, token = np.unique((of_v.astype(np.uint64) << np.uint64(32)) | local[at], return_inverse=True)
-    counts = np.bincount(token, weights=weight[at], minlength=len(keys)).astype(np.int64)
-    of_key = (keys >> np.uint64(32)).astype(np.int64)
+    of_key, key_token, token = _distinct_pairs(of_v, local[at])
+    counts = np.bincount(token, weights=weight[at], minlength=len(of_key)).astype(np.int64)
     follows = np.bincount(of_key, minlength=len(v))
     first = _firsts(follows)[:-1]
     which = token - first[of_v]
     v_of = np.repeat(np.arange(len(v)), parts)[order]
     whole = _ranges(first[v_of], follows[v_of])
-    level = Level(np.ones(1, np.int64) * len(order), names[order], follows[v_of], codes[keys & _LOW][whole], counts[whole])
+    level = Level(np.ones(1, np.int64) * len(order), names[order], follows[v_of], codes[key_token][whole], counts[whole])
     levels, context, tokens_of = [level], [np.full(n, -1)], [np.full(n, -1)]
     starts = _firsts(level.follows)[:-1]
     context[0][at], tokens_of[0][at] = here, starts[here] + which
@@ -265,12 +300,11 @@ def contexts(tokens: np.ndarray, sizes: np.ndarray, trains: np.ndarray, frequent
         deep = np.flatnonzero(place[at] >= k)
         at, here, which = at[deep], here[deep], which[deep]
         parents = len(levels[-1].names)
-        keys, now = np.unique((here.astype(np.uint64) << np.uint64(32)) | local[at - k], return_inverse=True)
-        children = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=parents)
-        grams, token = np.unique((now.astype(np.uint64) << np.uint64(32)) | which.astype(np.uint64), return_inverse=True)
-        of_gram = (grams >> np.uint64(32)).astype(np.int64)
-        follows = np.bincount(of_gram, minlength=len(keys))
-        levels.append(Level(children, codes[keys & _LOW], follows, grams & _LOW, np.bincount(token, weights=weight[at], minlength=len(grams)).astype(np.int64)))
+        of_context, word, now = _distinct_pairs(here, local[at - k])
+        children = np.bincount(of_context, minlength=parents)
+        of_gram, gram, token = _distinct_pairs(now, which)
+        follows = np.bincount(of_gram, minlength=len(of_context))
+        levels.append(Level(children, codes[word], follows, gram, np.bincount(token, weights=weight[at], minlength=len(gram)).astype(np.int64)))
         here, which = now, token - _firsts(follows)[:-1][now]
         for target, values in ((context, now), (tokens_of, token)):
             target.append(np.full(n, -1))
@@ -313,7 +347,7 @@ def _number_rare(asked: list[list[Level]], first: int) -> None:
     """Replace, in what a bucket is asked, the codes of rare words by numbers from `first`, so that codes have 32 bits."""
     lists = [q[0].which for q in asked] + [level.names for q in asked for level in q[1:]]
     rare = [x >= _RARE for x in lists]
-    numbers = np.unique(np.concatenate([x[r] for x, r in zip(lists, rare, strict=True)]), return_inverse=True)[1].astype(np.uint64) + np.uint64(first)
+    numbers = _distinct(np.concatenate([x[r] for x, r in zip(lists, rare, strict=True)]))[1].astype(np.uint64) + np.uint64(first)
     at = 0
     for x, r in zip(lists, rare, strict=True):
         k = int(r.sum())
@@ -333,10 +367,9 @@ def answers(payloads: list[bytes], frequent: Words, depth: int = DEPTH, divergen
     with np.errstate(divide="ignore", invalid="ignore"):
         for k in range(depth):
             if k == 0:
-                keys = np.concatenate([q[0].names for q in asked])
+                own, at = _distinct(np.concatenate([q[0].names for q in asked]))
             else:
-                keys = np.concatenate([(np.repeat(context[-1][i], q[k].children).astype(np.uint64) << np.uint64(32)) | q[k].names for i, q in enumerate(asked)])
-            own, at = np.unique(keys, return_inverse=True)
+                own, _, at = _distinct_pairs(np.concatenate([np.repeat(context[-1][i], q[k].children) for i, q in enumerate(asked)]), np.concatenate([q[k].names for q in asked]))
             context.append(np.split(at, np.cumsum([len(q[k].names) for q in asked])[:-1]))
             sub = []
             for i, q in enumerate(asked):
@@ -347,11 +380,9 @@ def answers(payloads: list[bytes], frequent: Words, depth: int = DEPTH, divergen
                     first = _firsts(q[k - 1].follows)[:-1]
                     parent = np.repeat(np.repeat(np.arange(len(q[k].children)), q[k].children), q[k].follows)
                     sub.append(gram[-1][i][first[parent] + q[k].which])
-            grams = np.concatenate([(np.repeat(context[k][i], q[k].follows).astype(np.uint64) << np.uint64(32)) | sub[i].astype(np.uint64) for i, q in enumerate(asked)])
-            uniq, at = np.unique(grams, return_inverse=True)
+            of, below, at = _distinct_pairs(np.concatenate([np.repeat(context[k][i], q[k].follows) for i, q in enumerate(asked)]), np.concatenate(sub))
             gram.append(np.split(at, np.cumsum([len(q[k].which) for q in asked])[:-1]))
-            n = np.bincount(at, weights=np.concatenate([q[k].counts for q in asked]), minlength=len(uniq))
-            of, below = (uniq >> np.uint64(32)).astype(np.int64), uniq & _LOW
+            n = np.bincount(at, weights=np.concatenate([q[k].counts for q in asked]), minlength=len(of))
             every = np.bincount(of, weights=n, minlength=len(own))
             distinct = np.bincount(of, weights=n > 0, minlength=len(own))
             if k == 0:
@@ -368,7 +399,7 @@ def answers(payloads: list[bytes], frequent: Words, depth: int = DEPTH, divergen
             ns.append(n)
             loo.append(left)
             tests.append(test >= divergence)
-            parents.append((own >> np.uint64(32)).astype(np.int64) if k else None)
+            parents.append(own if k else None)
     for k in range(depth - 1, 0, -1):
         tests[k - 1][parents[k][tests[k]]] = True
     out = []
@@ -488,7 +519,7 @@ def score(docs: DataFrame, train: tuple[int, int], depth: int = DEPTH, divergenc
         for bucket, rows in _sorted_groups(batches):
             parts = [parts_of(r[2]) for r in rows]
             words = [_unpack_rising(p[0]) for p in parts]
-            known, at = np.unique(np.concatenate(words), return_inverse=True)
+            known, at = _distinct(np.concatenate(words))
             counts = np.bincount(at, weights=np.concatenate([unpack(p[1], "<u8") for p in parts]).astype(np.float64)).astype("<u8")
             for row, mine in zip(rows, np.split(at, np.cumsum([len(w) for w in words])[:-1]), strict=True):
                 yield _row(_NAMES, _KINDS, [(row[0], bucket, pack(counts[mine]), None, None)])
@@ -509,7 +540,7 @@ def score(docs: DataFrame, train: tuple[int, int], depth: int = DEPTH, divergenc
     def ask(batches):
         for block in read_blocks(batches):
             weights = np.array([trains(d) for d in block.ids])
-            rows = [(block.key, bucket, payload, None, None) for bucket, payload in questions(contexts(block.tokens, block.sizes, weights, shared.value, context_buckets, depth))]
+            rows = [(block.key, bucket, payload, None, None) for bucket, payload in questions(contexts(block.tokens, block.sizes, weights, shared.value, context_buckets, depth, (block.words, block.at)))]
             for at in range(0, len(rows), 64):
                 yield _row(_NAMES, _KINDS, rows[at : at + 64])
 
@@ -541,7 +572,7 @@ def score(docs: DataFrame, train: tuple[int, int], depth: int = DEPTH, divergenc
             if len(c) != len(words):
                 raise RuntimeError(f"block {key} asked for {len(words)} words and has {len(c)}")
             sizes = sizes.astype(np.int64)
-            found = contexts(words[at], sizes, np.zeros(len(sizes)), shared.value, context_buckets, depth)
+            found = contexts(words[at], sizes, np.zeros(len(sizes)), shared.value, context_buckets, depth, (words, at.astype(np.int64)))
             got = read_answers([r[2] for r in rows if buckets <= r[1] < DOCUMENTS], depth)
             if any(len(g[0]) != len(x.names) or len(g[2]) != len(x.which) for g, x in zip(got, found.levels, strict=True)):
                 raise RuntimeError(f"answers about the contexts of block {key} are missing")

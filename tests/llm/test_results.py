@@ -766,6 +766,30 @@ def test_sketches_leave_every_link_open():
                 assert minhash_forest.linked(a, b, 75) and pairs == [(3, 5, 3, 5)]
 
 
+def test_suffix_tree_sorts_numbers_and_no_index(monkeypatch):
+    rng = np.random.default_rng(31)
+    unique = np.unique
+    same = lambda got, want: all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    top = np.uint64(1 << 40)
+    for hashes in (rng.integers(0, 1 << 64, 5000, dtype=np.uint64)[rng.integers(0, 5000, 20_000)], np.array([5, 3, 5, 4, 3], np.uint64) + top, np.zeros(0, np.uint64)):
+        assert same(suffix_tree._distinct(hashes), unique(hashes, return_inverse=True))
+    for most_high, most_low, n in ((1000, 300, 9000), (1, 1, 5), (1 << 32, 1 << 32, 3000), (9, 9, 0)):
+        high, low = (rng.integers(0, most, n, dtype=np.uint64) for most in (most_high, most_low))
+        keys, at = unique((high << np.uint64(32)) | low, return_inverse=True)
+        assert same(suffix_tree._distinct_pairs(high, low), (keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), at))
+    # a block's words are told apart once, and what follows them without an index of all positions
+    sorts = []
+    monkeypatch.setattr(suffix_tree.np, "unique", lambda *a, **b: (sorts.append(len(a[0])), unique(*a, **b))[1])
+    tokens, sizes = shingles.mix(rng.integers(0, 400, 6000).astype(np.uint64)), np.full(60, 100)
+    hashes, counts = unique(tokens, return_counts=True)
+    words = suffix_tree.Words(hashes[:50], counts[:50].astype(float), 6000, len(hashes))
+    asked = [payload for _, payload in suffix_tree.questions(suffix_tree.contexts(tokens, sizes, np.ones(60), words, 1, 2))]
+    known = unique(tokens, return_inverse=True)
+    assert asked == [payload for _, payload in suffix_tree.questions(suffix_tree.contexts(tokens, sizes, np.ones(60), words, 1, 2, known))]
+    suffix_tree.answers(asked, words)
+    assert not sorts
+
+
 def test_sieve(spark, monkeypatch):
     ids = spark.range(-1000, 200_000, 7).toDF("doc_id")
     for bits, most in ((common.SIEVE_BITS, 0.1), (1 << 16, 1.0)):
