@@ -20,7 +20,8 @@ token, so that a context and all it ends with meet in one bucket. A word that ta
 word before it; what follows the word alone goes to each of its parts. Buckets count, test, and answer each block what it
 asked, and blocks are scored from the answers. No task holds more than a bucket or a block, and no states are broadcast;
 buckets get the counts of those words that make up FREQUENT of all tokens (so at most 1 / FREQUENT words), and use
-FREQUENT as the count of the others in the test of one-word contexts, which makes it stricter, never laxer.
+FREQUENT as the count of the others in the test of one-word contexts, which makes it stricter, never laxer. What is held for
+each position of a block are numbers of 32 bits, and nothing of a block that is done stays while the next one is read.
 
 Words are known by 64-bit hashes. Next to a known word, a frequent one is named by its place in the list of the frequent words
 (the most frequent first), any other by 63 bits of its hash.
@@ -53,6 +54,8 @@ MOST_TOKENS, TOKENS_A_BUCKET, BYTES_A_BUCKET = 1_000_000, 500_000, 4 << 20
 TOKENS_A_PART = 2 * TOKENS_A_BUCKET
 FREQUENT = 1e-6
 END = np.uint64(0x243F6A8885A308D3)
+#: Positions of a block that are scored at a time.
+POSITIONS = 1 << 17
 #: The byte before a word, and after it.
 EDGE = 32
 #: The bucket of rows that are no answers: after all others.
@@ -100,40 +103,54 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _groups(order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """For each place which of the sorted groups it is in; `order`: places as sorted, `new`: where groups begin."""
+    number = np.cumsum(new, dtype=np.uint32)
+    number -= np.uint32(1)
+    at = np.empty(len(order), dtype=np.uint32)
+    at[order] = number
+    return at
+
+
 def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """np.unique with its inverse, of 64-bit numbers: their places stand in their lowest bits, so that numbers are sorted and no index."""
     mask = np.uint64((1 << len(hashes).bit_length()) - 1)
-    order = np.sort((hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64))
-    order &= mask
-    order = order.astype(np.int64)
+    keys = hashes & ~mask
+    keys |= np.arange(len(hashes), dtype=np.uint32)
+    keys.sort()
+    keys &= mask
+    order = keys.astype(np.uint32)
+    del keys
     rising = hashes[order]
     if (rising[1:] < rising[:-1]).any():  # some differ in these bits alone
         return np.unique(hashes, return_inverse=True)
     new = np.ones(len(rising), dtype=bool)
     new[1:] = rising[1:] != rising[:-1]
-    at = np.empty(len(rising), dtype=np.int64)
-    at[order] = np.cumsum(new) - 1
-    return rising[new], at
+    rising = rising[new]
+    return rising, _groups(order, new)
 
 
 def _distinct_pairs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pairs of numbers under 2**32 in order, their halves apart, and for each of the given ones which it is."""
-    high, low, n = high.astype(np.uint64), low.astype(np.uint64), len(high)
+    n = len(high)
     most = lambda x: int(x.max()).bit_length() if n else 0
     place, lower = n.bit_length(), most(low)
     if place + lower + most(high) > 64:
-        keys, at = np.unique((high << np.uint64(32)) | low, return_inverse=True)
-        return (keys >> np.uint64(32)).astype(np.int64), keys & _LOW, at
-    keys = (((high << np.uint64(lower)) | low) << np.uint64(place)) | np.arange(n, dtype=np.uint64)
+        keys, at = np.unique((high.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64), return_inverse=True)
+        return (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32), at
+    keys = high.astype(np.uint64)
+    keys <<= np.uint64(lower)
+    keys |= low.astype(np.uint32)
+    keys <<= np.uint64(place)
+    keys |= np.arange(n, dtype=np.uint32)
     keys.sort()
-    order = (keys & np.uint64((1 << place) - 1)).astype(np.int64)
+    order = (keys & np.uint64((1 << place) - 1)).astype(np.uint32)
     keys >>= np.uint64(place)
     new = np.ones(n, dtype=bool)
     new[1:] = keys[1:] != keys[:-1]
-    at = np.empty(n, dtype=np.int64)
-    at[order] = np.cumsum(new) - 1
     keys = keys[new]
-    return (keys >> np.uint64(lower)).astype(np.int64), keys & np.uint64((1 << lower) - 1), at
+    at = _groups(order, new)
+    return (keys >> np.uint64(lower)).astype(np.uint32), (keys & np.uint64((1 << lower) - 1)).astype(np.uint32), at
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -215,6 +232,7 @@ class Block:
     def seal(self) -> None:
         self.sizes = np.array([len(h) for h in self.hashes], dtype=np.int64)
         self.tokens = np.concatenate(self.hashes)
+        self.hashes.clear()
         self.words, self.at = _distinct(self.tokens)
         # another scan of other documents has other blocks, whose answers are then missing
         self.key = xxhash.xxh3_64_intdigest(self.words.tobytes() + self.sizes.tobytes(), seed=(self.task << 16) + self.number) >> 1
@@ -262,56 +280,68 @@ class Contexts:
 def contexts(tokens: np.ndarray, sizes: np.ndarray, trains: np.ndarray, frequent: Words, buckets: int, depth: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> Contexts:
     """The contexts of documents that follow each other in `tokens`; `trains` says which documents count; `known`: the distinct words, rising, and each token's place among them, if they are known."""
     n = len(tokens)
-    place = np.arange(n) - np.repeat(_firsts(sizes)[:-1], sizes)
-    weight = np.repeat(trains, sizes).astype(np.float64)
-    at = np.flatnonzero(place >= 1)
+    place = np.arange(n, dtype=np.uint32)
+    place -= np.repeat(_firsts(sizes)[:-1].astype(np.uint32), sizes)
+    weight = np.repeat(trains.astype(bool), sizes)
+    at = np.flatnonzero(place >= 1).astype(np.uint32)
     # words as numbers that rise with their codes
     words, local = _distinct(tokens) if known is None else known
     codes = frequent.code(words)
     by_code = np.argsort(codes)
-    rank = np.empty(len(words), dtype=np.uint64)
-    rank[by_code] = np.arange(len(words), dtype=np.uint64)
+    rank = np.empty(len(words), dtype=np.uint32)
+    rank[by_code] = np.arange(len(words), dtype=np.uint32)
     last, local, codes = local[at - 1], rank[local], codes[by_code]
     is_last = np.bincount(last, minlength=len(words)) > 0
-    v, of_v = words[is_last], (np.cumsum(is_last) - 1)[last]
+    v, of_v = words[is_last], (np.cumsum(is_last) - 1).astype(np.uint32)[last]
+    del last
     parts = np.maximum(1, frequent.count(v) // TOKENS_A_PART).astype(np.int64)
-    part = np.where(place[at] >= 2, (mix(tokens[at - 2]) % parts[of_v].astype(np.uint64)).astype(np.int64), 0)
     # a word of several parts is as many contexts
     names = mix(np.repeat(v, parts) + _ranges(np.zeros(len(v), np.int64), parts).astype(np.uint64))
     bucket = bucket_of(names, buckets)
     order = np.argsort(names)  # and so by buckets
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order))
-    here = rank[_firsts(parts)[:-1][of_v] + part]
-
-    of_key, key_token, token = _distinct_pairs(of_v, local[at])
-    counts = np.bincount(token, weights=weight[at], minlength=len(of_key)).astype(np.int64)
+    rank = np.empty(len(order), dtype=np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    here = _firsts(parts)[:-1].astype(np.uint32)[of_v]
+    split = np.flatnonzero((parts > 1)[of_v] & (place[at] >= 2))
+    here[split] += (mix(tokens[at[split] - 2]) % parts[of_v[split]].astype(np.uint64)).astype(np.uint32)
+    here = rank[here]
+
+    of_key, key_token, which = _distinct_pairs(of_v, local[at])
+    counts = np.bincount(which, weights=weight[at], minlength=len(of_key)).astype(np.uint32)
     follows = np.bincount(of_key, minlength=len(v))
     first = _firsts(follows)[:-1]
-    which = token - first[of_v]
+    which -= first.astype(np.uint32)[of_v]
+    del of_v
     v_of = np.repeat(np.arange(len(v)), parts)[order]
     whole = _ranges(first[v_of], follows[v_of])
     level = Level(np.ones(1, np.int64) * len(order), names[order], follows[v_of], codes[key_token][whole], counts[whole])
-    levels, context, tokens_of = [level], [np.full(n, -1)], [np.full(n, -1)]
-    starts = _firsts(level.follows)[:-1]
-    context[0][at], tokens_of[0][at] = here, starts[here] + which
+    del whole, counts, of_key, key_token
+    levels, context, tokens_of = [level], [_spread(n, at, here)], [_spread(n, at, _firsts(level.follows)[:-1].astype(np.uint32)[here] + which)]
     owner = bucket[order]
     for k in range(2, depth + 1):
-        deep = np.flatnonzero(place[at] >= k)
-        at, here, which = at[deep], here[deep], which[deep]
+        deep = place[at] >= k
+        at = at[deep]
+        here = here[deep]
+        which = which[deep]
         parents = len(levels[-1].names)
-        of_context, word, now = _distinct_pairs(here, local[at - k])
+        of_context, word, here = _distinct_pairs(here, local[at - k])
+        context.append(_spread(n, at, here))
         children = np.bincount(of_context, minlength=parents)
-        of_gram, gram, token = _distinct_pairs(now, which)
+        of_gram, gram, which = _distinct_pairs(here, which)
+        tokens_of.append(_spread(n, at, which))
         follows = np.bincount(of_gram, minlength=len(of_context))
-        levels.append(Level(children, codes[word], follows, gram, np.bincount(token, weights=weight[at], minlength=len(gram)).astype(np.int64)))
-        here, which = now, token - _firsts(follows)[:-1][now]
-        for target, values in ((context, now), (tokens_of, token)):
-            target.append(np.full(n, -1))
-            target[-1][at] = values
+        levels.append(Level(children, codes[word], follows, gram, np.bincount(which, weights=weight[at], minlength=len(gram)).astype(np.uint32)))
+        which -= _firsts(follows)[:-1].astype(np.uint32)[here]
     return Contexts(levels, context, tokens_of, owner)
 
 
+def _spread(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """`values` at their places of n, -1 elsewhere."""
+    out = np.full(n, -1, dtype=np.int32)
+    out[at] = values
+    return out
+
+
 def questions(c: Contexts):
     """bucket, payload: what each bucket is asked, its contexts and what follows them by level."""
     cuts = np.flatnonzero(np.diff(np.concatenate([[-1], c.buckets, [-1]])))
@@ -334,24 +364,27 @@ def questions(c: Contexts):
 def _read_question(payload: bytes, depth: int) -> list[Level]:
     parts, out = iter(parts_of(payload)), []
     for k in range(depth):
-        number = lambda: unpack(next(parts), "<u4").astype(np.int64)
+        number = lambda: unpack(next(parts), "<u4")
         children = number() if k else None
         names = _unpack_codes(next(parts), children) if k else _unpack_rising(next(parts))
         follows = number()
-        which = _sums(number(), follows) if k else _unpack_codes(next(parts), follows)
+        which = _sums(number().astype(np.int64), follows).astype(np.uint32) if k else _unpack_codes(next(parts), follows)
         out.append(Level(children, names, follows, which, number()))
     return out
 
 
 def _number_rare(asked: list[list[Level]], first: int) -> None:
     """Replace, in what a bucket is asked, the codes of rare words by numbers from `first`, so that codes have 32 bits."""
-    lists = [q[0].which for q in asked] + [level.names for q in asked for level in q[1:]]
-    rare = [x >= _RARE for x in lists]
-    numbers = _distinct(np.concatenate([x[r] for x, r in zip(lists, rare, strict=True)]))[1].astype(np.uint64) + np.uint64(first)
+    lists = [(q[0], "which") for q in asked] + [(level, "names") for q in asked for level in q[1:]]
+    numbers = _distinct(np.concatenate([x[x >= _RARE] for x in (getattr(*of) for of in lists)]))[1]
     at = 0
-    for x, r in zip(lists, rare, strict=True):
+    for of in lists:
+        x = getattr(*of)
+        r = x >= _RARE
         k = int(r.sum())
-        x[r] = numbers[at : at + k]
+        short = x.astype(np.uint32)
+        short[r] = numbers[at : at + k] + np.uint32(first)
+        setattr(*of, short)
         at += k
 
 
@@ -386,10 +419,10 @@ def answers(payloads: list[bytes], frequent: Words, depth: int = DEPTH, divergen
             every = np.bincount(of, weights=n, minlength=len(own))
             distinct = np.bincount(of, weights=n > 0, minlength=len(own))
             if k == 0:
-                c = seen[np.minimum(below, np.uint64(often)).astype(np.int64)]
+                c = seen[np.minimum(below, np.uint32(often))]
                 shorter = np.maximum(c - 1, 0.5) / max(1, frequent.n + frequent.v)
             else:
-                shorter = loo[-1][below.astype(np.int64)]
+                shorter = loo[-1][below]
             d = distinct[of] - (n == 1)
             left = (n - 1 + d * shorter) / (every[of] - 1 + d)
             left = np.where((n > 0) & (every[of] - 1 + d > 0), left, shorter)
@@ -416,18 +449,21 @@ def answers(payloads: list[bytes], frequent: Words, depth: int = DEPTH, divergen
 def read_answers(payloads: list[bytes], depth: int) -> list[list[np.ndarray]]:
     """By level: all, distinct and n of the contexts and tokens of a block, from the answers of its buckets in their order."""
     every = [[unpack(p, "<u4") for p in parts_of(x)] for x in payloads]
-    return [[np.concatenate([e[3 * k + j] for e in every]).astype(np.float64) if every else np.zeros(0) for j in range(3)] for k in range(depth)]
+    return [[np.concatenate([e[3 * k + j] for e in every]) if every else np.zeros(0, np.uint32) for j in range(3)] for k in range(depth)]
 
 
 def log_scores(c: Contexts, root: np.ndarray, found: list[list[np.ndarray]]) -> np.ndarray:
     """log10 probability of every token from its longest retained context; `root`: its probability after the empty one."""
     p = root.copy()
-    for context, token, (every, distinct, n) in zip(c.context, c.token, found, strict=True):
-        has = np.flatnonzero(context >= 0)
-        has = has[every[context[has]] > 0]
-        at = context[has]
-        p[has] = (n[token[has]] + distinct[at] * p[has]) / (every[at] + distinct[at])
-    return np.log10(p)
+    for a in range(0, len(p), POSITIONS):
+        here = slice(a, a + POSITIONS)
+        part = p[here]
+        for context, token, (every, distinct, n) in zip(c.context, c.token, found, strict=True):
+            has = np.flatnonzero(context[here] >= 0)
+            has = has[every[context[here][has]] > 0]
+            at = context[here][has]
+            part[has] = (n[token[here][has]] + distinct[at] * part[has]) / (every[at].astype(np.float64) + distinct[at])
+    return np.log10(p, out=p)
 
 
 def spelling_table(pairs: np.ndarray) -> np.ndarray:
@@ -495,6 +531,7 @@ def score(docs: DataFrame, train: tuple[int, int], depth: int = DEPTH, divergenc
             for at in range(0, len(rows), 256):
                 yield _row(_NAMES, _KINDS, rows[at : at + 256])
             yield _row(_NAMES, _KINDS, [(block.key, -1, None, block.size, int(weight.sum()))])
+            del block, weight, counts, bucket, rows  # not beside the next block
         if task is not None:
             yield _row(_NAMES, _KINDS, [(task, -2, pack(pairs), None, None)])
 
@@ -541,8 +578,10 @@ def score(docs: DataFrame, train: tuple[int, int], depth: int = DEPTH, divergenc
         for block in read_blocks(batches):
             weights = np.array([trains(d) for d in block.ids])
             rows = [(block.key, bucket, payload, None, None) for bucket, payload in questions(contexts(block.tokens, block.sizes, weights, shared.value, context_buckets, depth, (block.words, block.at)))]
+            del block, weights  # not beside the next one
             for at in range(0, len(rows), 64):
                 yield _row(_NAMES, _KINDS, rows[at : at + 64])
+            del rows
 
     def reply(batches):
         for bucket, rows in _sorted_groups(batches):
@@ -560,30 +599,37 @@ def score(docs: DataFrame, train: tuple[int, int], depth: int = DEPTH, divergenc
             ids = np.array([0 if d is None else d for d in block.ids], dtype="<i8")
             parts = [ids, np.array([d is not None for d in block.ids], dtype="u1"), block.sizes.astype("<u4"), first.astype("<f4"), block.at.astype("<u4")]
             yield _row(_NAMES, _KINDS, [(block.key, DOCUMENTS, join([_pack_rising(block.words), *map(pack, parts)]), None, None)])
+            del block, first, parts  # not beside the next block
+
+    def scored(key, rows):
+        """A block's documents with their scores; takes `rows` away as they are read."""
+        if rows[-1][1] != DOCUMENTS:
+            raise RuntimeError(f"block {key} has no documents: the scan has changed")
+        parts = parts_of(rows[-1][2])
+        c = np.concatenate([unpack(r[2], "<u8") for r in rows if r[1] < buckets] or [np.zeros(0, np.uint64)]).astype(np.float64)
+        got = read_answers([r[2] for r in rows if buckets <= r[1] < DOCUMENTS], depth)
+        rows.clear()
+        words = _unpack_rising(parts[0])
+        ids, has_id, sizes, spelt, at = (unpack(p, t) for p, t in zip(parts[1:], ("<i8", "u1", "<u4", "<f4", "<u4"), strict=True))
+        if len(c) != len(words):
+            raise RuntimeError(f"block {key} asked for {len(words)} words and has {len(c)}")
+        sizes = sizes.astype(np.int64)
+        found = contexts(words[at], sizes, np.zeros(len(sizes)), shared.value, context_buckets, depth, (words, at))
+        if any(len(g[0]) != len(x.names) or len(g[2]) != len(x.which) for g, x in zip(got, found.levels, strict=True)):
+            raise RuntimeError(f"answers about the contexts of block {key} are missing")
+        spread = max(v, 1)
+        root = (c + spread * 10 ** spelt.astype(np.float64)) / (n + spread)
+        edge = _firsts(sizes)[:-1]
+        scores = np.add.reduceat(log_scores(found, root[at], got), edge)
+        del found, got
+        base = np.log10((c + 1) / (n + v + 1))
+        columns = [ids, sizes, np.add.reduceat((c > 0)[at].astype(np.int64), edge), np.full(len(ids), n, np.int64), np.add.reduceat(base[at], edge), scores]
+        arrays = [pa.array(ids, pa.int64(), mask=has_id == 0), *(pa.array(x) for x in columns[1:])]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def assemble(batches):
         for key, rows in _blocks(batches):
-            if rows[-1][1] != DOCUMENTS:
-                raise RuntimeError(f"block {key} has no documents: the scan has changed")
-            parts = parts_of(rows[-1][2])
-            words = _unpack_rising(parts[0])
-            ids, has_id, sizes, spelt, at = (unpack(p, t) for p, t in zip(parts[1:], ("<i8", "u1", "<u4", "<f4", "<u4"), strict=True))
-            c = np.concatenate([unpack(r[2], "<u8") for r in rows if r[1] < buckets] or [np.zeros(0, np.uint64)]).astype(np.float64)
-            if len(c) != len(words):
-                raise RuntimeError(f"block {key} asked for {len(words)} words and has {len(c)}")
-            sizes = sizes.astype(np.int64)
-            found = contexts(words[at], sizes, np.zeros(len(sizes)), shared.value, context_buckets, depth, (words, at.astype(np.int64)))
-            got = read_answers([r[2] for r in rows if buckets <= r[1] < DOCUMENTS], depth)
-            if any(len(g[0]) != len(x.names) or len(g[2]) != len(x.which) for g, x in zip(got, found.levels, strict=True)):
-                raise RuntimeError(f"answers about the contexts of block {key} are missing")
-            spread = max(v, 1)
-            root = (c + spread * 10 ** spelt.astype(np.float64)) / (n + spread)
-            scores = log_scores(found, root[at], got)
-            base = np.log10((c + 1) / (n + v + 1))
-            edge = _firsts(sizes)[:-1]
-            columns = [ids, sizes, np.add.reduceat((c > 0)[at].astype(np.int64), edge), np.full(len(ids), n, np.int64), np.add.reduceat(base[at], edge), np.add.reduceat(scores, edge)]
-            arrays = [pa.array(ids, pa.int64(), mask=has_id == 0), *(pa.array(x) for x in columns[1:])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield scored(key, rows)
 
     rows = counted.filter("bucket >= 0").unionByName(told).unionByName(scan.mapInArrow(sequences, _SCHEMA))
     return _by(rows, "block", "bucket").mapInArrow(assemble, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

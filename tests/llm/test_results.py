@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -906,3 +907,32 @@ def test_the_mix_is_the_order_of_the_result(spark, sf_dir, monkeypatch, few):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.col("doc_id").isin(list(got.values())))
     want = [r["doc_id"] for r in mixing.interleave(docs).orderBy("mix.position").select("doc_id").collect()]
     assert [got[k] for k in range(len(got))] == want
+
+
+def test_suffix_tree_holds_few_bytes_a_position():
+    rng = np.random.default_rng(33)
+    draw = lambda: shingles.mix(rng.zipf(1.3, 200_000).astype(np.uint64) % np.uint64(100_000))
+    sizes, trains = np.full(400, 500), np.arange(400) % 7 != 2
+    blocks_ = [draw() for _ in range(6)]
+    hashes, counts = np.unique(np.concatenate(blocks_), return_counts=True)
+    words = suffix_tree.Words(hashes[counts > 3], counts[counts > 3].astype(float), 1_200_000, len(hashes))
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    known = suffix_tree._distinct(blocks_[0])
+    found, most = peak(lambda: suffix_tree.contexts(blocks_[0], sizes, trains, words, 1, 2, known))
+    # 32 bits for each of some numbers of a position, and what is sorted at a time
+    assert most < 120 * len(blocks_[0])
+    root = np.full(len(blocks_[0]), 1e-5)
+    asked = [payload for x in blocks_ for _, payload in suffix_tree.questions(suffix_tree.contexts(x, sizes, trains, words, 1, 2))]
+    told, most = peak(lambda: suffix_tree.answers(asked, words))
+    entries = sum(len(level.which) for p in asked for level in suffix_tree._read_question(p, 2))
+    assert most < 80 * entries
+    got = suffix_tree.read_answers(told[:1], 2)
+    _, most = peak(lambda: suffix_tree.log_scores(found, root, got))
+    assert most < 40 * len(root)
