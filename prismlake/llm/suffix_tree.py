@@ -60,7 +60,6 @@ POSITIONS = 1 << 17
 EDGE = 32
 #: The bucket of rows that are no answers: after all others.
 DOCUMENTS = (1 << 31) - 1
-_LOW = np.uint64(0xFFFFFFFF)
 #: Set in the codes of words that are not frequent.
 _RARE = np.uint64(1 << 63)
 
